@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, simhash_dedup
+from millrace.llm import mixing, simhash_dedup, token_counts, token_store
+from millrace.llm._shared import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts with an empty cache of its own, so every distinct text is encoded; a service would keep the path."""
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), shared_path(spark, "token-cache"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = shared_path(spark, "token-store")
+    token_store.write_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, store)
+    return token_store.read_store(spark, store)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_token_store": op8_token_store,
     "op10_mixing": op10_mixing,
 }
 
