@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, mixing, simhash_dedup, token_counts, token_store, toxicity
+from millrace.llm import decontamination, language_id, mixing, simhash_dedup, token_counts, token_store, toxicity
 from millrace.llm._shared import shared_path
 from millrace.llm.labelled import held_out
 
@@ -43,6 +43,10 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, store)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_token_store": op8_token_store,
+    "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }
 
