@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language_id, mixing, simhash_dedup, token_counts, token_store, toxicity
+from millrace.llm import decontamination, language_id, mixing, simhash_dedup, token_counts, token_store, toxicity, warc
 from millrace.llm._shared import shared_path
 from millrace.llm.labelled import held_out
 
@@ -20,6 +20,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), shared_path(spark, "token-cache"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).drop("target_uri")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -53,6 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op7_simhash_dedup": op7_simhash_dedup,
@@ -62,5 +69,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_warc": warc.OP4_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
