@@ -23,6 +23,7 @@ import hashlib
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,9 +36,15 @@ from pyspark.sql import functions as F
 from millrace.llm._shared import materialize
 
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK, SPAN = 128, 512, 4096, 8
-_MEMO_ENTRIES = 600_000
+_MEMO_ENTRIES = 1_000_000
 #: A space that white space or the end follows: the text can't be cut before each of its spaces.
 _SPACES = re.compile(r" (?=\s|$)")
+#: Latin letters, then ASCII marks that begin neither a contraction nor a special token.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)((?:[!-&(-/:;=-@\[-`{-~][!-/:;=-@\[-`{-~]*)?)")
+#: The byte-level alphabet for pieces of these: a space is shown as U+0120, a line break as U+010A, and a byte b of a letter beyond ASCII
+#: as chr(b) if that is printable there (0xA1-0xAC, 0xAE-0xFF), else as chr(0x100 + its turn among the others).
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_LATIN_BYTES = {10: "\u010a"} | {c: "".join(chr(b if b not in _OTHERS else 256 + _OTHERS.index(b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 class Encoder:
@@ -45,27 +52,32 @@ class Encoder:
 
     The tokenizer's pattern never joins a non-space with a following space, and gives a space before a
     non-space to the token that starts there. So a text may be cut before each such space, and the ids of a
-    text are those of its units in turn. Only new units are encoded; the memo is emptied when it is full.
+    text are those of its units in turn. A new unit that is a run of Latin letters, or one with marks after
+    it, is what the pattern would hand to the model in one or two pieces, and goes to the library's model
+    directly; any other goes through the whole tokenizer. The memo is emptied when it is full.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
-        size = self.model.get_vocab_size()
-        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.lengths = np.zeros(size, np.int64)
-        special = {t.content for t in self.model.get_added_tokens_decoder().values()}
-        for token, i in self.model.get_vocab().items():
-            # in byte-level vocabularies each character stands for a byte; added tokens are plain text
-            self.lengths[i] = len(token.encode()) if token in special else len(token)
-        self.memo: dict[str, bytes] = {}
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.model = self.whole.model
+        self.model._resize_cache(0)  # the memo stands in for it
+        self.dtype = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.memo = _Memo(self)
 
     def direct(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def piece(self, text: str, space: str = "") -> bytes:
+        """Ids of one piece of the pattern; space: as the byte-level alphabet shows it."""
+        if not text.isascii() or text == "\n":
+            text = text.translate(_LATIN_BYTES)
+        return array(self.code, [t.id for t in self.model.tokenize(space + text)]).tobytes()
 
     def _units(self, text: str) -> list[str]:
         """Units without their leading space."""
@@ -79,32 +91,49 @@ class Encoder:
                 out.append(part)
         return out
 
-    def _learn(self, units: list[str]) -> None:
-        """Encode new units in one go and cut the ids at the units' byte lengths."""
-        ids = np.array(self.model.encode(" " + " ".join(units), add_special_tokens=False).ids, self.dtype)
-        ends = np.cumsum(self.lengths[ids])
-        wanted = np.cumsum([len(u.encode()) + 1 for u in units])
-        at = np.searchsorted(ends, wanted)
-        if at[-1] != len(ids) - 1 or not np.array_equal(ends[at], wanted):
-            self.memo.update((u, self.direct(" " + u)) for u in units)
-            return
-        raw, w, a = ids.tobytes(), self.dtype.itemsize, 0
-        for unit, b in zip(units, (at + 1).tolist()):
-            self.memo[unit] = raw[a * w : b * w]
-            a = b
-
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self._units(t) for t in texts]
-        if len(self.memo) > _MEMO_ENTRIES:
-            self.memo.clear()
-        new = list(set().union(*(p[1:] for p in parts)).difference(self.memo))
-        for k in range(0, len(new), 4096):
-            self._learn(new[k : k + 4096])
-        first = self.model.encode_batch([p[0] for p in parts], add_special_tokens=False)
+        first = self.whole.encode_batch([p[0] for p in parts], add_special_tokens=False)
         get = self.memo.__getitem__
         return [np.array(e.ids, self.dtype).tobytes() + b"".join(map(get, p[1:])) for e, p in zip(first, parts)]
 
 
+class _Memo(dict):
+    """Unit without its leading space -> ids of the unit with it."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder, self.marks = encoder, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) > _MEMO_ENTRIES:
+            self.clear()
+        if "\n" in unit[1:]:
+            lines = unit.split("\n")
+            if all(map(_PLAIN.fullmatch, lines)):  # a lone line break is a piece of its own
+                return self[lines[0]] + b"".join([self["\n" + line] for line in lines[1:]])
+        ids = self[unit] = self._new(unit)
+        return ids
+
+    def _new(self, unit: str) -> bytes:
+        found = _PLAIN.fullmatch(unit)
+        if found:
+            return self.encoder.piece(found[1], "\u0120") + self._marks(found[2])
+        if unit[0] == "\n":  # a line that is not the unit's first
+            found = _PLAIN.fullmatch(unit, 1)
+            return self._marks("\n") + self.encoder.piece(found[1]) + self._marks(found[2])
+        return self.encoder.direct(" " + unit)
+
+    def _marks(self, marks: str) -> bytes:
+        if not marks:
+            return b""
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[marks] = self.encoder.piece(marks)
+        return self.marks[marks]
+
+
 @cache
 def _encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -230,19 +259,35 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shift(n_bytes: np.ndarray) -> np.ndarray:
-    """x^(8 n) for each n."""
-    values, where = np.unique(n_bytes.astype(np.int64) * 8, return_inverse=True)
-    out, power = np.full(len(values), 1 << 31, np.uint32), np.array([1 << 30], np.uint32)
-    while values.any():
-        out = np.where(values & 1, _times(out, power), out)
-        power, values = _times(power, power), values >> 1
-    return out[where]
+@cache
+def _shifts(most: int = MAX_CHUNK) -> np.ndarray:
+    """x^(32 n) for n from 0 to most: what n ids of 4 bytes shift a crc32 by."""
+    out, power = np.array([1 << 31], np.uint32), np.array([1 << 31 >> 1], np.uint32)
+    for _ in range(5):
+        power = _times(power, power)  # x^32
+    while len(out) <= most:
+        out = np.concatenate([out, _times(out, power)])
+        power = _times(power, power)
+    return out
+
+
+def _times_one(a: int, b: int) -> int:
+    out = 0
+    for k in range(31, -1, -1):
+        if a >> k & 1:
+            out ^= b
+        b = b >> 1 ^ (_POLY if b & 1 else 0)
+    return out
 
 
-def combine_crc32(first: np.ndarray, second: np.ndarray, second_bytes: np.ndarray) -> np.ndarray:
-    """crc32 of a concatenation from the crc32s of its two sides."""
-    return _times(_shift(second_bytes), first) ^ second.astype(np.uint32)
+def combine_crc32(first: np.ndarray, second: np.ndarray, second_ids: np.ndarray) -> np.ndarray:
+    """crc32 of ids of 4 bytes from those of two runs of them; the second has at most MAX_CHUNK."""
+    shift = _shifts()[second_ids]
+    if len(first) < 16:
+        product = np.array([_times_one(int(a), int(b)) for a, b in zip(shift, first)], np.uint32)
+    else:
+        product = _times(shift, first)
+    return product ^ second.astype(np.uint32)
 
 
 def _check_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,18 +305,24 @@ def _check_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc_ids, starts, totals, roots, chunks = (c.to_pylist() for c in batch.columns)
-        chunks = [sorted(c, key=lambda x: x["pos"]) for c in chunks]
-        for total, root, own in zip(totals, roots, chunks):
-            if sum(c["n_ids"] for c in own) != total or merkle_root([c["digest"] for c in own]) != root:
+        chunks = batch.column(4)
+        at = chunks.offsets.to_numpy().astype(np.int64)
+        flat = chunks.values
+        crcs, sizes = flat.field("crc").to_numpy().astype(np.uint32), flat.field("n_ids").to_numpy().astype(np.int64)
+        names = flat.field("digest").to_pylist()
+        counts = np.diff(at)
+        reach = np.concatenate([[0], np.cumsum(sizes)])
+        totals, roots = batch.column(2).to_numpy(), batch.column(3).to_pylist()
+        for k, root in enumerate(roots):
+            if reach[at[k + 1]] - reach[at[k]] != totals[k] or merkle_root(names[at[k] : at[k + 1]]) != root:
                 raise ValueError("a recipe does not give the document that its Merkle root names")
-        order = sorted(range(len(chunks)), key=lambda k: -len(chunks[k]))
-        crc = np.zeros(len(chunks), np.uint32)
-        for k in range(len(chunks[order[0]]) if order else 0):
-            live = [i for i in order if len(chunks[i]) > k]
-            second = np.array([chunks[i][k]["crc"] for i in live], np.uint32)
-            crc[live] = combine_crc32(crc[live], second, np.array([chunks[i][k]["n_ids"] * 4 for i in live])) if k else second
-            order = live
+        order = np.argsort(-counts, kind="stable")
+        crc = np.zeros(len(counts), np.uint32)
+        falling = -counts[order]
+        for k in range(int(counts.max(initial=0))):
+            live = order[: np.searchsorted(falling, -k)]  # recipes with more than k chunks
+            here = at[live] + k
+            crc[live] = combine_crc32(crc[live], crcs[here], sizes[here]) if k else crcs[here]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
@@ -280,7 +331,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     chunks = _packed(spark, path, "chunks").select("digest", "n_ids", "payload").mapInArrow(_check_chunks, "digest binary, n_ids int, crc long")
     recipes = spark.read.parquet(f"{path}/recipes")
     listed = recipes.select("recipe_id", F.posexplode("digests").alias("pos", "digest"))
-    found = listed.join(chunks, "digest").groupBy("recipe_id").agg(F.collect_list(F.struct("pos", "n_ids", "crc", "digest")).alias("chunks"))
+    found = listed.join(chunks, "digest").groupBy("recipe_id").agg(F.array_sort(F.collect_list(F.struct("pos", "n_ids", "crc", "digest"))).alias("chunks"))
     whole = recipes.drop("digests").join(found, "recipe_id", "left").select("doc_id", "start", "n_tokens", "root", F.coalesce("chunks", F.array().cast("array<struct<pos:int,n_ids:int,crc:bigint,digest:binary>>")).alias("chunks"))
     return whole.mapInArrow(_rebuild, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
