@@ -1,7 +1,8 @@
 """Mixing sources to target weights.
 
 Rows get hash-random keys. Within a source they are range-sorted by key: the key's leading bits give a
-range, so a source with a third of all rows is spread over as many ranges as its rows need. Sums of the
+range, and a source of n rows has about the root of n ranges of as many rows, so one with a third of all rows
+is spread as widely as it needs. Sums of the
 ranges are added up, each range adds its running sums, and each source is cut at exactly its budget;
 a budget beyond the source's size repeats whole epochs and cuts the last one.
 """
@@ -45,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share:
     return s.select("source", "source_size", "weight", F.least(F.col("cap"), F.col("weight") * F.coalesce(level, F.lit(float("inf")))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, max_epochs: int = 3, seed: str = "mix", rows_per_range: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, source_size, target, epochs, part, taken) for each row of docs.
 
     size: default, the words of column text (null: 0). taken = epochs x size + part, where epochs are whole
@@ -60,7 +61,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     rows = materialize(rows, "sized")
     sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")), "sources")
     targets = source_targets(sizes.select("source", "source_size"), weights, share, max_epochs)
-    plan = targets.alias("t").join(sizes.alias("s"), F.expr("t.source <=> s.source")).select("s.source", "t.source_size", "t.target", F.ceil(F.col("source_rows") / rows_per_range).alias("ranges"))
+    plan = targets.alias("t").join(sizes.alias("s"), F.expr("t.source <=> s.source")).select("s.source", "t.source_size", "t.target", F.ceil(F.sqrt("source_rows")).alias("ranges"))
     plan = materialize(plan, "plan")
     at = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("ranges") / F.lit(2.0**32))
     r = rows.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source")).select("r.*", "p.source_size", "p.target", at.alias("range"), F.coalesce(F.col("r.source"), F.lit("")).alias("name"), F.col("r.source").isNull().alias("nameless"))
