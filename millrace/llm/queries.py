@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language_id, mixing, simhash_dedup, token_counts, token_store, toxicity, warc
+from millrace.llm import decontamination, language_id, media_columns, mixing, simhash_dedup, token_counts, token_store, toxicity, warc
 from millrace.llm._shared import shared_path
 from millrace.llm.labelled import held_out
 
@@ -20,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), shared_path(spark, "token-cache"))
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns.store_and_describe(_table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages"), folder)
@@ -59,6 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_media_columns": op2_media_columns,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
