@@ -76,7 +76,7 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     shared = materialize(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variants")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     pairs = shared.where("n = 2").where(near).select("a", "b").distinct()
-    crowded = materialize(variants.join(shared.where("n > 2").select("key"), "key", "left_semi").select("fp").distinct(), "crowded")
+    crowded = materialize(variants.join(shared.where("n > 2").select("key").hint("shuffle_hash"), "key", "left_semi").select("fp").distinct(), "crowded")
     ball = crowded.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("bit"))
     if max_bits == 2:
         ball = ball.select("fp", F.expr("if(bit < 0, fp, fp ^ shiftleft(1L, bit))").alias("mid"))
