@@ -116,7 +116,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 150, rate: float =
     return Model(weights, float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 4000, most: int = 8000, longest: int = 40_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 3000, most: int = 6000, longest: int = 20_000) -> Model:
     """Train on at most `most` labelled rows that are not held out, texts of at most `longest` characters.
 
     A document with several labels counts as toxic if one of them says so; null labels are left out. The
