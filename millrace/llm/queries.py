@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language_id, media_columns, mixing, simhash_dedup, token_counts, token_store, toxicity, warc
+from millrace.llm import decontamination, language_id, media_columns, mixing, simhash_dedup, substring_dedup, token_counts, token_store, toxicity, warc
 from millrace.llm._shared import shared_path
 from millrace.llm.labelled import held_out
 
@@ -24,6 +24,11 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.store_and_describe(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document that shares a passage of 50 words or more with another."""
+    return substring_dedup.duplicate_documents(substring_dedup.repeated_passages(_table(spark, sf_dir, "documents")))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages"), folder)
@@ -64,6 +69,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_media_columns": op2_media_columns,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,

@@ -33,12 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.llm._hashing import stretch_hashes
 from millrace.llm._shared import materialize
 
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK, SPAN = 128, 512, 4096, 8
-_MEMO_ENTRIES = 1_000_000
-#: A space that white space or the end follows: the text can't be cut before each of its spaces.
-_SPACES = re.compile(r" (?=\s|$)")
+_MEMO_ENTRIES, _GROUP_BYTES = 1_000_000, 1 << 19
 #: Latin letters, then ASCII marks that begin neither a contraction nor a special token.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)((?:[!-&(-/:;=-@\[-`{-~][!-/:;=-@\[-`{-~]*)?)")
 #: The byte-level alphabet for pieces of these: a space is shown as U+0120, a line break as U+010A, and a byte b of a letter beyond ASCII
@@ -50,11 +49,12 @@ _LATIN_BYTES = {10: "\u010a"} | {c: "".join(chr(b if b not in _OTHERS else 256 +
 class Encoder:
     """Byte-level BPE of the tokenizers library, with the ids of units that have been met before.
 
-    The tokenizer's pattern never joins a non-space with a following space, and gives a space before a
-    non-space to the token that starts there. So a text may be cut before each such space, and the ids of a
-    text are those of its units in turn. A new unit that is a run of Latin letters, or one with marks after
-    it, is what the pattern would hand to the model in one or two pieces, and goes to the library's model
-    directly; any other goes through the whole tokenizer. The memo is emptied when it is full.
+    The tokenizer's pattern never joins a non-space with white space after it, gives a space before a non-space to
+    the token that starts there, and makes a lone line break between non-spaces a token. So a text may be cut
+    before each such space or line break, and the ids of a text are those of its units in turn. Units are found
+    and hashed (64 bits) for many texts at once; only new ones are encoded. A new unit of Latin letters, or of
+    these and marks after them, is what the pattern would hand to the model in one or two pieces, and goes to the
+    library's model directly; any other goes through the whole tokenizer. The memo is emptied when it is full.
     """
 
     def __init__(self, path: str):
@@ -68,7 +68,8 @@ class Encoder:
         self.model._resize_cache(0)  # the memo stands in for it
         self.dtype = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.memo = _Memo(self)
+        self.memo: dict[int, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -79,60 +80,95 @@ class Encoder:
             text = text.translate(_LATIN_BYTES)
         return array(self.code, [t.id for t in self.model.tokenize(space + text)]).tobytes()
 
-    def _units(self, text: str) -> list[str]:
-        """Units without their leading space."""
-        if not _SPACES.search(text):
-            return text.split(" ")
-        out: list[str] = []
-        for part in text.split(" "):
-            if out and (not part or part[0].isspace()):
-                out[-1] += " " + part
-            else:
-                out.append(part)
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self._units(t) for t in texts]
-        first = self.whole.encode_batch([p[0] for p in parts], add_special_tokens=False)
-        get = self.memo.__getitem__
-        return [np.array(e.ids, self.dtype).tobytes() + b"".join(map(get, p[1:])) for e, p in zip(first, parts)]
-
-
-class _Memo(dict):
-    """Unit without its leading space -> ids of the unit with it."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder, self.marks = encoder, {}
-
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) > _MEMO_ENTRIES:
-            self.clear()
-        if "\n" in unit[1:]:
-            lines = unit.split("\n")
-            if all(map(_PLAIN.fullmatch, lines)):  # a lone line break is a piece of its own
-                return self[lines[0]] + b"".join([self["\n" + line] for line in lines[1:]])
-        ids = self[unit] = self._new(unit)
-        return ids
-
-    def _new(self, unit: str) -> bytes:
-        found = _PLAIN.fullmatch(unit)
-        if found:
-            return self.encoder.piece(found[1], "\u0120") + self._marks(found[2])
-        if unit[0] == "\n":  # a line that is not the unit's first
-            found = _PLAIN.fullmatch(unit, 1)
-            return self._marks("\n") + self.encoder.piece(found[1]) + self._marks(found[2])
-        return self.encoder.direct(" " + unit)
-
-    def _marks(self, marks: str) -> bytes:
-        if not marks:
-            return b""
+    def _piece_of_marks(self, marks: str) -> bytes:
         if marks not in self.marks:
             if len(self.marks) > 10_000:
-                self.marks.clear()
-            self.marks[marks] = self.encoder.piece(marks)
+                self.marks = {"": b""}
+            self.marks[marks] = self.piece(marks)
         return self.marks[marks]
 
+    def unit(self, text: str) -> bytes:
+        """Ids of a unit with the space or line break that leads it."""
+        lead = text[0] if text[0] in " \n" else ""
+        found = _PLAIN.fullmatch(text, len(lead))
+        if found is None:
+            return self.direct(text)
+        if lead == " ":
+            return self.piece(found[1], "\u0120") + self._piece_of_marks(found[2])
+        return self._piece_of_marks(lead) + self.piece(found[1]) + self._piece_of_marks(found[2])
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of UTF-8 texts."""
+        out: list[np.ndarray] = []
+        group: list[bytes] = []
+        size = 0
+        for text in texts:
+            if len(text) > _GROUP_BYTES:
+                out += self._encode_group(group) + [self._encode_long(text)]
+                group, size = [], 0
+                continue
+            group.append(text)
+            size += len(text)
+            if size > _GROUP_BYTES:
+                out += self._encode_group(group)
+                group, size = [], 0
+        return out + self._encode_group(group)
+
+    def _encode_long(self, text: bytes) -> np.ndarray:
+        cuts = _unit_starts(np.frombuffer(text, np.uint8))
+        parts, a = [], 0
+        while a < len(text):
+            k = np.searchsorted(cuts, a + _GROUP_BYTES, "right") - 1
+            b = int(cuts[k]) if len(text) - a > _GROUP_BYTES and k >= 0 and cuts[k] > a else len(text)
+            if b - a > _GROUP_BYTES:  # no place to cut soon enough: up to the next one, or all that is left
+                k = np.searchsorted(cuts, a, "right")
+                b = int(cuts[k]) if k < len(cuts) else len(text)
+                parts.append(np.frombuffer(self.direct(text[a:b].decode("utf-8", "surrogatepass")), self.dtype))
+            else:
+                parts += self._encode_group([text[a:b]])
+            a = b
+        return np.concatenate(parts)
+
+    def _encode_group(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = b"".join(texts)
+        if not data:
+            return [np.zeros(0, self.dtype) for _ in texts]
+        if len(self.memo) > _MEMO_ENTRIES:
+            self.memo.clear()
+        b = np.frombuffer(data, np.uint8)
+        edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        starts = np.unique(np.concatenate([_unit_starts(b), edges[:-1][np.diff(edges) > 0]]))
+        ends = np.append(starts[1:], len(b))
+        hashes, first, which = np.unique(stretch_hashes(b, starts, ends), return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        found = list(map(self.memo.get, keys))
+        for k, ids in enumerate(found):
+            if ids is None:
+                f = first[k]
+                found[k] = self.memo[keys[k]] = self.unit(data[starts[f] : ends[f]].decode("utf-8", "surrogatepass"))
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        own = sizes[which]
+        reach = np.concatenate([[0], np.cumsum(own)])
+        ids = flat[np.arange(reach[-1]) + np.repeat((np.cumsum(sizes) - sizes)[which] - reach[:-1], own)]
+        cuts = reach[np.searchsorted(starts, edges)]
+        return [ids[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+def _unit_starts(b: np.ndarray) -> np.ndarray:
+    """Places of spaces before a non-space and of line breaks between non-spaces. Only bytes that can't belong to
+    white space count as non-space (ASCII, and letters that UTF-8 writes as 0xC3 and another); leaving out a cut
+    is always right."""
+    if len(b) < 2:
+        return np.zeros(0, np.int64)
+    solid = (b > 32) & (b < 127)
+    before_ok = np.zeros(len(b), bool)
+    before_ok[1:] = solid[:-1]
+    before_ok[2:] |= b[:-2] == 0xC3
+    after_ok = (solid | (b == 0xC3))[1:]
+    at = np.flatnonzero(after_ok & ((b[:-1] == 32) | (b[:-1] == 10) & before_ok[:-1]))
+    return at
+
 
 @cache
 def _encoder(path: str) -> Encoder:
@@ -181,15 +217,16 @@ _PACKED_DDL = "kind string, deal long, doc_id long, recipe_id long, n_tokens lon
 def _pack(path: str, end_id: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, made, seen = _encoder(path), TaskContext.get().partitionId(), 0, set()
-        end = np.array([end_id], encoder.dtype).tobytes()
+        end = np.array([end_id], encoder.dtype)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 rows: list[tuple] = []
                 for doc_id, ids in zip(batch.column(0)[k : k + 256].to_pylist(), encoder.encode(batch.column(1)[k : k + 256].to_pylist())):
-                    ids += end
-                    a, names, w = 0, [], encoder.dtype.itemsize
-                    for b in cut_points(np.frombuffer(ids, encoder.dtype)):
-                        payload = ids[a * w : b * w]
+                    ids = np.append(ids, end)
+                    raw, w = ids.tobytes(), ids.itemsize
+                    a, names = 0, []
+                    for b in cut_points(ids):
+                        payload = raw[a * w : b * w]
                         names.append(name := digest(payload))
                         if name not in seen:
                             seen.add(name)
@@ -222,7 +259,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id
     recipe. A null id comes first. An empty table gives a store without rows.
     """
     spark = docs.sparkSession
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     packed = picked.mapInArrow(_pack(tokenizer_path, end_id), _PACKED_DDL).repartition("deal").mapInArrow(_once, _PACKED_DDL)
     packed.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/packed")
     rows = _packed(spark, path, "recipes").select("doc_id", "recipe_id", "n_tokens", "root", "digests")
