@@ -46,18 +46,18 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share:
     return s.select("source", "source_size", "weight", F.least(F.col("cap"), F.col("weight") * F.coalesce(level, F.lit(float("inf")))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, max_epochs: int = 3, seed: str = "mix", row_col: str | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, epochs, part, taken) for each row of docs.
 
     size: default, the words of column text (null: 0). taken = epochs x size + part, where epochs are whole
     passes over the source and part is what the row gives in the last one (0, size, or for one row a cut).
     The taken words of a source add up to its target, rounded down. Keys come from the id, so reruns agree;
-    rows that repeat an id are ordered by size, and equal rows are alike. A null id is hashed as an empty
-    string, null is a source of its own, and a source of empty texts has target 0. An empty table gives an
-    empty result.
+    rows that repeat an id are ordered by size, and equal rows are alike. A null id is hashed as an empty string,
+    null is a source of its own, and a source of empty texts has target 0. An empty table gives an empty result.
+    row_col names a column to hand through.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (word_count(F.col("text")) if size is None else size).alias("size"), key.alias("key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (word_count(F.col("text")) if size is None else size).alias("size"), key.alias("key"), *([row_col] if row_col else []))
     rows = materialize(rows, "sized")
     sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")), "sources")
     targets = source_targets(sizes.select("source", "source_size"), weights, share, max_epochs)
@@ -74,7 +74,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     r = r.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long"))
     rest = budget - F.col("epochs") * F.col("source_size")
     r = r.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("offset") - F.col("inside"))).cast("long"))
-    return r.select("doc_id", "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+    return r.select("doc_id", "source", "size", "source_size", "target", "epochs", "part", *([row_col] if row_col else []), (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, and, for the row at a source's budget, its first
+    words up to it. Columns are those of docs; a column n_chars is set to a cut text's length. Repeated rows are
+    taken each for itself; texts without a word are never taken. See mix for the rest.
+    """
+    names = docs.columns
+    marked = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-docs")  # read twice, so numbered once
+    mixed = mix(marked, id_col, source_col, word_count(F.col(text_col)), row_col="__row", **options)
+    rows = marked.join(mixed.where("taken > 0").select("__row", "size", "epochs", "part"), "__row")
+    none = F.array().cast("array<bigint>")
+    passes = F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(none))
+    rows = rows.withColumn("__words", F.explode(passes))
+    whole = F.col("__words") == F.col("size")
+    rows = rows.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("__words"))))
+    if "n_chars" in names:
+        rows = rows.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*names)
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its n-th word."""
+    parts = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    led = text.rlike(r"^[\x20\x09-\x0D]").cast("int")  # white space before the first word is a part of its own
+    return F.regexp_replace(F.array_join(F.slice(parts, F.lit(1), (n + led).cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
 
 
 OP10_SQL = r"""

@@ -112,21 +112,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     Of rows that repeat that id one stays. All columns are kept; a null id stays only where its component
     has no other.
     """
-    found = near_duplicates(docs, id_col, text_col, max_bits)
-    # equal ids may carry different texts, so a kept row is known by its id and fingerprint
-    kept = found.where("doc_id <=> component_id").groupBy("component_id").agg(F.min("fp").alias("fp"))
-    schema = docs.schema
-    stamped = docs.withColumn("__fp", _fp_udf()(F.col(text_col)))
-    joined = stamped.join(kept, stamped[id_col].cast("long").eqNullSafe(kept["component_id"]) & (stamped["__fp"] == kept["fp"]), "left_semi")
-    first = joined.dropDuplicates([id_col, "__fp"])
-    return first.select(*schema.names)
-
-
-def _fp_udf():
-    import pandas as pd
-
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter(map(simhash64, texts), np.uint64, len(texts)).view(np.int64))
-
-    return fp
+    marked = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-docs")  # read twice, so numbered once
+    found = near_duplicates(marked, "__row", text_col, max_bits).select(F.col("doc_id").alias("__row"), "component_id")
+    ids = marked.select("__row", F.col(id_col).alias("__id"))
+    first = F.min(F.struct(F.col("__id").isNull(), "__id", "__row"))["__row"]
+    kept = found.join(ids, "__row").groupBy("component_id").agg(first.alias("__row")).select("__row")
+    return marked.join(kept, "__row", "left_semi").select(*docs.columns)
