@@ -1,5 +1,67 @@
-"""The corpus pipeline (stages follow)."""
+"""A corpus from raw documents: five stages over the table documents, each written and read again.
 
-STAGES: list = []
-QUERIES: dict = {}
-ORACLES: dict = {}
+toxicity drops documents whose score reaches the threshold; near-dedup keeps one document of each group of near
+copies; decontamination drops documents that hold a benchmark item; mixing brings sources to their target shares,
+repeating whole documents where a source is too small and cutting the last document at the budget; tokens stores
+the ids of what is left in a content-addressed store and returns a row for each stored document.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import decontamination, mixing, simhash_dedup, token_store, toxicity
+from millrace.llm._shared import materialize, shared_path
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that score THRESHOLD or more; trained on labelled rows of its own input."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies stays."""
+    return simhash_dedup.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; the one at a source's budget is cut after the words taken."""
+    return mixing.take(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each stored document, read back from the store."""
+    store = shared_path(spark, "corpus-tokens")
+    token_store.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, store)
+    return token_store.read_store(spark, store)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("tokens", token_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents; each but the last is written in the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: Training, fingerprints, tiling and tokenizing are beyond SQL; tests hold run() against a brute-force version.
+ORACLE_SQL = None
+QUERIES = {"pipeline": run}
+ORACLES: dict[str, str] = {}
