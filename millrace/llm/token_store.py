@@ -37,7 +37,7 @@ from millrace.llm._hashing import stretch_hashes
 from millrace.llm._shared import materialize
 
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK, SPAN = 128, 512, 4096, 8
-_MEMO_ENTRIES, _GROUP_BYTES = 1_000_000, 1 << 19
+_MEMO_ENTRIES, _GROUP_BYTES, _SLOTS = 1_000_000, 1 << 19, 1 << 17
 #: Latin letters, then ASCII marks that begin neither a contraction nor a special token.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)((?:[!-&(-/:;=-@\[-`{-~][!-/:;=-@\[-`{-~]*)?)")
 #: The byte-level alphabet for pieces of these: a space is shown as U+0120, a line break as U+010A, and a byte b of a letter beyond ASCII
@@ -69,6 +69,8 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.memo: dict[int, bytes] = {}
+        self.slot_hashes = np.zeros(_SLOTS, np.uint64)  # in front of it: one unit for each slot, looked up in numpy
+        self.slot_ids = np.empty(_SLOTS, object)
         self.marks: dict[str, bytes] = {"": b""}
 
     def direct(self, text: str) -> bytes:
@@ -89,6 +91,8 @@ class Encoder:
 
     def unit(self, text: str) -> bytes:
         """Ids of a unit with the space or line break that leads it."""
+        if text[0] == " " and text.isascii() and text[1:].isalpha():
+            return self.piece(text[1:], "\u0120")
         lead = text[0] if text[0] in " \n" else ""
         found = _PLAIN.fullmatch(text, len(lead))
         if found is None:
@@ -115,7 +119,7 @@ class Encoder:
         return out + self._encode_group(group)
 
     def _encode_long(self, text: bytes) -> np.ndarray:
-        cuts = _unit_starts(np.frombuffer(text, np.uint8))
+        cuts = np.flatnonzero(_unit_cuts(np.frombuffer(text, np.uint8)))
         parts, a = [], 0
         while a < len(text):
             k = np.searchsorted(cuts, a + _GROUP_BYTES, "right") - 1
@@ -137,37 +141,46 @@ class Encoder:
             self.memo.clear()
         b = np.frombuffer(data, np.uint8)
         edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        starts = np.unique(np.concatenate([_unit_starts(b), edges[:-1][np.diff(edges) > 0]]))
+        cut = _unit_cuts(b)
+        cut[edges[:-1][np.diff(edges) > 0]] = True
+        starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(b))
-        hashes, first, which = np.unique(stretch_hashes(b, starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        found = list(map(self.memo.get, keys))
-        for k, ids in enumerate(found):
-            if ids is None:
-                f = first[k]
-                found[k] = self.memo[keys[k]] = self.unit(data[starts[f] : ends[f]].decode("utf-8", "surrogatepass"))
-        flat = np.frombuffer(b"".join(found), self.dtype)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        own = sizes[which]
-        reach = np.concatenate([[0], np.cumsum(own)])
-        ids = flat[np.arange(reach[-1]) + np.repeat((np.cumsum(sizes) - sizes)[which] - reach[:-1], own)]
-        cuts = reach[np.searchsorted(starts, edges)]
-        return [ids[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-
-
-def _unit_starts(b: np.ndarray) -> np.ndarray:
-    """Places of spaces before a non-space and of line breaks between non-spaces. Only bytes that can't belong to
-    white space count as non-space (ASCII, and letters that UTF-8 writes as 0xC3 and another); leaving out a cut
-    is always right."""
-    if len(b) < 2:
-        return np.zeros(0, np.int64)
-    solid = (b > 32) & (b < 127)
-    before_ok = np.zeros(len(b), bool)
-    before_ok[1:] = solid[:-1]
-    before_ok[2:] |= b[:-2] == 0xC3
-    after_ok = (solid | (b == 0xC3))[1:]
-    at = np.flatnonzero(after_ok & ((b[:-1] == 32) | (b[:-1] == 10) & before_ok[:-1]))
-    return at
+        hashes = stretch_hashes(b, starts, ends)
+        slots = (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+        found = self.slot_ids[slots]
+        past = np.flatnonzero(self.slot_hashes[slots] != hashes)
+        keys = hashes[past].tolist()
+        ids = list(map(self.memo.get, keys))
+        new = [k for k, x in enumerate(ids) if x is None]
+        if new:
+            at = past[new]
+            for k, a, z in zip(new, starts[at].tolist(), ends[at].tolist()):
+                if (x := self.memo.get(keys[k])) is None:
+                    x = self.memo[keys[k]] = self.unit(data[a:z].decode("utf-8", "surrogatepass"))
+                ids[k] = x
+        if len(past):
+            found[past] = np.fromiter(ids, object, len(ids))
+            free = self.slot_hashes[slots[past]] == 0  # frequent units come early and take the slots
+            self.slot_hashes[slots[past[free]]] = hashes[past[free]]
+            self.slot_ids[slots[past[free]]] = found[past[free]]
+        found = found.tolist()
+        cuts = np.searchsorted(starts, edges).tolist()
+        return [np.frombuffer(b"".join(found[a:z]), self.dtype) for a, z in zip(cuts[:-1], cuts[1:])]
+
+
+def _unit_cuts(b: np.ndarray) -> np.ndarray:
+    """True at spaces before a non-space and at line breaks between non-spaces. Only bytes that can't belong to white
+    space count as non-space (ASCII, and letters that UTF-8 writes as 0xC3 and another); leaving out a cut is always
+    right."""
+    cut = np.zeros(len(b), bool)
+    if len(b) > 1:
+        solid = (b > 32) & (b < 127)
+        latin = b == 0xC3
+        before_ok = np.zeros(len(b), bool)
+        before_ok[1:] = solid[:-1]
+        before_ok[2:] |= latin[:-2]
+        cut[:-1] = (solid | latin)[1:] & ((b[:-1] == 32) | (b[:-1] == 10) & before_ok[:-1])
+    return cut
 
 
 @cache
