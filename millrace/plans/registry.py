@@ -22,3 +22,10 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def _load() -> None:
+    from millrace.plans import analytics_queries, relational_queries, streaming_queries, text_queries  # noqa: F401
+
+
+_load()
