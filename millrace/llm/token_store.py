@@ -2,8 +2,9 @@
 
 Format (all tables Parquet under one folder):
 
-    chunks/   digest binary(16), n_ids int, payload binary    each distinct chunk once; little-endian ids of
-                                                              2 bytes (vocabularies up to 65,536) or 4
+    packed/kind=chunks   name (the digest, 16 bytes), n_tokens, payload: each distinct chunk once; little-endian
+                         ids of 2 bytes (vocabularies up to 65,536) or 4
+    packed/kind=recipes  recipes as they were packed
     recipes/  doc_id, recipe_id, start, n_tokens, root, digests array<binary>     in ascending doc_id order
     manifest/ part, recipes, first_start, n_tokens, root      sha256 over the recipes' roots of each part
 
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._hashing import stretch_hashes
+from millrace.llm._hashing import BASE, stretch_hashes
 from millrace.llm._shared import materialize
 
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK, SPAN = 128, 512, 4096, 8
@@ -188,19 +189,22 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids: where the hash of the last SPAN ids is a multiple of the mean."""
-    n = len(ids)
-    if n <= MIN_CHUNK:
-        return [n]
-    h = np.zeros(n - SPAN + 1, np.uint64)
+def _marks_of(ids: np.ndarray) -> np.ndarray:
+    """Ends of the spans of SPAN ids whose hash is a multiple of the mean, in ids of one or many documents."""
+    n = len(ids) - SPAN + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
     wide = ids.astype(np.uint64) + np.uint64(1)
-    for k in range(SPAN):
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h += wide[k : n - SPAN + 1 + k]
+    h = wide[:n] * np.uint64(BASE)
+    for k in range(1, SPAN):
+        h += wide[k : n + k]
+        h *= np.uint64(BASE)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    marks = (np.flatnonzero(h >> np.uint64(32) & np.uint64(MEAN_CHUNK - 1) == 0) + SPAN).tolist()
+    return np.flatnonzero(h >> np.uint64(32) & np.uint64(MEAN_CHUNK - 1) == 0) + SPAN
+
+
+def _cuts(marks: list[int], n: int) -> list[int]:
     out, last = [], 0
     for m in [*marks, n]:
         while m - last > MAX_CHUNK:
@@ -211,6 +215,21 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return out
 
 
+def cut_points(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one document's ids."""
+    return _cuts(_marks_of(ids).tolist(), len(ids))
+
+
+def many_cut_points(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    """Those of documents that follow one another; spans that reach over a document's start do not count."""
+    starts = ends - np.diff(ends, prepend=0)
+    marks = _marks_of(ids)
+    first = np.searchsorted(marks, starts + SPAN).tolist()
+    last = np.searchsorted(marks, ends, "right").tolist()
+    flat = marks.tolist()
+    return [_cuts([m - s for m in flat[i:j]], e - s) for i, j, s, e in zip(first, last, starts.tolist(), ends.tolist())]
+
+
 def digest(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=16).digest()
 
@@ -223,48 +242,41 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0] if level else hashlib.blake2b(b"", digest_size=16).digest()
 
 
-_PACKED = pa.schema([("kind", pa.string()), ("deal", pa.int64()), ("doc_id", pa.int64()), ("recipe_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("digest", pa.binary()), ("n_ids", pa.int32()), ("payload", pa.binary())])
-_PACKED_DDL = "kind string, deal long, doc_id long, recipe_id long, n_tokens long, root binary, digests array<binary>, digest binary, n_ids int, payload binary"
+_PACKED = pa.schema([("kind", pa.string()), ("name", pa.binary()), ("doc_id", pa.int64()), ("recipe_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("payload", pa.binary())])
+_PACKED_DDL = "kind string, name binary, doc_id long, recipe_id long, n_tokens long, root binary, digests array<binary>, payload binary"
 
 
 def _pack(path: str, end_id: int):
+    """Rows for chunks (name: their digest; n_tokens: their ids) and for recipes (name: 8 bytes of their number)."""
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, made, seen = _encoder(path), TaskContext.get().partitionId(), 0, set()
         end = np.array([end_id], encoder.dtype)
+        w = encoder.dtype.itemsize
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
+                own = encoder.encode(batch.column(1)[k : k + 256].to_pylist())
+                ids = np.concatenate([x for doc in own for x in (doc, end)])
+                ends = np.cumsum([len(x) + 1 for x in own])
+                raw, at = ids.tobytes(), 0
                 rows: list[tuple] = []
-                for doc_id, ids in zip(batch.column(0)[k : k + 256].to_pylist(), encoder.encode(batch.column(1)[k : k + 256].to_pylist())):
-                    ids = np.append(ids, end)
-                    raw, w = ids.tobytes(), ids.itemsize
+                for doc_id, cuts in zip(batch.column(0)[k : k + 256].to_pylist(), many_cut_points(ids, ends)):
                     a, names = 0, []
-                    for b in cut_points(ids):
-                        payload = raw[a * w : b * w]
+                    for b in cuts:
+                        payload = raw[(at + a) * w : (at + b) * w]
                         names.append(name := digest(payload))
                         if name not in seen:
                             seen.add(name)
-                            rows.append(("chunks", int.from_bytes(name[:8], "little", signed=True), None, None, None, None, None, name, b - a, payload))
+                            rows.append(("chunks", name, None, None, b - a, None, None, payload))
                         a = b
                     recipe = (part << 40) + made
-                    made += 1
-                    rows.append(("recipes", recipe, doc_id, recipe, a, merkle_root(names), names, None, None, None))
+                    made, at = made + 1, at + a
+                    rows.append(("recipes", recipe.to_bytes(8, "big"), doc_id, recipe, a, merkle_root(names), names, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PACKED.types)], schema=_PACKED)
 
     return pack
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop chunks that the partition has had."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for name in batch.column(7).to_pylist():
-            keep.append(name is None or name not in seen)
-            if name is not None:
-                seen.add(name)
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every row of docs and write chunks, recipes and manifest under path.
 
@@ -273,7 +285,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id
     """
     spark = docs.sparkSession
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    packed = picked.mapInArrow(_pack(tokenizer_path, end_id), _PACKED_DDL).repartition("deal").mapInArrow(_once, _PACKED_DDL)
+    packed = picked.mapInArrow(_pack(tokenizer_path, end_id), _PACKED_DDL).repartition("name").dropDuplicates(["name"])
     packed.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/packed")
     rows = _packed(spark, path, "recipes").select("doc_id", "recipe_id", "n_tokens", "root", "digests")
     rows = rows.repartitionByRange("doc_id", "recipe_id").sortWithinPartitions("doc_id", "recipe_id").withColumn("part", F.spark_partition_id())
@@ -378,7 +390,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each recipe, from the files; a chunk or recipe that fails its check raises."""
-    chunks = _packed(spark, path, "chunks").select("digest", "n_ids", "payload").mapInArrow(_check_chunks, "digest binary, n_ids int, crc long")
+    chunks = _packed(spark, path, "chunks").select(F.col("name").alias("digest"), F.col("n_tokens").cast("int").alias("n_ids"), "payload").mapInArrow(_check_chunks, "digest binary, n_ids int, crc long")
     recipes = spark.read.parquet(f"{path}/recipes")
     listed = recipes.select("recipe_id", F.posexplode("digests").alias("pos", "digest"))
     found = listed.join(chunks, "digest").groupBy("recipe_id").agg(F.array_sort(F.collect_list(F.struct("pos", "n_ids", "crc", "digest"))).alias("chunks"))
@@ -389,7 +401,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids array<int>): the documents' ids, rebuilt from their chunks."""
     recipes = spark.read.parquet(f"{path}/recipes").select("recipe_id", "doc_id", "start", F.posexplode("digests").alias("pos", "digest"))
-    chunks = _packed(spark, path, "chunks").select("digest", "n_ids", "payload")
+    chunks = _packed(spark, path, "chunks").select(F.col("name").alias("digest"), F.col("n_tokens").cast("int").alias("n_ids"), "payload")
 
     def open_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -75,7 +75,7 @@ def test_store_round_trip(spark):
     back = {r["start"]: r["ids"] for r in token_store.read_ids(spark, store).collect()}
     assert zlib.crc32(np.array(back[want[5][1]], "<u4").tobytes()) == want[5][3]
     chunks = token_store._packed(spark, store, "chunks")
-    assert chunks.count() == chunks.select("digest").distinct().count()
+    assert chunks.count() == chunks.select("name").distinct().count()
     listed = spark.read.parquet(f"{store}/recipes").orderBy("start").select("doc_id").collect()
     assert [r[0] for r in listed] == [None, *range(len(TEXTS))]
 
@@ -83,7 +83,7 @@ def test_store_round_trip(spark):
 def test_a_damaged_chunk_is_found(spark):
     path, store = public_tokenizers.path("byte_bpe_50k.json"), shared_path(spark, "store")
     token_store.write_store(docs(spark, ["one two", "three"]), path, 2, store)
-    bad = token_store._packed(spark, store, "chunks").withColumn("payload", F.lit(b"\1\0").cast("binary")).withColumn("n_ids", F.lit(1)).withColumn("kind", F.lit("chunks"))
+    bad = token_store._packed(spark, store, "chunks").withColumn("payload", F.lit(b"\1\0").cast("binary")).withColumn("n_tokens", F.lit(1).cast("long")).withColumn("kind", F.lit("chunks"))
     rest = token_store._packed(spark, store, "recipes").withColumn("kind", F.lit("recipes"))
     copy = shared_path(spark, "store")
     bad.unionByName(rest).write.partitionBy("kind").parquet(f"{copy}/packed")
@@ -104,6 +104,9 @@ def test_chunks_follow_content():
     b = np.concatenate([r.integers(0, 50_000, 137).astype("<u2"), a])
     cut = lambda x: [x[i:j].tobytes() for i, j in zip([0, *token_store.cut_points(x)], token_store.cut_points(x))]
     assert b"".join(cut(a)) == a.tobytes() and len(set(cut(a)) & set(cut(b))) >= len(cut(a)) - 3
+    ends = np.cumsum([len(a), 3, len(b), 1])
+    every = np.concatenate([a, a[:3], b, b[:1]])
+    assert token_store.many_cut_points(every, ends) == [token_store.cut_points(x) for x in (a, a[:3], b, b[:1])]
     same = np.zeros(20_000, "<u2")
     assert max(np.diff([0, *token_store.cut_points(same)])) <= token_store.MAX_CHUNK
 
