@@ -32,3 +32,15 @@ def decided_before(cases: DataFrame, decisions: DataFrame, case_day: str, decisi
     """Decisions strictly before each case's day (all of them where it has none), matched on keys."""
     j = cases.join(decisions, keys, "left")
     return j.where(F.col(case_day).isNull() | (F.col(decision_day) < F.col(case_day)))
+
+
+def marks(results: DataFrame, case: str, variant: str, round_: str, verdict: str) -> DataFrame:
+    """(case, variant, marks): the verdicts of a case over its rounds, in order; an aborted round is a dash."""
+    one = F.struct(F.col(round_), F.coalesce(F.col(verdict), F.lit("–")).alias("v"))
+    return results.groupBy(case, variant).agg(F.array_sort(F.collect_list(one)).alias("m")).select(case, variant, F.array_join("m.v", ", ").alias("marks"))
+
+
+def report(summary: DataFrame, variant: str) -> str:
+    """Markdown table of a summary (a row for each variant)."""
+    rows = summary.select(variant, ratio(F.col("passed"), F.col("runs")).alias("r"), "cost", "mean_seconds").orderBy(variant).collect()
+    return "\n".join(["| variant | passed | cost | seconds |", "|-|-|-|-|", *(f"| {v} | {r} | {c:.3f} | {s} |" for v, r, c, s in rows)])

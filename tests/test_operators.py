@@ -94,6 +94,17 @@ def test_first_failing_rule_gives_the_reason(spark):
     assert (r["match_percent"], r["experience_rank"], r["role_group"]) == (0, 99, None)
 
 
+def test_optional_and_employer_clauses_do_not_count(spark):
+    from dataclasses import replace
+
+    p = replace(PROFILE, optional_experience=["von vorteil"], applicant_phrases=["du hast"])
+    years = lambda x: spark.range(1).select(rules.required_years(rules.demanding_clauses(F.lit(x), p.optional_experience, p.applicant_phrases))).first()[0]
+    assert years("5 jahre berufserfahrung von vorteil. 2 jahre erfahrung") == 2
+    assert years("unser team hat 20 jahre erfahrung; du hast 3 jahre erfahrung") == 3
+    assert years("unser team hat 20 jahre erfahrung, und du hast 4 jahre erfahrung") == 20
+    assert years("mehr als 3 jahre erfahrung") == 4 and years("0 jahre erfahrung") == 0 and years("seit 20 jahren am markt") == 0
+
+
 def test_places(spark):
     assert scored(spark, location="Bonn", remote="60%")["location_precheck"] == "Bonn with 60% remote"
     assert scored(spark, location="Bad Bonn", remote="60%")["filter_status"] == "excluded"
