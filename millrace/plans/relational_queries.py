@@ -301,9 +301,9 @@ def label_lookup(spark, d):
 
 @query("search_plan", "SELECT p_type || ' in ' || r_name AS search FROM (SELECT DISTINCT p_type FROM part) CROSS JOIN region")
 def search_plan(spark, d):
-    terms = [r[0] for r in table(spark, d, "part").select("p_type").distinct().limit(1000).collect()]  # a configured list of terms
-    places = table(spark, d, "region").select("r_name")
-    return places.select(F.explode(F.array(*[F.lit(t) for t in sorted(terms)])).alias("t"), "r_name").select(F.concat("t", F.lit(" in "), "r_name").alias("search"))
+    terms = table(spark, d, "part").select("p_type").distinct()
+    places = table(spark, d, "region").agg(F.array_sort(F.collect_set("r_name")).alias("places"))  # one row: the configured places
+    return terms.crossJoin(F.broadcast(places)).select("p_type", F.explode("places").alias("place")).select(F.concat("p_type", F.lit(" in "), "place").alias("search"))
 
 
 @query("budget_cutoff", """SELECT event_id, spent_before FROM (SELECT event_id, user_id, coalesce(sum(value::DECIMAL(18,2)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS spent_before

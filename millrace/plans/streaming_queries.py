@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from millrace.plans.registry import query
-from millrace.session import table
+from millrace.session import shared_base, table
 from millrace.streaming import events as S
 
 
 def _work(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -28,3 +30,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_me
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_own_dir: str | None = None
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, in local sessions."""
+    global _own_dir
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if _own_dir is None:
+        _own_dir = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return _own_dir

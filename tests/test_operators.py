@@ -178,7 +178,7 @@ def test_history_puts_unknown_dates_first(spark):
 def test_same_company_pairs_equal_the_full_comparison(spark):
     from millrace.functions import text as T
 
-    names = ["Siemens", "Siemens Energy", "Energy Siemens GmbH", "EDAG Group", "EDAG Engineering Group", "SAP", "SAP Labs", "", "Acme", "Acme Tools", "Tools of Acme"]
+    names = ["Siemens", "Siemens Energy", "Energy Siemens GmbH", "Umbra Group", "Umbra Engineering Group", "SAP", "SAP Labs", "", "Acme", "Acme Tools", "Tools of Acme"]
     df = spark.createDataFrame(list(enumerate(names)), "i int, n string")
     got = {(r["a_i"], r["b_i"]) for r in review.same_company(df, df, "n").collect()}
     keyed = df.select("i", T.normalize_company(F.col("n")).alias("k"))
