@@ -176,6 +176,7 @@ def _predictor(model: Model | None, text_at: int, at_once: int = 256):
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (0 to 1). A null text and one without a letter give `und` and 0, and so
-    does everything where there was nothing to learn from. docs must not have columns of these names."""
+    does everything where there was nothing to learn from. Columns of these names that docs has are replaced."""
+    docs = docs.drop("lang_pred", "score")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(_predictor(model, docs.schema.names.index(text_col)), f"{ddl}, lang_pred string, score double")

@@ -85,11 +85,11 @@ def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     names = docs.columns
     marked = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-docs")  # read twice, so numbered once
     mixed = mix(marked, id_col, source_col, word_count(F.col(text_col)), row_col="__row", **options)
-    rows = marked.join(mixed.where("taken > 0").select("__row", "size", "epochs", "part"), "__row")
+    rows = marked.join(mixed.where("taken > 0").select("__row", F.col("size").alias("__size"), F.col("epochs").alias("__epochs"), F.col("part").alias("__part")), "__row")
     none = F.array().cast("array<bigint>")
-    passes = F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(none))
+    passes = F.concat(F.array_repeat(F.col("__size"), F.col("__epochs").cast("int")), F.when(F.col("__part") > 0, F.array("__part")).otherwise(none))
     rows = rows.withColumn("__words", F.explode(passes))
-    whole = F.col("__words") == F.col("size")
+    whole = F.col("__words") == F.col("__size")
     rows = rows.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("__words"))))
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))

@@ -167,8 +167,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     """docs with two more columns, score and offending: the sentences that reach the threshold by themselves.
 
     A null or empty text and one without a word score 0. Each row is scored by its whole text alone, so equal
-    texts have equal scores. docs must not have columns of these names.
+    texts have equal scores. Columns of these names that docs has are replaced.
     """
+    docs = docs.drop("score", "offending")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.schema.names.index(text_col)
     return docs.mapInArrow(_scorer(model, at, threshold), f"{ddl}, {_DDL}")

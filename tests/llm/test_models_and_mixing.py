@@ -26,7 +26,7 @@ def test_toxicity_on_held_out_rows(spark):
 def test_noisy_or_is_what_it_says_and_finds_sentences(spark):
     texts = [f"nice day number {i}. all is well." for i in range(200)] + [f"good start {i}. you are awful! fine end." for i in range(60)]
     model = T.train(texts, np.array([0] * 200 + [1] * 60))
-    df = spark.createDataFrame([(1, "all well. you awful. bye", "a"), (2, None, "a"), (3, "", "a"), (4, "...", "a"), (5, "fine day", "a"), (5, "fine day", "a"), (None, "word " * 20_000, "a")], "doc_id long, text string, source string")
+    df = spark.createDataFrame([(1, "all well. you awful. bye", "a"), (2, None, "a"), (3, "", "a"), (4, "...", "a"), (5, "fine day", "a"), (5, "fine day", "a"), (None, "word " * 20_000, "a")], "doc_id long, text string, score string")
     got = T.score(df, model).collect()
     assert len(got) == 7 and got[0]["score"] > 0.5
     hit = got[0]["offending"][0]
@@ -104,7 +104,7 @@ def test_mix_meets_its_budgets(spark):
 
 def test_taking_the_mix(spark):
     data = [(i, f" one two\tthree {i} ", "a" if i % 3 else "b", 99) for i in range(40)] + [(77, None, "a", 0), (78, "x y", "a", 3), (78, "x y", "a", 3)]
-    df = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long")
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long").withColumns({c: F.lit("z") for c in ("size", "part", "epochs", "taken", "target")})
     plan = {}
     for r in X.mix(df).collect():
         plan[r["doc_id"]] = plan.get(r["doc_id"], 0) + r["taken"]
