@@ -289,4 +289,4 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     marked = marked.withColumn("__stamp", F.xxhash64("__stamp", stamp))
     found = find_leaks(marked.select(F.col("__stamp").alias("doc_id"), F.col(text_col).alias("text")), benchmark, minimum=options.get("minimum", MINIMUM), coverage=options.get("coverage", COVERAGE))
     bad = materialize(found.select(F.col("doc_id").alias("__stamp")).distinct(), "leaks")
-    return marked.join(bad, "__stamp", "left_anti").select(*docs.columns)
+    return marked.join(bad.hint("shuffle_hash"), "__stamp", "left_anti").select(*docs.columns)

@@ -85,7 +85,7 @@ def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     names = docs.columns
     marked = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-docs")  # read twice, so numbered once
     mixed = mix(marked, id_col, source_col, word_count(F.col(text_col)), row_col="__row", **options)
-    rows = marked.join(mixed.where("taken > 0").select("__row", F.col("size").alias("__size"), F.col("epochs").alias("__epochs"), F.col("part").alias("__part")), "__row")
+    rows = marked.join(mixed.where("taken > 0").select("__row", F.col("size").alias("__size"), F.col("epochs").alias("__epochs"), F.col("part").alias("__part")).hint("shuffle_hash"), "__row")
     none = F.array().cast("array<bigint>")
     passes = F.concat(F.array_repeat(F.col("__size"), F.col("__epochs").cast("int")), F.when(F.col("__part") > 0, F.array("__part")).otherwise(none))
     rows = rows.withColumn("__words", F.explode(passes))

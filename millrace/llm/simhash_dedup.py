@@ -48,7 +48,7 @@ def simhash64(text: str | None, shingle: int = 3) -> int:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
         prints = np.fromiter(map(simhash64, batch.column(1).to_pylist()), np.uint64, batch.num_rows).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
 
@@ -117,4 +117,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     ids = marked.select("__row", F.col(id_col).alias("__id"))
     first = F.min(F.struct(F.col("__id").isNull(), "__id", "__row"))["__row"]
     kept = found.join(ids, "__row").groupBy("component_id").agg(first.alias("__row")).select("__row")
-    return marked.join(kept, "__row", "left_semi").select(*docs.columns)
+    return marked.join(kept.hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)

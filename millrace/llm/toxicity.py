@@ -24,7 +24,7 @@ from millrace.llm.labelled import held_out, sample_by_label
 THRESHOLD = 0.3
 FEATURES = 1 << 18
 _PREFIXES = (4, 5, 6)
-_MEMO_ENTRIES = 500_000
+_MEMO_ENTRIES, _ROWS = 200_000, 256
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
 
@@ -150,7 +150,7 @@ def _scorer(model: Model, text_at: int, threshold: float):
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = model.words()
-        for batch in batches:
+        for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
             scores, places = [], []
             for k in range(batch.num_rows):
                 text = batch.column(text_at)[k].as_py() or ""
