@@ -38,7 +38,7 @@ from millrace.llm._hashing import BASE, stretch_hashes
 from millrace.llm._shared import materialize
 
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK, SPAN = 128, 512, 4096, 8
-_MEMO_ENTRIES, _GROUP_BYTES, _SLOTS = 1_000_000, 1 << 19, 1 << 17
+_MEMO_ENTRIES, _GROUP_BYTES, _SLOTS = 1_600_000, 1 << 19, 1 << 17
 #: Latin letters, then ASCII marks that begin neither a contraction nor a special token.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)((?:[!-&(-/:;=-@\[-`{-~][!-/:;=-@\[-`{-~]*)?)")
 #: The byte-level alphabet for pieces of these: a space is shown as U+0120, a line break as U+010A, and a byte b of a letter beyond ASCII
@@ -286,7 +286,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id
     spark = docs.sparkSession
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     packed = picked.mapInArrow(_pack(tokenizer_path, end_id), _PACKED_DDL).repartition("name").dropDuplicates(["name"])
-    packed.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/packed")
+    packed.write.option("compression", "snappy").partitionBy("kind").parquet(f"{path}/packed")
     rows = _packed(spark, path, "recipes").select("doc_id", "recipe_id", "n_tokens", "root", "digests")
     rows = rows.repartitionByRange("doc_id", "recipe_id").sortWithinPartitions("doc_id", "recipe_id").withColumn("part", F.spark_partition_id())
     rows = materialize(rows, "recipes")
