@@ -20,14 +20,14 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     would replicate rows; nulls are equal."""
     cols = a.columns
     tagged = a.withColumn("__w", F.lit(1)).unionByName(b.withColumn("__w", F.lit(-1)))
-    return tagged.groupBy(*cols).agg(F.sum("__w").alias("n")).where("n > 0")
+    return tagged.groupBy(*cols).agg(F.sum("__w").alias("__n")).where("__n > 0").withColumnRenamed("__n", "n")
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: whether two tables hold the same rows equally often, and how many differ on each side."""
     tagged = a.withColumn("__w", F.lit(1)).unionByName(b.withColumn("__w", F.lit(-1)))
-    n = tagged.groupBy(*a.columns).agg(F.sum("__w").alias("n"))
-    return n.agg(F.coalesce(F.sum(F.greatest("n", F.lit(0))), F.lit(0)).alias("only_a"), F.coalesce(F.sum(F.greatest(-F.col("n"), F.lit(0))), F.lit(0)).alias("only_b")).withColumn("same", (F.col("only_a") == 0) & (F.col("only_b") == 0))
+    n = tagged.groupBy(*a.columns).agg(F.sum("__w").alias("__n"))
+    return n.agg(F.coalesce(F.sum(F.greatest("__n", F.lit(0))), F.lit(0)).alias("only_a"), F.coalesce(F.sum(F.greatest(-F.col("__n"), F.lit(0))), F.lit(0)).alias("only_b")).withColumn("same", (F.col("only_a") == 0) & (F.col("only_b") == 0))
 
 
 def band_join(df: DataFrame, key: str, day: str, width: int, id_col: str) -> DataFrame:

@@ -81,23 +81,26 @@ def _merge_block(block: pd.DataFrame, groups: frozenset) -> pd.DataFrame:
     return pd.DataFrame(kept, columns=block.columns).drop(columns=["__block", "__company", "__places"])
 
 
-def alias_closure(edges: DataFrame, src: str = "alias", dst: str = "canonical", max_rounds: int = 50) -> DataFrame:
-    """(id, root): where chains of aliases end. Pointers are doubled, so a chain of n takes log n rounds; ids on a
-    cycle end at the cycle's smallest id. The table is written between rounds where a checkpoint folder is set."""
+def alias_closure(edges: DataFrame, src: str = "alias", dst: str = "canonical") -> DataFrame:
+    """(id, root): where chains of aliases end. Pointers are doubled, so n edges take about log n rounds, after which
+    every chain has ended or is on a cycle; ids that lead to a cycle end at the cycle's smallest id. The table is written
+    between rounds where a checkpoint folder is set."""
     spark = edges.sparkSession
+
+    def keep(df: DataFrame) -> DataFrame:
+        return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df.persist()
+
     step = first_wins(edges.where(F.col(src) != F.col(dst)).select(F.col(src).alias("id"), F.col(dst).alias("to")), ["id"], [F.col("to")])
-    step = step.withColumn("low", F.least("id", "to"))
-    for _ in range(max_rounds):
+    step = keep(step.withColumn("low", F.least("id", "to")))
+    for _ in range(int(step.count()).bit_length() + 1):
         nxt = step.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
-        new = step.join(nxt, "to", "left").select("id", F.coalesce("to2", "to").alias("to"), F.least("low", F.coalesce("low2", "low")).alias("low"), F.col("to2").isNotNull().alias("moved"))
-        new = new.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else new.persist()
-        moved = new.where(F.col("moved") & (F.col("to") != F.col("id"))).limit(1).count()
-        settled = new.join(step.select("id", F.col("to").alias("t0"), F.col("low").alias("l0")), "id").where("not (to <=> t0) or not (low <=> l0)").limit(1).count()
-        step = new.drop("moved")
-        if not moved or not settled:
+        step = keep(step.join(nxt, "to", "left").select("id", F.coalesce("to2", "to").alias("to"), F.least("low", F.coalesce("low2", "low")).alias("low"), F.col("to2").isNotNull().alias("moved")))
+        moved = not step.where("moved").isEmpty()
+        step = step.drop("moved")
+        if not moved:
             break
-    ring = step.join(step.select(F.col("id").alias("to"), F.lit(True).alias("ring")), "to", "left")
-    return ring.select("id", F.when(F.col("ring"), F.col("low")).otherwise(F.col("to")).alias("root"))
+    ends = step.select(F.col("id").alias("to"), F.col("low").alias("ring_low"))  # only ids on a cycle still point on
+    return step.join(ends, "to", "left").select("id", F.coalesce("ring_low", "to").alias("root"))
 
 
 def preferred(df: DataFrame, keys: list, classes: list[tuple[str, int]], ties: list) -> DataFrame:

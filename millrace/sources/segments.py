@@ -60,7 +60,9 @@ class SegmentReader(DataSourceReader):
                 yield partition.name, taken, json.dumps(record, sort_keys=True, ensure_ascii=False), None
                 taken += 1
             if page_is_last(page, taken):
-                return
+                break
+        if not taken:
+            yield partition.name, None, None, None  # a segment without records is still one that was searched
 
 
 class SegmentSource(DataSource):
@@ -80,7 +82,7 @@ def read_segments(spark: SparkSession, path: str, max_pages: int = 40) -> tuple[
     spark.dataSource.register(SegmentSource)
     rows = spark.read.format("segments").option("maxPages", max_pages).load(path)
     report = rows.groupBy("segment").agg(F.count("payload").alias("rows"), F.max(F.col("error").isNotNull()).alias("failed")).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count_if("failed").alias("failed_segments"), F.count("*").alias("total_segments"))
-    return rows.where("error is null").drop("error"), report
+    return rows.where("error is null and payload is not null").drop("error"), report
 
 
 def convert(records: DataFrame, payload: str, ddl: str, required: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 """The engine does not know its training-data subpackage, and the entry does without it."""
 
+import os
 import re
 import subprocess
 import sys
@@ -20,7 +21,7 @@ def test_entry_without_the_subpackage(tmp_path):
     shutil.copytree(ROOT / "millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 50 and set(o) <= set(q) and not any(n.startswith('op1_') or n == 'pipeline' for n in q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONDONTWRITEBYTECODE": "1"})
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": "", "PYTHONDONTWRITEBYTECODE": "1"})
 
 
 def test_entry_with_everything():
