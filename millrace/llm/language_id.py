@@ -64,9 +64,11 @@ def log_probabilities(model: Model, x: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 7) -> Model:
+def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 6, least_steps: int = 400, batch: int = 64, rate: float = 0.004, seed: int = 7) -> Model:
+    """At least epochs passes, and as many more as give least_steps steps."""
     rng = np.random.default_rng(seed)
     n = len(WIDTHS) * EACH
+    epochs = max(epochs, -(-least_steps // -(-len(x) // batch)))
     mask = np.zeros((_WIDE * DIM, n), np.float32)
     for k, width in enumerate(WIDTHS):
         mask[: width * DIM, k * EACH : (k + 1) * EACH] = 1

@@ -31,16 +31,16 @@ ALL = Writer([r << 4 | s for r in range(16) for s in range(11)] + [11])
 
 
 def size(v):
-    return abs(v).bit_length()
+    return abs(int(v)).bit_length()
 
 
 def extra(v):
-    n = size(v)
+    n, v = size(v), int(v)
     return format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
 
 
 def point(v, al):
-    return (abs(v) >> al) * (1 if v > 0 else -1)
+    return (abs(int(v)) >> al) * (1 if v > 0 else -1)
 
 
 def pack(bits):
