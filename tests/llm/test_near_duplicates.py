@@ -194,3 +194,33 @@ def test_passages_on_a_table_hold_all_exact_repeats(spark):
     want = set().union(*(s for s in at.values() if len(s) > 1))
     got = {r["doc_id"] for r in P.duplicate_documents(P.repeated_passages(docs)).collect()}
     assert want <= got and len(got - want) <= 0.1 * len(want)
+
+
+def classes(spark, texts):
+    found = P.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    return {r["doc_id"]: r["class_id"] for r in P.duplicate_documents(found).collect()}
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_passages_made_of_frequent_lines_meet(spark):
+    r = random.Random(5)
+    lines = [words(r, 12) for _ in range(4)]
+    shared = [" ".join(f"{line} {words(r, 1)}" for line in r.sample(lines, 4)) for _ in range(12)]
+    texts = [f"{words(r, 30)} {p} {words(r, 30)}" for p in shared for _ in range(2)]
+    texts += [" ".join(f"{words(r, 25)} {line}" for line in r.sample(lines, 4)) for _ in range(60)]
+    assert classes(spark, texts) == {k: k - k % 2 for k in range(24)}
+
+
+def test_a_drifting_family_is_one_class(spark):
+    r = random.Random(6)
+    now, family = words(r, 90).split(), []
+    for k in range(30):
+        now[(k * 37) % 90] = words(r, 1)
+        family.append(" ".join(now))
+    pairs = [(a, b) for a in range(30) for b in range(a) if jaccard(family[a], family[b]) >= 0.8]
+    want = connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert len(want) == 30 and classes(spark, family) == {x["node"]: x["component"] for x in want}
