@@ -224,3 +224,10 @@ def test_a_drifting_family_is_one_class(spark):
     pairs = [(a, b) for a in range(30) for b in range(a) if jaccard(family[a], family[b]) >= 0.8]
     want = connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
     assert len(want) == 30 and classes(spark, family) == {x["node"]: x["component"] for x in want}
+
+
+def test_a_phrase_before_an_exact_passage_in_the_lead():
+    a = list(range(100, 160))
+    b = [*range(500, 520), *a[30:35], *range(600, 615), *a, *range(700, 720)]
+    a, b = (P.shingle_hashes(np.array(x, np.uint64)) for x in (a, b))
+    assert P.passages(a, b, [(0, len(a) - 1, 0, len(b) - 1)]) == [(0, 60, 40, 60, 1.0)]
