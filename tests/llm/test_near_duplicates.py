@@ -231,3 +231,13 @@ def test_a_phrase_before_an_exact_passage_in_the_lead():
     b = [*range(500, 520), *a[30:35], *range(600, 615), *a, *range(700, 720)]
     a, b = (P.shingle_hashes(np.array(x, np.uint64)) for x in (a, b))
     assert P.passages(a, b, [(0, len(a) - 1, 0, len(b) - 1)]) == [(0, 60, 40, 60, 1.0)]
+
+
+def test_a_passage_before_a_more_edited_stretch():
+    a = list(range(100, 280))
+    b = list(a)
+    for k in (40, *range(84, 180, 8)):
+        b[k] = 1000 + k
+    a, b = (P.shingle_hashes(np.array(x, np.uint64)) for x in (a, b))
+    (start, n, other, m, score), = P.passages(a, b, [(0, len(a) - 1, 0, len(b) - 1)])
+    assert start == other == 0 and n == m >= 80 and score >= 0.8
