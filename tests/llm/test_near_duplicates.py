@@ -184,16 +184,49 @@ def test_passages(spark):
     assert P.duplicate_documents(P.repeated_passages(df.limit(0))).count() == 0
 
 
-def test_passages_on_a_table_hold_all_exact_repeats(spark):
+def near_passage(a, b, least=46, similarity=0.8):
+    """Whether stretches of exactly `least` shingles at one of the shifts that shared shingles have are that similar."""
+    at = defaultdict(list)
+    for j, x in enumerate(b):
+        at[x].append(j)
+    shifts = {j - i for i, x in enumerate(a) for j in at.get(x, ())}
+    for i in range(len(a) - least + 1):
+        own = set(a[i : i + least])
+        if len(own & at.keys()) < similarity * len(own):
+            continue
+        for j in (i + d for d in shifts):
+            if 0 <= j <= len(b) - least:
+                other = set(b[j : j + least])
+                both = len(own & other)
+                if both >= similarity * (len(own) + len(other) - both):
+                    return True
+    return False
+
+
+def test_passages_on_a_table_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    at = defaultdict(set)
-    for d in docs.collect():
-        w = (d["text"] or "").encode().lower().split()
-        for k in range(len(w) - 49):
-            at[tuple(w[k : k + 50])].add(d["doc_id"])
-    want = set().union(*(s for s in at.values() if len(s) > 1))
-    got = {r["doc_id"] for r in P.duplicate_documents(P.repeated_passages(docs)).collect()}
-    assert want <= got and len(got - want) <= 0.1 * len(want)
+    texts = {d["doc_id"]: (d["text"] or "").encode().lower().split() for d in docs.collect()}
+    shingles = {k: [tuple(w[i : i + 5]) for i in range(len(w) - 4)] for k, w in texts.items()}
+    exact, holders = defaultdict(set), defaultdict(set)
+    for k, w in texts.items():
+        for i in range(len(w) - 49):
+            exact[tuple(w[i : i + 50])].add(k)
+        for x in set(shingles[k]):
+            holders[x].add(k)
+    want = set().union(*(s for s in exact.values() if len(s) > 1))
+    met = defaultdict(int)
+    for s in holders.values():
+        for x in s:
+            for y in s:
+                met[x, y] += x < y
+    near = {k for (x, y), n in met.items() if n >= 37 and near_passage(shingles[x], shingles[y]) for k in (x, y)}
+    found = P.repeated_passages(docs)
+    got = {r["doc_id"] for r in P.duplicate_documents(found).collect()}
+    assert want <= got and len(near & got) >= 0.95 * len(near)
+    for r in found.collect():
+        one, two = (texts[r[k]][r[a] : r[a] + r[n]] for k, a, n in (("doc_id", "first_word", "n_words"), ("other_id", "other_first", "other_words")))
+        assert len(one) == r["n_words"] >= 50 and len(two) == r["other_words"] >= 50
+        assert abs(jaccard(" ".join(map(repr, one)), " ".join(map(repr, two))) - r["similarity"]) < 1e-9 and r["similarity"] >= 0.8
 
 
 def classes(spark, texts):
@@ -241,3 +274,51 @@ def test_a_passage_before_a_more_edited_stretch():
     a, b = (P.shingle_hashes(np.array(x, np.uint64)) for x in (a, b))
     (start, n, other, m, score), = P.passages(a, b, [(0, len(a) - 1, 0, len(b) - 1)])
     assert start == other == 0 and n == m >= 80 and score >= 0.8
+
+
+def test_clusters_of_one_word_variants(spark):
+    """Passages of 60 words and their variants with one changed word each: variants resemble the original, few each other."""
+    r = random.Random(8)
+    texts, want = [], {}
+    for size in (3, 6, 12, 24, 60):
+        for _ in range(6):
+            base = words(r, 60).split()
+            family = []
+            for k in range(size):
+                own = list(base)
+                if k:
+                    own[r.randrange(5, 55)] = words(r, 1)
+                family.append(" ".join(own))
+            r.shuffle(family)
+            lead = len(texts)
+            for t in family:
+                want[len(texts)] = lead
+                texts.append(f"{words(r, r.randint(0, 80))} {t} {words(r, r.randint(0, 80))}")
+    got = classes(spark, texts)
+    assert all(want[k] == c for k, c in got.items())  # no class reaches into another
+    assert len(got) >= 0.95 * len(want)
+
+
+def test_frequent_lines_alone_make_no_class_and_no_square(spark):
+    r = random.Random(12)
+    line = words(r, 40)  # 36 of the 46 shingles of a passage: under the similarity with any text around it
+    texts = [f"{words(r, 40)} {line} {words(r, 40)}" for _ in range(150)]
+    texts += [f"{words(r, 20)} {line} {p} {words(r, 20)}" for p in (words(r, 30), words(r, 30)) for _ in range(2)]
+    assert classes(spark, texts) == {150: 150, 151: 150, 152: 152, 153: 152}
+
+
+def test_passages_of_very_long_texts(spark):
+    r = random.Random(13)
+    shared = words(r, 80)
+    long_ones = [f"{words(r, 30_000)} {shared} {words(r, 10_000)}", f"{words(r, 5)} {shared}", "line of words that repeats " * 20_000, "line of words that repeats " * 15_000]
+    assert classes(spark, long_ones) == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+def test_a_passage_in_another_order_of_sentences_and_twice_in_one_text():
+    r = random.Random(14)
+    a, b = (list(range(k, k + 40)) for k in (1000, 2000))
+    one, two = a + b, b + a
+    x, y = (P.shingle_hashes(np.array(t, np.uint64)) for t in (one, two))
+    assert P.passages(x, y, [(0, len(x) - 1, 0, len(y) - 1)])[0][4] >= 0.8
+    z = P.shingle_hashes(np.array([*one, *(r.randint(5000, 9000) for _ in range(60)), *one], np.uint64))
+    assert {f[0] for f in P.passages(z, x, [(0, len(z) - 1, 0, len(x) - 1)])} == {0, 140}
