@@ -5,16 +5,18 @@ Format (all tables Parquet under one folder):
     packed/kind=chunks   name (the digest, 16 bytes), n_tokens, payload: each distinct chunk once; little-endian
                          ids of 2 bytes (vocabularies up to 65,536) or 4
     packed/kind=recipes  recipes as they were packed
-    recipes/  doc_id, recipe_id, start, n_tokens, root, digests array<binary>     in ascending doc_id order
-    manifest/ part, recipes, first_start, n_tokens, root      sha256 over the recipes' roots of each part
+    recipes/  doc_id, recipe_id, part, run, start, n_tokens, root, digests array<binary>     in ascending doc_id order
+    manifest/ level, part, run, recipes, start, stop, n_tokens, root      Merkle roots of runs of recipes, of parts, of all
 
 A rolling hash over the last 8 ids cuts a document's ids into chunks, so that equal passages give equal
 chunks wherever they stand. Chunks are named by the digest of their payload. A recipe lists its chunks and
-their Merkle root; the manifest seals the recipes' roots of each part.
+their Merkle root. The manifest carries the tree on: a run of RUN recipes has the Merkle root of theirs, a part
+(one range partition) that of its runs, and the store that of its parts.
 
 Documents are encoded once, in one pass. Each task drops chunks that it has met; payloads are dealt by digest
 and stored once, recipes (which hold digests only) are dealt by document, so a chunk in a third of all
-documents gathers nowhere. Reading back checks each chunk against its name and each recipe against its root;
+documents gathers nowhere. Reading back checks the recipes against the manifest, so that a lost, doubled or altered
+one is noticed, each chunk against its name and each recipe's chunks against its root;
 a document's crc32 is combined from those of its chunks, so payloads are not shuffled again.
 """
 
@@ -34,11 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._hashing import BASE, stretch_hashes
+from millrace.llm._hashing import BASE, mix
 from millrace.llm._shared import materialize
 
-MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK, SPAN = 128, 512, 4096, 8
-_MEMO_ENTRIES, _GROUP_BYTES, _SLOTS = 1_600_000, 1 << 19, 1 << 17
+MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK, SPAN, RUN = 128, 512, 4096, 8, 4096
+_MEMO_ENTRIES, _GROUP_BYTES, _SLOTS = 1_200_000, 1 << 19, 1 << 17
 #: Latin letters, then ASCII marks that begin neither a contraction nor a special token.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)((?:[!-&(-/:;=-@\[-`{-~][!-/:;=-@\[-`{-~]*)?)")
 #: The byte-level alphabet for pieces of these: a space is shown as U+0120, a line break as U+010A, and a byte b of a letter beyond ASCII
@@ -47,13 +49,16 @@ _OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 17
 _LATIN_BYTES = {10: "\u010a"} | {c: "".join(chr(b if b not in _OTHERS else 256 + _OTHERS.index(b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 class Encoder:
     """Byte-level BPE of the tokenizers library, with the ids of units that have been met before.
 
     The tokenizer's pattern never joins a non-space with white space after it, gives a space before a non-space to
     the token that starts there, and makes a lone line break between non-spaces a token. So a text may be cut
     before each such space or line break, and the ids of a text are those of its units in turn. Units are found
-    and hashed (64 bits) for many texts at once; only new ones are encoded. A new unit of Latin letters, or of
+    and looked up for many texts at once, by their very bytes; only new ones are encoded. A new unit of Latin letters, or of
     these and marks after them, is what the pattern would hand to the model in one or two pieces, and goes to the
     library's model directly; any other goes through the whole tokenizer. The memo is emptied when it is full.
     """
@@ -66,11 +71,12 @@ class Encoder:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.model = self.whole.model
-        self.model._resize_cache(0)  # the memo stands in for it
         self.dtype = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.memo: dict[int, bytes] = {}
-        self.slot_hashes = np.zeros(_SLOTS, np.uint64)  # in front of it: one unit for each slot, looked up in numpy
+        self.memo: dict[bytes, bytes] = {}
+        # in front of it, looked up in numpy: a unit of at most 16 bytes for each slot, its bytes as two numbers, its length
+        self.slot_low, self.slot_high = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.uint64)
+        self.slot_sizes = np.zeros(_SLOTS, np.int64)
         self.slot_ids = np.empty(_SLOTS, object)
         self.marks: dict[str, bytes] = {"": b""}
 
@@ -146,24 +152,25 @@ class Encoder:
         cut[edges[:-1][np.diff(edges) > 0]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(b))
-        hashes = stretch_hashes(b, starts, ends)
-        slots = (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+        sizes = ends - starts
+        eight = np.ndarray(len(b) + 9, "<u8", data + bytes(16), strides=(1,))  # the 8 bytes from each place on
+        low = eight[starts] & _FIRST_BYTES[np.minimum(sizes, 8)]
+        high = eight[np.minimum(starts + 8, len(b))] & _FIRST_BYTES[np.clip(sizes - 8, 0, 8)]
+        slots = (mix(low * np.uint64(BASE) + high * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(_SLOTS - 1)).astype(np.int64)
         found = self.slot_ids[slots]
-        past = np.flatnonzero(self.slot_hashes[slots] != hashes)
-        keys = hashes[past].tolist()
+        past = np.flatnonzero((self.slot_low[slots] != low) | (self.slot_high[slots] != high) | (self.slot_sizes[slots] != sizes) | (sizes > 16))
+        keys = [data[a:z] for a, z in zip(starts[past].tolist(), ends[past].tolist())]
         ids = list(map(self.memo.get, keys))
-        new = [k for k, x in enumerate(ids) if x is None]
-        if new:
-            at = past[new]
-            for k, a, z in zip(new, starts[at].tolist(), ends[at].tolist()):
-                if (x := self.memo.get(keys[k])) is None:
-                    x = self.memo[keys[k]] = self.unit(data[a:z].decode("utf-8", "surrogatepass"))
-                ids[k] = x
+        for k in [k for k, x in enumerate(ids) if x is None]:
+            if (x := self.memo.get(keys[k])) is None:
+                x = self.memo[keys[k]] = self.unit(keys[k].decode("utf-8", "surrogatepass"))
+            ids[k] = x
         if len(past):
             found[past] = np.fromiter(ids, object, len(ids))
-            free = self.slot_hashes[slots[past]] == 0  # frequent units come early and take the slots
-            self.slot_hashes[slots[past[free]]] = hashes[past[free]]
-            self.slot_ids[slots[past[free]]] = found[past[free]]
+            free = past[(self.slot_sizes[slots[past]] == 0) & (sizes[past] <= 16)]  # frequent units come early and take the slots
+            free = free[np.unique(slots[free], return_index=True)[1]]
+            self.slot_low[slots[free]], self.slot_high[slots[free]], self.slot_sizes[slots[free]] = low[free], high[free], sizes[free]
+            self.slot_ids[slots[free]] = found[free]
         found = found.tolist()
         cuts = np.searchsorted(starts, edges).tolist()
         return [np.frombuffer(b"".join(found[a:z]), self.dtype) for a, z in zip(cuts[:-1], cuts[1:])]
@@ -293,13 +300,46 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("sum"), F.count("*").alias("recipes"), F.min(F.struct("doc_id", "recipe_id")).alias("first"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     parts = materialize(parts.withColumn("first_start", F.coalesce(F.sum("sum").over(before), F.lit(0))), "parts")
-    inside = Window.partitionBy("part").orderBy("doc_id", "recipe_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(parts.select("part", "first_start"), "part")
-    placed = placed.select("part", "doc_id", "recipe_id", (F.col("first_start") + F.col("inside")).alias("start"), "n_tokens", "root", "digests")
+    inside = Window.partitionBy("part").orderBy("doc_id", "recipe_id")
+    summed = F.coalesce(F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("inside", summed).withColumn("run", F.floor((F.row_number().over(inside) - 1) / RUN).cast("int")).join(parts.select("part", "first_start"), "part")
+    placed = placed.select("part", "run", "doc_id", "recipe_id", (F.col("first_start") + F.col("inside")).alias("start"), "n_tokens", "root", "digests")
     placed.repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
-    roots = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("start", "root"))).alias("roots"))
-    sealed = roots.select("part", F.sha2(F.array_join(F.transform("roots", lambda r: F.hex(r["root"])), ""), 256).alias("root"))
-    parts.join(sealed, "part").select("part", "recipes", "first_start", F.col("sum").alias("n_tokens"), "root").write.parquet(f"{path}/manifest")
+    _manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+
+
+_SEAL = "part int, run int, recipes long, start long, stop long, n_tokens long, root binary"
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        roots = pa.array([merkle_root(leaves) for leaves in batch.column(6).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:6], roots], names=[c.split()[0] for c in _SEAL.split(", ")])
+
+
+def _sealed(rows: DataFrame) -> DataFrame:
+    """rows, as _SEAL names them -> a row for each part and run, its root over theirs in order of start; a recipe has an id
+    at least (the end id), so starts differ."""
+    leaves = F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: x["root"])
+    found = rows.groupBy("part", "run").agg(F.sum("recipes").alias("recipes"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_tokens").alias("n_tokens"), leaves.alias("leaves"))
+    return found.mapInArrow(_roots, _SEAL)
+
+
+def _manifest(recipes: DataFrame) -> DataFrame:
+    """Seals of runs (RUN recipes), parts (the runs of a partition) and the store (the parts: as many as there were partitions)."""
+    none = F.lit(None).cast("int")
+    runs = materialize(_sealed(recipes.select("part", "run", F.lit(1).alias("recipes"), "start", (F.col("start") + F.col("n_tokens")).alias("stop"), "n_tokens", "root")), "runs")
+    parts = _sealed(runs.withColumn("run", none))
+    store = _sealed(parts.withColumn("part", none))
+    level = lambda rows, name: rows.select(F.lit(name).alias("level"), "*")
+    return level(runs, "run").unionByName(level(parts, "part")).unionByName(level(store, "store"))
+
+
+def _check_manifest(spark: SparkSession, path: str) -> None:
+    made, kept = _manifest(spark.read.parquet(f"{path}/recipes")), spark.read.parquet(f"{path}/manifest")
+    same = F.expr("m.level = k.level and m.part <=> k.part and m.run <=> k.run and m.recipes = k.recipes and m.start = k.start and m.stop = k.stop and m.n_tokens = k.n_tokens and m.n_tokens = m.stop - m.start and m.root = k.root")
+    if kept.alias("k").join(made.alias("m"), same, "left_anti").take(1) or made.alias("m").join(kept.alias("k"), F.expr("m.level = k.level and m.part <=> k.part and m.run <=> k.run"), "left_anti").take(1):
+        raise ValueError("the recipes are not those that the manifest seals")
 
 
 def _packed(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -389,7 +429,9 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each recipe, from the files; a chunk or recipe that fails its check raises."""
+    """(doc_id, start, n_tokens, ids_crc32) of each recipe, from the files; recipes that the manifest does not seal, and a
+    chunk or recipe that fails its check, raise."""
+    _check_manifest(spark, path)
     chunks = _packed(spark, path, "chunks").select(F.col("name").alias("digest"), F.col("n_tokens").cast("int").alias("n_ids"), "payload").mapInArrow(_check_chunks, "digest binary, n_ids int, crc long")
     recipes = spark.read.parquet(f"{path}/recipes")
     listed = recipes.select("recipe_id", F.posexplode("digests").alias("pos", "digest"))

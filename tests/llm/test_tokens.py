@@ -60,6 +60,18 @@ def test_units_give_the_ids_of_whole_texts(encoder, monkeypatch):
     assert [x.tobytes() for x in encoder.encode([c.encode() for c in cases])] == want
 
 
+def test_units_whose_polynomial_hashes_are_equal(encoder):
+    """Words of Thue and Morse and their complements collide in every polynomial hash modulo a power of two."""
+    for n in (10, 11, 12):
+        one = "".join("ab"[k.bit_count() % 2] for k in range(1 << n))
+        two = "".join("ba"[k.bit_count() % 2] for k in range(1 << n))
+        cases = [one, two, f"x {one} {two}", " " + two]
+        assert [x.tobytes() for x in encoder.encode([c.encode() for c in cases])] == [encoder.direct(c) for c in cases]
+    near = ["a" * k for k in range(1, 40)] + ["a" * k + "\0" for k in range(1, 20)] + ["b" * 8 + "a" * k for k in range(12)]
+    cases = [" ".join(near), *near]
+    assert [x.tobytes() for x in encoder.encode([c.encode() for c in cases])] == [encoder.direct(c) for c in cases]
+
+
 def test_store_round_trip(spark):
     path, store = public_tokenizers.path("byte_bpe_50k.json"), shared_path(spark, "store")
     token_store.write_store(docs(spark), path, 2, store)
@@ -87,11 +99,35 @@ def test_a_damaged_chunk_is_found(spark):
     rest = token_store._packed(spark, store, "recipes").withColumn("kind", F.lit("recipes"))
     copy = shared_path(spark, "store")
     bad.unionByName(rest).write.partitionBy("kind").parquet(f"{copy}/packed")
-    spark.read.parquet(f"{store}/recipes").write.parquet(f"{copy}/recipes")
+    for name in ("recipes", "manifest"):
+        spark.read.parquet(f"{store}/{name}").write.parquet(f"{copy}/{name}")
     with pytest.raises(Exception, match="does not hold"):
         token_store.read_store(spark, copy).collect()
 
 
+def test_lost_doubled_and_altered_recipes_are_found(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "RUN", 3)
+    store = shared_path(spark, "store")
+    token_store.write_store(docs(spark, [f"text {k} " * k for k in range(1, 12)]), public_tokenizers.path("byte_bpe_50k.json"), 2, store)
+    recipes, manifest = (spark.read.parquet(f"{store}/{name}") for name in ("recipes", "manifest"))
+    levels = {r["level"]: r["count"] for r in manifest.groupBy("level").count().collect()}
+    assert levels["store"] == 1 and levels["run"] > levels["part"] >= 1
+    assert token_store.read_store(spark, store).count() == recipes.count()
+
+    def damaged(recipes, manifest=manifest):
+        copy = shared_path(spark, "store")
+        spark.read.parquet(f"{store}/packed").write.partitionBy("kind").parquet(f"{copy}/packed")
+        recipes.write.parquet(f"{copy}/recipes")
+        manifest.write.parquet(f"{copy}/manifest")
+        return copy
+
+    last = recipes.agg(F.max("start")).first()[0]
+    cases = [recipes.where(F.col("start") < last), recipes.unionByName(recipes.where("start = 0")), recipes.withColumn("start", F.when(F.col("start") == last, last + 1).otherwise(F.col("start"))), recipes.withColumn("root", F.lit(b"x").cast("binary")), recipes.where("run > 0")]
+    for copy in [*map(damaged, cases), damaged(recipes, manifest.where("level <> 'run'"))]:
+        with pytest.raises(ValueError, match="manifest"):
+            token_store.read_store(spark, copy)
+
+
 def test_store_of_nothing(spark):
     store = shared_path(spark, "store")
     token_store.write_store(docs(spark).limit(0), public_tokenizers.path("byte_bpe_50k.json"), 2, store)
