@@ -5,8 +5,9 @@ greedy string tiling: the longest matches between words not yet covered are mark
 `minimum` words is left. An item is found in a document if tiles cover at least `coverage` of its words, in
 whatever order they stand there.
 
-An item can be covered that far only if enough of its seeds occur, which is tested before tiling; and as each
-tile is a run of seeds, only the places of a document where seeds stand are tiled. Where the benchmark's
+As each tile is a run of seeds, an item can be covered that far only if its places at which a seed of the
+document begins reach over as many of its words, which is tested before tiling; and only the places of a document
+where seeds stand are tiled. Where the benchmark's
 seeds are few enough (their number is counted first), they go to the tasks that read the documents and no
 document is shuffled. Beyond that, seeds and documents meet in an equality join.
 """
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import materialize
+from millrace.llm._shared import carried, materialize, pick
 
 MINIMUM, COVERAGE = 5, 0.8
 _WORD = re.compile(r"\w+")
@@ -132,7 +133,7 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, str | None]], minimum: int, coverage: float):
         self.hashes, self.coverage, self.minimum = WordHashes(), coverage, minimum
-        self.ids, self.words = [], []
+        self.ids, self.words, self.own_seeds = [], [], []
         seeds: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for item_id, text in items:
             own = words_of(text)
@@ -140,10 +141,12 @@ class Benchmark:
                 continue
             h = np.array([self.hashes[w] for w in own], np.uint64)
             size = min(minimum, len(own))
-            for r in runs(h, size).tolist():
+            own_seeds = runs(h, size)
+            for r in own_seeds.tolist():
                 seeds[size][r].add(len(self.ids))
             self.ids.append(item_id)
             self.words.append(h)
+            self.own_seeds.append(own_seeds)
         self.vocabulary = dict(self.hashes)
         self.seeds = {size: (np.array(sorted(s), np.uint64), [sorted(s[k]) for k in sorted(s)]) for size, s in seeds.items()}
 
@@ -171,17 +174,20 @@ class Benchmark:
                     places[item].append((p, s))
             for item, seen in places.items():
                 a = self.words[item]
-                if len({s for _, s in seen}) * size < self._least_seeds(len(a)):
+                if self._reach(item, seeds[sorted({s for _, s in seen})], size) < self.coverage * len(a) - 1e-9:
                     continue
                 found = self.compare(a, h, [p for p, _ in seen], size)
                 if found:
                     out.append((self.ids[item], *found))
         return out
 
-    def _least_seeds(self, n: int) -> float:
-        """Tiles of `minimum` words are those with the fewest seeds for what they cover; equal seeds of an item
-        count once, so its own repeats are allowed for by asking for a fifth of that."""
-        return self.coverage * n / 5
+    def _reach(self, item: int, seeds: np.ndarray, size: int) -> int:
+        """How many of an item's words its places with these seeds hold: no tiling can cover more."""
+        edges = np.zeros(len(self.words[item]) + 1, np.int64)
+        at = np.flatnonzero(np.isin(self.own_seeds[item], seeds))
+        np.add.at(edges, at, 1)
+        np.add.at(edges, at + size, -1)
+        return int((np.cumsum(edges) > 0).sum())
 
     def compare(self, a: np.ndarray, h: np.ndarray, starts: list[int], size: int) -> tuple | None:
         keep = np.zeros(len(h) + 1, bool)
@@ -220,7 +226,7 @@ def _search(benchmark: Benchmark):
 
 
 def _seed_rows(sizes: tuple[int, ...], minimum: int, own_size: bool):
-    """(row, size, seed) for a text: its seeds of its own size (items) or of all sizes (documents)."""
+    """(row, size, seed, times, n_words) for a text: its seeds of its own size (items) or of all sizes (documents)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -231,8 +237,8 @@ def _seed_rows(sizes: tuple[int, ...], minimum: int, own_size: bool):
                     continue
                 h = np.array([hashes[w] for w in words], np.uint64)
                 for size in (min(minimum, len(words)),) if own_size else sizes:
-                    r = np.unique(runs(h, size)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), row)), pa.array(np.full(len(r), size, np.int32)), pa.array(r), pa.array(np.full(len(r), len(words), np.int32))], names=["row", "size", "seed", "n_words"])
+                    r, times = np.unique(runs(h, size), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), row)), pa.array(np.full(len(r), size, np.int32)), pa.array(r.view(np.int64)), pa.array(times.astype(np.int32)), pa.array(np.full(len(r), len(words), np.int32))], names=["row", "size", "seed", "times", "n_words"])
 
     return emit
 
@@ -259,8 +265,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     most_seed_bytes bounds the item text that is sent to the tasks (about 30 bytes of seeds for each of its
     bytes); a larger benchmark takes the join.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    items = pick(benchmark, item_id=item_col, item=item_text_col).select(F.col("item_id").cast("long"), "item")
+    texts = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("item")), F.lit(0))).first()[0]
     if size * 30 <= most_seed_bytes:
         got = items.toArrow()
@@ -269,24 +275,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def _find_by_join(texts: DataFrame, items: DataFrame, minimum: int, coverage: float) -> DataFrame:
-    ddl = "row long, size int, seed long, n_words int"
+    ddl = "row long, size int, seed long, times int, n_words int"
     texts = materialize(texts.withColumn("row", F.monotonically_increasing_id()), "leak-docs")
     items = materialize(items.withColumn("item_row", F.monotonically_increasing_id()), "leak-items")
     item_seeds = items.select("item_row", "item").mapInArrow(_seed_rows((), minimum, True), ddl).withColumnRenamed("row", "item_row")
     item_seeds = materialize(item_seeds, "leak-seeds")
     sizes = tuple(r[0] for r in item_seeds.select("size").distinct().orderBy("size").collect())  # at most `minimum` of them
-    doc_seeds = texts.select("row", "text").mapInArrow(_seed_rows(sizes, minimum, False), ddl).drop("n_words")
-    shared = doc_seeds.join(item_seeds, ["size", "seed"]).groupBy("row", "item_row", "size", "n_words").agg(F.count("*").alias("n"))
-    pairs = shared.where(F.col("n") * F.col("size") >= F.lit(coverage / 5) * F.col("n_words")).select("row", "item_row")
+    doc_seeds = texts.select("row", "text").mapInArrow(_seed_rows(sizes, minimum, False), ddl).drop("times", "n_words")
+    shared = doc_seeds.join(item_seeds, ["size", "seed"]).groupBy("row", "item_row", "size", "n_words").agg(F.sum("times").alias("n"))
+    # a place of an item with a shared seed holds `size` of its words at most
+    pairs = shared.where(F.col("n") * F.col("size") >= F.lit(coverage) * F.col("n_words") - 1e-9).select("row", "item_row")
     both = pairs.join(texts, "row").join(items, "item_row").select("doc_id", "item_id", "text", "item")
     return both.mapInArrow(_compare_pairs(minimum, coverage), _DDL)
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows whose text holds an item. Rows that share an id are told apart by their text."""
-    stamp = F.xxhash64(F.col(text_col))
-    marked = docs.withColumn("__stamp", F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")))
-    marked = marked.withColumn("__stamp", F.xxhash64("__stamp", stamp))
-    found = find_leaks(marked.select(F.col("__stamp").alias("doc_id"), F.col(text_col).alias("text")), benchmark, minimum=options.get("minimum", MINIMUM), coverage=options.get("coverage", COVERAGE))
-    bad = materialize(found.select(F.col("doc_id").alias("__stamp")).distinct(), "leaks")
-    return marked.join(bad.hint("shuffle_hash"), "__stamp", "left_anti").select(*docs.columns)
+    """docs without the rows whose text holds an item; options are those of find_leaks. Rows that share an id are told
+    apart by their text. Other columns are kept, whatever their names."""
+    rows, at, back = carried(docs)
+    marked = rows.withColumn("stamp", F.xxhash64(F.coalesce(at(id_col).cast("long").cast("string"), F.lit("null")), F.xxhash64(at(text_col))))
+    found = find_leaks(marked.select(F.col("stamp").alias("doc_id"), at(text_col).alias("text")), benchmark, **options)
+    bad = materialize(found.select(F.col("doc_id").alias("stamp")).distinct(), "leaks")
+    return back(marked.join(bad.hint("shuffle_hash"), "stamp", "left_anti"))

@@ -322,3 +322,44 @@ def test_a_passage_in_another_order_of_sentences_and_twice_in_one_text():
     assert P.passages(x, y, [(0, len(x) - 1, 0, len(y) - 1)])[0][4] >= 0.8
     z = P.shingle_hashes(np.array([*one, *(r.randint(5000, 9000) for _ in range(60)), *one], np.uint64))
     assert {f[0] for f in P.passages(z, x, [(0, len(z) - 1, 0, len(x) - 1)])} == {0, 140}
+
+
+def brute_coverage(item, doc):
+    """Share of an item's words that greedy tiles hold; short items are found only as a whole run."""
+    size = min(5, len(item))
+    return brute_tiles(item, doc, size) / len(item)
+
+
+def test_leaks_against_brute_force(spark):
+    r = random.Random(21)
+    items = ["alpha " * 60, " ".join(["alpha beta gamma delta"] * 12), *(" ".join(r.choice("abc") for _ in range(r.randint(1, 24))) for _ in range(12))]
+    docs = ["alpha " * 60, "alpha " * 47, "alpha " * 48, items[1] + " tail", *(" ".join(r.choice("abc") for _ in range(r.randint(0, 40))) for _ in range(25))]
+    docs += [" ".join([*t.split()[len(t.split()) // 2 :], "zzz", *t.split()[: len(t.split()) // 2]]) for t in items[2:8]]
+    want = {}
+    for i, d in enumerate(docs):
+        for j, t in enumerate(items):
+            c = brute_coverage(t.split(), d.split())
+            if c >= 0.8 - 1e-9:
+                want[i, j] = round(c, 9)
+    assert (0, 0) in want and (1, 0) not in want and (2, 0) in want
+    for most in (1 << 26, 0):
+        assert {k: round(c, 9) for k, c in leaks(spark, docs, items, most_seed_bytes=most).items()} == want
+
+
+def test_leaks_on_a_table_against_brute_force(spark):
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    items = {r["item_id"]: D.words_of(r["text"]) for r in bench.collect()}
+    want = set()
+    for r in docs.collect():
+        w = D.words_of(r["text"])
+        runs = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        for item, own in items.items():
+            held = [tuple(own[k : k + 5]) in runs for k in range(len(own) - 4)]
+            reach = sum(any(held[max(0, p - 4) : p + 1]) for p in range(len(own)))
+            if reach >= 0.8 * len(own) and len(own) > 4:
+                places = [k for k in range(len(w) - 4) if tuple(w[k : k + 5]) in {tuple(own[j : j + 5]) for j in range(len(own) - 4)}]
+                keep = sorted({p + d for p in places for d in range(5)})
+                b = [x for a, p in zip([None, *keep], keep) for x in ([object()] if a is not None and p > a + 1 else []) + [w[p]]]
+                if brute_coverage(own, b) >= 0.8 - 1e-9:
+                    want.add((r["doc_id"], item))
+    assert want and {(r["doc_id"], r["item_id"]) for r in D.find_leaks(docs, bench).collect()} == want
