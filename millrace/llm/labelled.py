@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def held_out(id_col: Column) -> Column:
@@ -14,9 +17,20 @@ def held_out(id_col: Column) -> Column:
 def sample_by_label(rows: DataFrame, label: str, id_col: str, per_label: int, most: int) -> DataFrame:
     """About per_label rows of each label and at most `most` in all, chosen by a hash of the id.
 
-    Each label's rows are thinned by its count, so no label is gathered in one task.
+    Labels share `most` evenly, but none gets more than it has or than per_label; what is left over goes to the others,
+    so rare labels are filled first. Each label's rows are thinned by its share of its count, and ranked within that
+    share, so no label is gathered in one task and the last cut takes from all alike. Label counts come to the driver,
+    which gets the labels anyway.
     """
-    counts = rows.groupBy(label).agg(F.count("*").alias("__n"))
+    counts = sorted((r["count"], r[label]) for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().collect())
+    shares, left = [], most
+    for k, (n, value) in enumerate(counts):
+        share = min(n, per_label, left / (len(counts) - k))
+        left -= share
+        shares.append((value, n / share if share else math.inf))
+    if not shares:
+        return rows.limit(0)
+    thinning = rows.sparkSession.createDataFrame(shares, T.StructType([rows.schema[label], T.StructField("__thinning", T.DoubleType())]))
     u = (F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))
-    thin = rows.join(counts, label).where(u < F.lit(1.25 * per_label) / F.col("__n")).withColumn("__u", u).drop("__n")
-    return thin.orderBy("__u", id_col).limit(most).drop("__u")
+    ranked = rows.join(F.broadcast(thinning), label).withColumn("__rank", u * F.col("__thinning")).where("__rank < 1.25")
+    return ranked.orderBy("__rank", id_col).limit(most).drop("__rank", "__thinning")

@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from millrace.llm._shared import carried, pick
 from millrace.llm.labelled import held_out, sample_by_label
 
 WINDOW = 192
@@ -123,13 +125,13 @@ def _sample_windows(per_doc: int):
     return pick
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, most: int = 12_000, per_doc: int = 2) -> Model | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, most: int = 12_000, per_doc: int = 3) -> Model | None:
     """Train on the windows (at most per_doc of each, spread over the text) of at most `most` documents that are
     not held out and have a language and a letter. None where there are none."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"))
-    ids = sample_by_label(rows.select("__id", "__lang"), "__lang", "__id", per_language, most)
-    chosen = rows.join(F.broadcast(ids.select("__id").distinct()), "__id", "left_semi")
-    got = chosen.select("__text", "__lang").mapInArrow(_sample_windows(per_doc), "window binary, lang string").limit(most * per_doc).toArrow()
+    rows = pick(docs, id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
+    ids = sample_by_label(rows.select("id", "lang"), "lang", "id", per_language, most)
+    chosen = rows.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.min(F.struct("text", "lang")).alias("row"))
+    got = chosen.select("row.text", "row.lang").mapInArrow(_sample_windows(per_doc), "window binary, lang string").toArrow()
     pairs = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
     languages = sorted({lang for _, lang in pairs})
     if not languages:
@@ -138,7 +140,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(x, np.searchsorted(np.array(languages), [lang for _, lang in pairs]), languages)
 
 
-def _predictor(model: Model | None, text_at: int, at_once: int = 256):
+def _predictor(model: Model | None, at_once: int = 256):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
@@ -154,7 +156,7 @@ def _predictor(model: Model | None, text_at: int, at_once: int = 256):
 
             held = 0
             for k in range(batch.num_rows if model else 0):
-                text = batch.column(text_at)[k].as_py()
+                text = batch.column(1)[k].as_py()
                 if text is None or not _LETTER.search(text):
                     continue
                 own = windows(text.encode("utf-8", "surrogatepass"))
@@ -171,14 +173,15 @@ def _predictor(model: Model | None, text_at: int, at_once: int = 256):
             for k in np.flatnonzero(weight):
                 mean = np.exp(total[k] / weight[k])
                 langs[k], scores[k] = model.languages[int(mean.argmax())], mean.max() / mean.sum()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(np.round(scores, 6))], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.round(scores, 6))], names=["row", "lang_pred", "score"])
 
     return predict
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (0 to 1). A null text and one without a letter give `und` and 0, and so
-    does everything where there was nothing to learn from. Columns of these names that docs has are replaced."""
-    docs = docs.drop("lang_pred", "score")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_predictor(model, docs.schema.names.index(text_col)), f"{ddl}, lang_pred string, score double")
+    does everything where there was nothing to learn from. Columns of these names that docs has are replaced; others
+    may have any name."""
+    rows, at, back = carried(docs)
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return back(rows.select("row", at(text_col).alias("text")).mapInArrow(_predictor(model), schema), None, "lang_pred", "score")

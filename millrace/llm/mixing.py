@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import materialize
+from millrace.llm._shared import carried, materialize, pick
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -57,6 +57,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     row_col names a column to hand through.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    if size is None:
+        docs = pick(docs, **{"text": "text", id_col: id_col, source_col: source_col}, **({row_col: row_col} if row_col else {}))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (word_count(F.col("text")) if size is None else size).alias("size"), key.alias("key"), *([row_col] if row_col else []))
     rows = materialize(rows, "sized")
     sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")), "sources")
@@ -79,21 +81,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
 
 def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, and, for the row at a source's budget, its first
-    words up to it. Columns are those of docs; a column n_chars is set to a cut text's length. Repeated rows are
-    taken each for itself; texts without a word are never taken. See mix for the rest.
+    words up to it. Columns are those of docs, whatever their names; a column n_chars is set to a cut text's length.
+    Repeated rows are taken each for itself; texts without a word are never taken. See mix for the rest.
     """
-    names = docs.columns
-    marked = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-docs")  # read twice, so numbered once
-    mixed = mix(marked, id_col, source_col, word_count(F.col(text_col)), row_col="__row", **options)
-    rows = marked.join(mixed.where("taken > 0").select("__row", F.col("size").alias("__size"), F.col("epochs").alias("__epochs"), F.col("part").alias("__part")).hint("shuffle_hash"), "__row")
+    rows, at, back = carried(docs)
+    marked = materialize(rows.withColumn("n", F.monotonically_increasing_id()), "mix-docs")  # read twice, so numbered once
+    mixed = mix(marked.select("n", at(id_col).alias("id"), at(source_col).alias("source"), at(text_col).alias("text")), "id", "source", word_count(F.col("text")), row_col="n", **options)
+    rows = marked.join(mixed.where("taken > 0").select("n", "size", "epochs", "part").hint("shuffle_hash"), "n")
     none = F.array().cast("array<bigint>")
-    passes = F.concat(F.array_repeat(F.col("__size"), F.col("__epochs").cast("int")), F.when(F.col("__part") > 0, F.array("__part")).otherwise(none))
-    rows = rows.withColumn("__words", F.explode(passes))
-    whole = F.col("__words") == F.col("__size")
-    rows = rows.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("__words"))))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*names)
+    passes = F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(none))
+    rows = rows.withColumn("words", F.explode(passes))
+    whole = F.col("words") == F.col("size")
+    cut = F.when(whole, at(text_col)).otherwise(first_words(at(text_col), F.col("words")))
+    changed = {text_col: cut}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(whole, at("n_chars")).otherwise(F.length(cut)).cast(docs.schema["n_chars"].dataType)
+    return back(rows, changed)
 
 
 def first_words(text: Column, n: Column) -> Column:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import materialize
+from millrace.llm._shared import carried, materialize, pick
 from millrace.llm.components import connected_components
 
 _ROWS = 16_384
@@ -55,7 +55,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp as a signed long. A null or empty text has fingerprint 0."""
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    picked = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     return picked.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
@@ -109,12 +109,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
     """The rows of docs that stay when one of each component of near-duplicates stays: that with the smallest id.
 
-    Of rows that repeat that id one stays. All columns are kept; a null id stays only where its component
-    has no other.
+    Of rows that repeat that id one stays. All columns are kept, whatever their names; a null id stays only where
+    its component has no other.
     """
-    marked = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-docs")  # read twice, so numbered once
-    found = near_duplicates(marked, "__row", text_col, max_bits).select(F.col("doc_id").alias("__row"), "component_id")
-    ids = marked.select("__row", F.col(id_col).alias("__id"))
-    first = F.min(F.struct(F.col("__id").isNull(), "__id", "__row"))["__row"]
-    kept = found.join(ids, "__row").groupBy("component_id").agg(first.alias("__row")).select("__row")
-    return marked.join(kept.hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
+    rows, at, back = carried(docs)
+    marked = materialize(rows.withColumn("n", F.monotonically_increasing_id()), "simhash-docs")  # read twice, so numbered once
+    found = near_duplicates(marked.select("n", at(text_col).alias("text")), "n", "text", max_bits).select(F.col("doc_id").alias("n"), "component_id")
+    ids = marked.select("n", at(id_col).alias("id"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "n"))["n"]
+    kept = found.join(ids, "n").groupBy("component_id").agg(first.alias("n")).select("n")
+    return back(marked.join(kept.hint("shuffle_hash"), "n", "left_semi"))

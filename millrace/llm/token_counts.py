@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm._shared import pick
+
 CACHE_SCHEMA = "content_digest binary, tokenizer_version string, n_tokens long"
 
 
@@ -57,9 +59,10 @@ def _counter(path: str, at_once: int = 128):
     return count
 
 
-def _content(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("__text", text).withColumn("content_digest", F.unhex(F.sha2(text.cast("binary"), 256)))
+def _content(docs: DataFrame, text_col: str, **others: str) -> DataFrame:
+    """(text, content_digest) and other columns of docs under new names."""
+    text = F.coalesce("text", F.lit(""))
+    return pick(docs, text=text_col, **others).withColumn("text", text).withColumn("content_digest", F.unhex(F.sha2(text.cast("binary"), 256)))
 
 
 def read_cache(spark, cache_path: str) -> DataFrame:
@@ -83,7 +86,7 @@ def fill_cache(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col:
     """
     version = tokenizer_version(tokenizer_path)
     known = read_cache(docs.sparkSession, cache_path).where(F.col("tokenizer_version") == version).select("content_digest")
-    distinct = _content(docs, text_col).select("content_digest", "__text").groupBy("content_digest").agg(F.first("__text").alias("text"))
+    distinct = _content(docs, text_col).groupBy("content_digest").agg(F.first("text").alias("text"))
     missing = distinct.join(known, "content_digest", "left_anti")
     counted = missing.mapInArrow(_counter(tokenizer_path), "content_digest binary, n_tokens long")
     counted.select("content_digest", F.lit(version).alias("tokenizer_version"), "n_tokens").write.mode("append").parquet(cache_path)
@@ -100,5 +103,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     fill_cache(docs, tokenizer_path, cache_path, text_col)
     version = tokenizer_version(tokenizer_path)
     counts = read_cache(spark, cache_path).where(F.col("tokenizer_version") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    rows = _content(docs, text_col).select(F.col(id_col).alias("doc_id"), F.octet_length("__text").cast("long").alias("n_bytes"), "content_digest")
+    rows = _content(docs, text_col, doc_id=id_col).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest")
     return rows.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm._hashing import BASE, mix
-from millrace.llm._shared import materialize
+from millrace.llm._shared import materialize, pick
 
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK, SPAN, RUN = 128, 512, 4096, 8, 4096
 _MEMO_ENTRIES, _GROUP_BYTES, _SLOTS = 1_200_000, 1 << 19, 1 << 17
@@ -291,7 +291,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id
     recipe. A null id comes first. An empty table gives a store without rows.
     """
     spark = docs.sparkSession
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    picked = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     packed = picked.mapInArrow(_pack(tokenizer_path, end_id), _PACKED_DDL).repartition("name").dropDuplicates(["name"])
     packed.write.option("compression", "snappy").partitionBy("kind").parquet(f"{path}/packed")
     rows = _packed(spark, path, "recipes").select("doc_id", "recipe_id", "n_tokens", "root", "digests")

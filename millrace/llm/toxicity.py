@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from millrace.llm._shared import carried, pick
 from millrace.llm.labelled import held_out, sample_by_label
 
 THRESHOLD = 0.3
@@ -68,13 +71,13 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 150, rate: float =
     the sample: a feature that would explain fewer stays at zero.
     """
     ids: dict[str, int] = {}
-    words: list[int] = []
-    sentence_ends, doc_of = [], []
+    words = array("i")
+    sentence_ends, doc_of = array("q"), array("i")
     for k, text in enumerate(texts):
         for sentence in _SENTENCE.findall(text.lower()):
             found = _WORD.findall(sentence)
             if found:
-                words += [ids.setdefault(w, len(ids)) for w in found]
+                words.extend([ids.setdefault(w, len(ids)) for w in found])
                 sentence_ends.append(len(words))
                 doc_of.append(k)
     if not words or labels.min(initial=1) == labels.max(initial=0):
@@ -85,7 +88,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 150, rate: float =
     feat = np.array([x for f in feats for x in f], np.int64)
     feat_word = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
     used, feat = np.unique(feat, return_inverse=True)
-    words_a = np.array(words, np.int64)
+    words_a = np.array(words, np.int32)
     starts = np.concatenate([[0], sentence_ends[:-1]]).astype(np.int64)
     sentence_of = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(words)]])))
     doc_of_a = np.array(doc_of)
@@ -116,17 +119,17 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 150, rate: float =
     return Model(weights, float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 3000, most: int = 6000, longest: int = 20_000) -> Model:
-    """Train on at most `most` labelled rows that are not held out, texts of at most `longest` characters.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 3000, most: int = 6000) -> Model:
+    """Train on the whole texts of at most `most` labelled rows that are not held out.
 
-    A document with several labels counts as toxic if one of them says so; null labels are left out. The
+    A document with several labels counts as toxic if one of them says so; null labels and null texts are left out. The
     sample is bounded by its parameters, so its ids may be broadcast.
     """
-    known = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
-    chosen = sample_by_label(known, "__label", "__id", per_label, most)
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.length("__text") <= longest)
-    rows = texts.join(F.broadcast(chosen), "__id").select("__text", "__label", "__id").dropDuplicates(["__id"]).orderBy("__id").toArrow()
-    return train(rows.column(0).to_pylist(), np.array(rows.column(1).to_pylist(), np.int64))
+    known = pick(labels, id=id_col, label=label_col).where(F.col("label").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("label").cast("int").alias("label"))
+    chosen = sample_by_label(known, "label", "id", per_label, most)
+    texts = pick(docs, id=id_col, text=text_col).where(F.col("text").isNotNull())
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")).orderBy("id").toArrow()
+    return train(rows.column("text").to_pylist(), np.array(rows.column("label").to_pylist(), np.int64))
 
 
 def score_sentences(text: str, words: dict, bias: float) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -145,7 +148,7 @@ _DDL = "score double, offending array<struct<start:int,end:int,score:double>>"
 _OFFENDING = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
-def _scorer(model: Model, text_at: int, threshold: float):
+def _scorer(model: Model, threshold: float):
     cut = np.log(threshold / (1 - threshold))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +156,12 @@ def _scorer(model: Model, text_at: int, threshold: float):
         for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
             scores, places = [], []
             for k in range(batch.num_rows):
-                text = batch.column(text_at)[k].as_py() or ""
+                text = batch.column(1)[k].as_py() or ""
                 spans, s = score_sentences(text, words, model.bias)
                 scores.append(float(-np.expm1(-_softplus(s).sum())) if len(s) else 0.0)
                 hits = np.flatnonzero(s >= cut) if len(s) else ()
                 places.append([{"start": spans[i][0], "end": spans[i][1], "score": float(1 / (1 + np.exp(-s[i])))} for i in hits])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(places, _OFFENDING)], names=[*batch.schema.names, "score", "offending"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(places, _OFFENDING)], names=["row", "score", "offending"])
 
     return score
 
@@ -167,9 +170,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     """docs with two more columns, score and offending: the sentences that reach the threshold by themselves.
 
     A null or empty text and one without a word score 0. Each row is scored by its whole text alone, so equal
-    texts have equal scores. Columns of these names that docs has are replaced.
+    texts have equal scores. Columns of these names that docs has are replaced; others may have any name.
     """
-    docs = docs.drop("score", "offending")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    at = docs.schema.names.index(text_col)
-    return docs.mapInArrow(_scorer(model, at, threshold), f"{ddl}, {_DDL}")
+    rows, at, back = carried(docs)
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(_DDL).fields])
+    return back(rows.select("row", at(text_col).alias("text")).mapInArrow(_scorer(model, threshold), schema), None, "score", "offending")
+
+
+def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that score `threshold` or more, with all their columns."""
+    rows, at, back = carried(docs)
+    scored = score(rows.select("row", at(text_col).alias("text")), model, "text", threshold)
+    return back(scored.where(F.col("score") < threshold))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from millrace.llm._shared import materialize
+from millrace.llm._shared import materialize, pick
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, content_type string, page_id string, refers_to string, payload_digest string, payload_length string, payload binary, path string, offset long"
@@ -349,8 +349,8 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     that occur more than once; that join is salted, so a payload that a third of all pages share is spread
     over `salts` keys.
     """
-    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("target_uri"), payload.alias("payload"), F.sha1(payload).alias("sha1"))
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    rows = pick(pages, id=id_col, target_uri=url_col, html=html_col).select(F.col("id").cast("long"), "target_uri", payload.alias("payload"), F.sha1(payload).alias("sha1"))
     groups = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.count("*").alias("n"), F.max("id").alias("lead")).where("n > 1 and lead is not null")
     groups = materialize(groups.select("sha1", "lead", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")), "warc-groups")
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "target_uri"), F.lit(salts)).cast("int"))
