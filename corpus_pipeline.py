@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.llm import decontamination, mixing, simhash_dedup, token_store, toxicity
 from millrace.llm._shared import materialize, shared_path
@@ -19,9 +18,7 @@ from millrace.llm._shared import materialize, shared_path
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score THRESHOLD or more; trained on labelled rows of its own input."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    # the row travels as one column, so no name of its own can clash with the scorer's
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return toxicity.score(rows, model).where(F.col("score") < toxicity.THRESHOLD).select("row.*")
+    return toxicity.reject(docs, model)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
