@@ -49,7 +49,9 @@ def mainly_english(spark, d):
                WHEN 4 THEN ' C++/C#' ELSE ' (Hybrid work)' END AS title FROM part),
     a AS (SELECT p_partkey, regexp_replace({norm_sql('title')}, '\\[[^\\]]*\\]', ' ', 'g') AS t FROM t),
     b AS (SELECT p_partkey, regexp_replace(t, '\\((m/w/d|w/m/d|m/f/d|f/m/d|all genders|alle geschlechter|gn)\\)', ' ', 'g') AS t FROM a),
-    c AS (SELECT p_partkey, regexp_replace(t, '(\\s*[-–—|]\\s*|\\s+\\()((100\\s*%\\s*)?(full(y)?\\s+|vollstaendig\\s+)?remote|home\\s*office|homeoffice|hybrid(\\s+work)?)\\)?\\s*$', ' ') AS t FROM b)
+    e AS (SELECT p_partkey, t, list_last(regexp_split_to_array(t, '[-–—|]| \\(')) AS tail FROM b),
+    c AS (SELECT p_partkey, CASE WHEN tail <> t AND trim(replace(replace(tail, ')', ''), '100% remote', 'remote')) IN ('remote','home office','homeoffice','hybrid','hybrid work')
+                 THEN t[:length(t) - length(tail)] ELSE t END AS t FROM e)
     SELECT p_partkey, trim(regexp_replace(t, '[^a-z0-9+#.]+', ' ', 'g')) AS title FROM c""",
 )
 def normalize_title(spark, d):

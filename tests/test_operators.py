@@ -105,6 +105,22 @@ def test_optional_and_employer_clauses_do_not_count(spark):
     assert years("mehr als 3 jahre erfahrung") == 4 and years("0 jahre erfahrung") == 0 and years("seit 20 jahren am markt") == 0
 
 
+def test_ladder_of_experience(spark):
+    from dataclasses import replace
+
+    p = replace(PROFILE, optional_experience=["von vorteil"], first_experience=["erste erfahrung"])
+
+    def rung(body):
+        e = spark.range(1).select(rules.experience(F.lit("dev"), F.lit(body), rules.required_years(F.lit(body)), F.lit("x" * 500), p).alias("e")).first()["e"]
+        return e["rank"], e["points"]
+
+    assert rung("3-5 years of experience")[0] == 6 - 1 or rung("2 bis 3 jahre erfahrung") == (4, 3)
+    assert rung("erste erfahrung mit sql reicht") == (0, 25)
+    assert rung("du bringst viel erfahrung aus projekten") == rung("solid experience") == rung("erfahrung mit sql") == rung("experienced in sql") == (4, 8)
+    assert rung("erfahrung mit sql von vorteil") == (1, 18)
+    assert rung("we experience growth") == (1, 20)
+
+
 def test_places(spark):
     assert scored(spark, location="Bonn", remote="60%")["location_precheck"] == "Bonn with 60% remote"
     assert scored(spark, location="Bad Bonn", remote="60%")["filter_status"] == "excluded"
