@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def spent(ledger: DataFrame, at: str, cost: str, moment: Column, zone: str = "Europe/Berlin") -> DataFrame:
@@ -37,5 +38,4 @@ def chunks(items: DataFrame, key: str, order: str, size: str, most_items: int =
             out.append(chunk)
         return g.assign(chunk=out)
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
-    return items.groupBy(key).applyInPandas(cut, f"{ddl}, chunk long")
+    return items.groupBy(key).applyInPandas(cut, StructType([*items.schema.fields, StructField("chunk", LongType())]))

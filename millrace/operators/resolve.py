@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.session import written
 
 
 def first_wins(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -42,13 +43,12 @@ def merge_duplicates(listings: DataFrame, group_words: Iterable[str] = T.GROUP_W
     lone = sized.where("__n = 1").drop("__n", "__block", "__company")
     places = F.transform("locations", lambda x: T.normalize_place(x))
     many = sized.where("__n > 1").drop("__n").withColumn("__places", places)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listings.schema.fields)
     groups = frozenset(group_words)
 
     def merge(block):
         return _merge_block(block, groups)
 
-    return singles.unionByName(lone).unionByName(many.groupBy("__block").applyInPandas(merge, ddl))
+    return singles.unionByName(lone).unionByName(many.groupBy("__block").applyInPandas(merge, listings.schema))
 
 
 def _same_company(a: str, b: str, groups: frozenset) -> bool:
@@ -84,12 +84,8 @@ def _merge_block(block: pd.DataFrame, groups: frozenset) -> pd.DataFrame:
 def alias_closure(edges: DataFrame, src: str = "alias", dst: str = "canonical") -> DataFrame:
     """(id, root): where chains of aliases end. Pointers are doubled, so n edges take about log n rounds, after which
     every chain has ended or is on a cycle; ids that lead to a cycle end at the cycle's smallest id. The table is written
-    between rounds where a checkpoint folder is set."""
-    spark = edges.sparkSession
-
-    def keep(df: DataFrame) -> DataFrame:
-        return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df.persist()
-
+    in the shared folder between rounds."""
+    keep = lambda df: written(df, "aliases")
     step = first_wins(edges.where(F.col(src) != F.col(dst)).select(F.col(src).alias("id"), F.col(dst).alias("to")), ["id"], [F.col("to")])
     step = keep(step.withColumn("low", F.least("id", "to")))
     for _ in range(int(step.count()).bit_length() + 1):

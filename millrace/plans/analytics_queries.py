@@ -282,7 +282,15 @@ def dedup_merge(spark, d):
     return out.select("id", F.size("sources").alias("n_sources"), F.length("description").alias("longest"), F.size("locations").alias("n_places"))
 
 
-@query("chunking")
+@query(
+    "chunking",
+    """WITH RECURSIVE o AS (SELECT conv_id, turn, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+    r AS (SELECT conv_id, turn, chars, rn, 1 AS n, chars AS total, 0::BIGINT AS chunk FROM o WHERE rn = 1
+          UNION ALL SELECT o.conv_id, o.turn, o.chars, o.rn, CASE WHEN r.n = 10 OR r.total + o.chars > 6000 THEN 1 ELSE r.n + 1 END,
+                           CASE WHEN r.n = 10 OR r.total + o.chars > 6000 THEN o.chars ELSE r.total + o.chars END, r.chunk + CASE WHEN r.n = 10 OR r.total + o.chars > 6000 THEN 1 ELSE 0 END
+                    FROM r JOIN o ON o.conv_id = r.conv_id AND o.rn = r.rn + 1)
+    SELECT conv_id, turn, chars, chunk FROM r""",
+)
 def chunking(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("chars"))
     return ledger.chunks(c, "conv_id", "turn", "chars")

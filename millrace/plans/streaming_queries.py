@@ -22,7 +22,8 @@ def _events(spark, d):
 
 @query("stream_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
-    out = S.run_to_table(S.windowed(_events(spark, d), "ts", ["event_type"], "1 day"), f"w{uuid.uuid4().hex}", _work(spark))
+    path = _work(spark)
+    out = S.run_upserts(S.windowed(_events(spark, d), "ts", ["event_type"], "1 day"), ["start", "event_type"], f"{path}/out", f"{path}/ckpt")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
@@ -43,9 +44,9 @@ def stream_dedup(spark, d):
 )
 def stream_state(spark, d):
     e = _events(spark, d).withColumn("failed", F.col("event_type") == "error")
-    out = S.run_to_table(S.track(e, "user_id", "failed"), f"t{uuid.uuid4().hex}", _work(spark), "update")
-    last = out.groupBy("user_id").agg(F.max(F.struct("seen", "errors")).alias("x"))
-    return last.select("user_id", "x.seen", "x.errors")
+    path = _work(spark)
+    out = S.run_upserts(S.track(e, "user_id", "failed"), ["user_id"], f"{path}/out", f"{path}/ckpt")
+    return out.select("user_id", "seen", "errors")
 
 
 @query(

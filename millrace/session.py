@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,3 +47,10 @@ def shared_base(spark: SparkSession) -> str:
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="millrace-")
     return _own_dir
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there, and what is read again is what was read first."""
+    path = f"{shared_base(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

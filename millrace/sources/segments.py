@@ -1,8 +1,11 @@
 """A Python data source for segmented, paged JSON: one partition for each segment, failures as rows.
 
 A segment is a folder of pages (0.json, 1.json, ...); a page holds {"records": [...], "total": n or null, "next":
-bool}. Paging stops at the first page that says so: an empty one, next false, or when total is reached. A page that
-can't be read fails its segment from there on; what the segment gave before stays.
+bool, "status": an HTTP code or none}. Paging stops at the first page that says so: an empty one, next false, or when
+total is reached. A page that can't be read, one with an error status, and a segment that is not at its end after
+maxPages pages fail their segment from there on; what the segment gave before stays. With the option inOrder the
+segments are read one after another, as a host that limits its callers asks for, and a 403 or 429 ends them all:
+those that follow are reported as aborted.
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ SCHEMA = "segment string, ord long, payload string, error string"
 
 
 @dataclass
-class _Segment(InputPartition):
-    name: str
-    path: str
+class _Segments(InputPartition):
+    names: list[str]
+    paths: list[str]
 
 
 def page_is_last(page: dict, taken: int) -> bool:
@@ -36,6 +39,7 @@ class SegmentReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.most_pages = int(options.get("maxpages", options.get("maxPages", 40)))
+        self.in_order = str(options.get("inorder", options.get("inOrder", "false"))).lower() == "true"
 
     def _fs(self):
         return pafs.FileSystem.from_uri(self.path) if "://" in self.path else (pafs.LocalFileSystem(), self.path)
@@ -43,26 +47,45 @@ class SegmentReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         fs, inner = self._fs()
         found = fs.get_file_info(pafs.FileSelector(inner))
-        return [_Segment(f.base_name, f.path) for f in sorted(found, key=lambda f: f.path) if f.type == pafs.FileType.Directory]
-
-    def read(self, partition: _Segment) -> Iterator[tuple]:
+        folders = [f for f in sorted(found, key=lambda f: f.path) if f.type == pafs.FileType.Directory]
+        if self.in_order and folders:
+            return [_Segments([f.base_name for f in folders], [f.path for f in folders])]
+        return [_Segments([f.base_name], [f.path]) for f in folders]
+
+    def read(self, partition: _Segments) -> Iterator[tuple]:
+        blocked = False
+        for name, path in zip(partition.names, partition.paths):
+            if blocked:
+                yield name, None, None, "aborted"
+                continue
+            for row in self._pages(name, path):
+                blocked = blocked or row[3] in ("status 403", "status 429")
+                yield row
+
+    def _pages(self, name: str, path: str) -> Iterator[tuple]:
         fs, _ = self._fs()
         taken = 0
         for k in range(self.most_pages):
             try:
-                with fs.open_input_stream(f"{partition.path}/{k}.json") as f:
+                with fs.open_input_stream(f"{path}/{k}.json") as f:
                     page = json.loads(f.read())
                 records = page.get("records") or []
             except (OSError, ValueError, AttributeError) as error:
-                yield partition.name, None, None, type(error).__name__
+                yield name, None, None, type(error).__name__
+                return
+            if int(page.get("status") or 200) >= 400:
+                yield name, None, None, f"status {page['status']}"
                 return
             for record in records:
-                yield partition.name, taken, json.dumps(record, sort_keys=True, ensure_ascii=False), None
+                yield name, taken, json.dumps(record, sort_keys=True, ensure_ascii=False), None
                 taken += 1
             if page_is_last(page, taken):
                 break
+        else:
+            yield name, None, None, "page limit"
+            return
         if not taken:
-            yield partition.name, None, None, None  # a segment without records is still one that was searched
+            yield name, None, None, None  # a segment without records is still one that was searched
 
 
 class SegmentSource(DataSource):
@@ -77,10 +100,10 @@ class SegmentSource(DataSource):
         return SegmentReader(self.options)
 
 
-def read_segments(spark: SparkSession, path: str, max_pages: int = 40) -> tuple[DataFrame, DataFrame]:
+def read_segments(spark: SparkSession, path: str, max_pages: int = 40, in_order: bool = False) -> tuple[DataFrame, DataFrame]:
     """(records, report): the records of all segments, and one row with rows, failed_segments and total_segments."""
     spark.dataSource.register(SegmentSource)
-    rows = spark.read.format("segments").option("maxPages", max_pages).load(path)
+    rows = spark.read.format("segments").option("maxPages", max_pages).option("inOrder", in_order).load(path)
     report = rows.groupBy("segment").agg(F.count("payload").alias("rows"), F.max(F.col("error").isNotNull()).alias("failed")).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count_if("failed").alias("failed_segments"), F.count("*").alias("total_segments"))
     return rows.where("error is null and payload is not null").drop("error"), report
 

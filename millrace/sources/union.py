@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.resolve import first_wins
+from millrace.session import written
 
 REPORT = "name string, status string, rows long, failed_segments int, total_segments int, error string"
 
@@ -20,12 +21,12 @@ def scan_union(parts: dict[str, DataFrame], keys: list[str], order: str) -> Data
 
 
 def fetch(spark: SparkSession, sources: dict[str, Callable[[SparkSession], DataFrame]]) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The sources that can be read, and a report for each. A source that fails, in planning or while its first rows are
-    read, becomes a failed report and never stops the others."""
+    """The sources that can be read, and a report for each. A source that fails, in planning or while it is read, becomes
+    a failed report and never stops the others. Each is read once, into a table in the shared folder."""
     parts, reports = {}, []
     for name, make in sources.items():
         try:
-            df = make(spark)
+            df = written(make(spark), "fetched")
             n = df.count()
         except Exception as error:  # whatever a source raises is that source's failure
             reports.append((name, "failed", 0, None, None, type(error).__name__))
@@ -59,11 +60,12 @@ def with_cache(links: DataFrame, cache: DataFrame, fetched: DataFrame, now, fres
     return out.select("url", F.when(F.col("origin") == "fetched", F.col("payload")).otherwise(F.col("cached")).alias("payload"), "origin", (F.col("origin") == "stale").alias("cache_stale"))
 
 
-def date_frontier(pages: DataFrame, order: str, is_old, stop_after: int = 2) -> DataFrame:
-    """Pages of a listing up to the point where stop_after old ones follow one another (that run of pages included)."""
+def date_frontier(pages: DataFrame, order: str, is_old, stop_after: int = 2, by: tuple = ()) -> DataFrame:
+    """Pages of each listing up to the point where stop_after old ones follow one another (that run of pages included).
+    by: the columns that tell listings apart (source, segment); without any, the pages are one listing."""
     from pyspark.sql import Window
 
-    w = Window.orderBy(order)
+    w = Window.partitionBy(*by).orderBy(order)
     run = F.sum(F.when(is_old, 1).otherwise(0)).over(w.rowsBetween(-(stop_after - 1), 0))
     stops = pages.withColumn("__stop", (run >= stop_after).cast("int"))
     before = F.coalesce(F.sum("__stop").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

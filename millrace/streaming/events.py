@@ -35,23 +35,45 @@ def once(stream: DataFrame, at: str, key: str, late: str = "1 day") -> DataFrame
 STATE = "seen long, errors long, streak long, active boolean"
 
 
-def track(stream: DataFrame, key: str, failed: str, misses: int = 3) -> DataFrame:
+def track(stream: DataFrame, key: str, failed: str, misses: int = 3, at: str = "ts", late: str = "1 day", keep_days: int = 3650) -> DataFrame:
     """Keyed state over micro-batches: how often a key was seen and failed, its current run of failures, and whether it is
-    active (fewer than `misses` failures in a row). Rows within a batch are taken by event time."""
+    active (fewer than `misses` failures in a row). Rows within a batch are taken by event time. The state of a key that
+    the watermark has left behind by keep_days is dropped."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen, errors, streak, _ = state.get if state.exists else (0, 0, 0, True)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        rows = pd.concat(list(frames)).sort_values([at, "event_id"])
         for bad in rows[failed].tolist():
             seen, errors, streak = seen + 1, errors + bad, streak + 1 if bad else 0
         state.update((seen, int(errors), int(streak), bool(streak < misses)))
+        last = max(int(rows[at].iloc[-1].timestamp() * 1000), state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(last + keep_days * 86_400_000)
         yield pd.DataFrame({key: [k[0]], "seen": [seen], "errors": [int(errors)], "streak": [int(streak)], "active": [bool(streak < misses)]})
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark(at, late).groupBy(key).applyInPandasWithState(step, f"{key} long, {STATE}", STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_upserts(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Run over what is there in update mode: each batch writes the rows that it changed into a folder of its own, anew if
+    it is tried again, so nothing gathers on the driver and state behind the watermark goes. The result is the latest
+    row of each key."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("changed_in", F.lit(number)).write.mode("overwrite").parquet(f"{path}/changes={number}")
+
+    q = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = stream.sparkSession.read.parquet(f"{path}/changes=*")
+    others = [c for c in rows.columns if c not in (*keys, "changed_in")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "changed_in").alias("x")).select(*keys, "x.*")
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run over what is there and return the result as a table in memory (for complete and small update results)."""
+    """Run over what is there and return the result as a table in memory: for small results, as sessions need it, which
+    have no update mode."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
