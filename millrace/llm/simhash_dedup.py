@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from millrace.llm._shared import carried, materialize, pick
 from millrace.llm.components import connected_components
 
-_ROWS = 16_384
+_ROWS, _PRINTS = 16_384, 16_384
 
 
 def simhash64(text: str | None, shingle: int = 3) -> int:
@@ -72,12 +72,14 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     """prints(fp, distinct) -> edges (a, b) whose components are those of all pairs within max_bits (at most 2)."""
     if not 0 <= max_bits <= 2:
         raise ValueError("two segments hold distances of 0 to 2")
-    variants = _variants(prints)
+    prints = materialize(prints, "prints")
+    # a few files of prints become 64 times as many rows, so they are dealt to as many tasks as that asks for
+    variants = _variants(prints.repartition(1 + prints.count() // _PRINTS, "fp"))
     shared = materialize(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variants")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     pairs = shared.where("n = 2").where(near).select("a", "b").distinct()
     crowded = materialize(variants.join(shared.where("n > 2").select("key").hint("shuffle_hash"), "key", "left_semi").select("fp").distinct(), "crowded")
-    ball = crowded.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("bit"))
+    ball = crowded.repartition(1 + crowded.count() // _PRINTS, "fp").select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("bit"))
     if max_bits == 2:
         ball = ball.select("fp", F.expr("if(bit < 0, fp, fp ^ shiftleft(1L, bit))").alias("mid"))
         met = ball.groupBy("mid").agg(F.count("*").alias("n")).where("n > 1").select("mid")

@@ -208,12 +208,18 @@ def test_colour_images(width, height, restart, sampling):
     assert np.abs(got - plain_rgb(coef, own, width, height, sampling)).max() <= 1  # rounding of float32 sums
 
 
-def test_flat_chroma_equals_the_long_way():
-    image = next(M.images(M.encode_payload(bytes(range(64)) * 7)))
-    grey = J.to_rgb(image)
-    image.components[1].coefficients[0, 0, 63] = 1  # no longer flat by its bytes, but too faint to see
-    image.quant[0] = image.quant[0] * 1
-    assert np.abs(grey.astype(int) - J.to_rgb(image)).max() <= 1
+@pytest.mark.parametrize("blocks", [1, 2, 4, 5, 7, 23, 64])
+def test_payload_images_use_chroma_and_both_bands(blocks):
+    r = np.random.default_rng(blocks)
+    payload = r.integers(0, 256, 64 * blocks, dtype=np.uint8).tobytes()
+    media = M.encode_payload(payload)
+    (image,) = M.images(media)
+    assert M.payload_of(image) == payload
+    assert media.count(b"\xff\xda") == 27 and (blocks < 3 or image.components[1].coefficients.any())
+    coef = {c.name: c.coefficients / 3 for c in image.components}  # plain_rgb quantises by 3
+    own = {c.name: (c.high, c.wide) for c in image.components}
+    got = J.to_rgb(image).astype(int)
+    assert np.abs(got - plain_rgb(coef, own, image.width, image.height, (2, 2))).max() <= 1
 
 
 def test_broken_images_raise():
