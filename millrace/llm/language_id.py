@@ -66,6 +66,32 @@ def log_probabilities(model: Model, x: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def gradients(model: Model, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the mean loss (the negative log-probability of the language y of each window), by embedding, filters, their
+    bias, output weights and output bias. Byte 0 pads and stays at 0."""
+    cols = _columns(model, x)
+    conv = (cols.reshape(-1, _WIDE * DIM) @ model.filters).reshape(len(x), x.shape[1], -1)
+    best = conv.argmax(axis=1)
+    pooled = np.take_along_axis(conv, best[:, None, :], axis=1)[:, 0, :] + model.filter_bias
+    hidden = np.maximum(pooled, 0)
+    z = hidden @ model.out + model.out_bias
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    z /= z.sum(axis=1, keepdims=True)
+    z[np.arange(len(x)), y] -= 1
+    z /= len(x)
+    g_hidden = (z @ model.out.T) * (pooled > 0)
+    won = cols[np.arange(len(x))[:, None], best]  # windows x filters x inputs
+    g_filters = np.einsum("bfi,bf->if", won, g_hidden)
+    g_inputs = (g_hidden[:, :, None] * model.filters.T[None]).reshape(-1, _WIDE, DIM)
+    places = best[:, :, None] + np.arange(_WIDE)
+    padded = np.zeros((len(x), x.shape[1] + _WIDE - 1), np.uint8)
+    padded[:, : x.shape[1]] = x
+    at = padded[np.arange(len(x))[:, None, None], places].reshape(-1)
+    g_embed = np.stack([np.bincount(at, g_inputs.reshape(-1, DIM)[:, d], 256) for d in range(DIM)], axis=1)
+    g_embed[0] = 0
+    return g_embed, g_filters, g_hidden.sum(0), hidden.T @ z, z.sum(0)
+
+
 def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 6, least_steps: int = 400, batch: int = 64, rate: float = 0.004, seed: int = 7) -> Model:
     """At least epochs passes, and as many more as give least_steps steps."""
     rng = np.random.default_rng(seed)
@@ -82,30 +108,10 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 6, l
         order = rng.permutation(len(x))
         for k in range(0, len(order), batch):
             pick = order[k : k + batch]
-            model = Model(languages, *p)
-            cols = _columns(model, x[pick])
-            flat = cols.reshape(-1, _WIDE * DIM)
-            conv = (flat @ p[1]).reshape(len(pick), x.shape[1], n)
-            best = conv.argmax(axis=1)
-            pooled = np.take_along_axis(conv, best[:, None, :], axis=1)[:, 0, :] + p[2]
-            hidden = np.maximum(pooled, 0)
-            z = hidden @ p[3] + p[4]
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(len(pick)), y[pick]] -= 1
-            z /= len(pick)
-            g_hidden = (z @ p[3].T) * (pooled > 0)
-            won = cols[np.arange(len(pick))[:, None], best]  # windows x filters x inputs
-            g_filters = np.einsum("bfi,bf->if", won, g_hidden) * mask
-            g_inputs = (g_hidden[:, :, None] * p[1].T[None]).reshape(-1, _WIDE, DIM)
-            places = best[:, :, None] + np.arange(_WIDE)
-            padded = np.zeros((len(pick), x.shape[1] + _WIDE - 1), np.uint8)
-            padded[:, : x.shape[1]] = x[pick]
-            at = padded[np.arange(len(pick))[:, None, None], places].reshape(-1)
-            g_embed = np.stack([np.bincount(at, g_inputs.reshape(-1, DIM)[:, d], 256) for d in range(DIM)], axis=1)
-            g_embed[0] = 0
             step += 1
-            for i, g in enumerate((g_embed, g_filters, g_hidden.sum(0), hidden.T @ z, z.sum(0))):
+            for i, g in enumerate(gradients(Model(languages, *p), x[pick], y[pick])):
+                if i == 1:
+                    g = g * mask
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 p[i] = (p[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)

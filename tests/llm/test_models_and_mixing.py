@@ -8,6 +8,7 @@ from millrace.llm import language_id as L
 from millrace.llm import mixing as X
 from millrace.llm import queries
 from millrace.llm import toxicity as T
+from millrace.llm.labelled import sample_by_label
 
 SF = "/root/testdata/sf0.01"
 
@@ -76,6 +77,90 @@ def test_gradients_of_the_network():
     assert (L.log_probabilities(model, x).argmax(axis=1) == y).mean() > 0.98
 
 
+def plain_log_probabilities(model, window):
+    """The network by loops over places and filters."""
+    e = [model.embed[b] for b in window] + [model.embed[0]] * (L._WIDE - 1)
+    pooled = []
+    for f in range(model.filters.shape[1]):
+        w = model.filters[:, f].reshape(L._WIDE, L.DIM)
+        pooled.append(max(sum(float(e[i + k] @ w[k]) for k in range(L._WIDE)) for i in range(len(window))) + model.filter_bias[f])
+    z = np.maximum(pooled, 0) @ model.out + model.out_bias
+    return z - np.log(np.exp(z - z.max()).sum()) - z.max()
+
+
+def small_model(r, languages=3):
+    n = len(L.WIDTHS) * L.EACH
+    p = [r.normal(0, 0.5, (256, L.DIM)), r.normal(0, 0.3, (L._WIDE * L.DIM, n)), r.normal(0, 0.1, n), r.normal(0, 0.4, (n, languages)), r.normal(0, 0.1, languages)]
+    p[0][0] = 0
+    return L.Model(list("abc")[:languages], *p)
+
+
+def test_the_network_is_what_the_loops_say():
+    r = np.random.default_rng(3)
+    model, x = small_model(r), r.integers(0, 256, (5, 20)).astype(np.uint8)
+    x[2, 12:] = 0
+    got = L.log_probabilities(model, x)
+    assert np.allclose(got, [plain_log_probabilities(model, w) for w in x])
+
+
+def test_gradients_are_finite_differences():
+    r = np.random.default_rng(4)
+    model, x, y = small_model(r), r.integers(1, 256, (6, 20)).astype(np.uint8), np.array([0, 1, 2, 0, 1, 2])
+    names = ["embed", "filters", "filter_bias", "out", "out_bias"]
+    loss = lambda: -L.log_probabilities(model, x)[np.arange(6), y].mean()
+    for name, g in zip(names, L.gradients(model, x, y)):
+        own = getattr(model, name)
+        for _ in range(25):
+            at = tuple(int(r.integers(0, s)) for s in own.shape)
+            if name == "embed":
+                at = (int(x[r.integers(0, 6), r.integers(0, 20)]), at[1])
+            keep, step = own[at], 1e-6
+            own[at] = keep + step
+            up = loss()
+            own[at] = keep - step
+            down = loss()
+            own[at] = keep
+            assert abs((up - down) / (2 * step) - g[at]) < 1e-5, (name, at)
+
+
+def test_samples_fill_rare_labels_first(spark):
+    sizes = {f"l{k}": 3000 for k in range(11)} | {"rare": 330, "tiny": 7}
+    rows_ = [(i, k) for k, n in sizes.items() for i in [f"{k}-{j}" for j in range(n)]]
+    df = spark.createDataFrame(rows_, "id string, label string")
+    got = dict(map(tuple, sample_by_label(df, "label", "id", 1500, 4000).groupBy("label").count().collect()))
+    assert sum(got.values()) <= 4000 and got["tiny"] == 7 and got["rare"] > 0.8 * 320
+    even = [got[f"l{k}"] for k in range(11)]
+    assert min(even) > 0.75 * max(even)
+    two = spark.createDataFrame([(i, int(i % 100 == 0)) for i in range(40_000)], "id int, label int")
+    got = dict(map(tuple, sample_by_label(two, "label", "id", 3000, 600).groupBy("label").count().collect()))
+    assert got[1] > 250 and got[0] + got[1] <= 600
+    assert sample_by_label(df.limit(0), "label", "id", 10, 10).count() == 0
+
+
+def test_rare_languages_and_rare_toxicity_are_learned(spark):
+    r = np.random.default_rng(5)
+    names = [f"lang{k}" for k in range(12)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stems = {n: ["".join(r.choice(list(letters), 4)) for _ in range(60)] for n in names}
+    rows_ = []
+    for n in names:
+        for _ in range(12 if n == "lang11" else 109):
+            rows_.append((len(rows_), " ".join(r.choice(stems[n], 40)), n, 0))
+    for k in range(0, len(rows_), 40):  # a sentence in 2.5 % of the documents, in whatever language
+        i, t, n, _ = rows_[k]
+        rows_[k] = (i, f"{t}. zzyx qqov {' '.join(r.choice(stems[n], 3))}. {t}", n, 1)
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string, toxic int")
+    found = L.predict(df.drop("lang"), L.fit(df, per_language=60, most=500)).collect()
+    right = {n: [] for n in names}
+    for row, (i, _, n, _) in zip(sorted(found, key=lambda x: x["doc_id"]), rows_):
+        if zlib.crc32(str(i).encode()) % 4 == 2:
+            right[n].append(row["lang_pred"] == n)
+    assert np.mean(sum(right.values(), [])) > 0.95 and np.mean(right["lang11"]) >= 0.5
+    scored = {x["doc_id"]: x["score"] for x in T.score(df.select("doc_id", "text"), T.fit(df.drop("toxic"), df.select("doc_id", "toxic"), per_label=300, most=400)).collect()}
+    held = [(scored[i], y) for i, _, _, y in rows_ if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([s >= T.THRESHOLD for s, y in held if y]) >= 0.8 and np.mean([s >= T.THRESHOLD for s, y in held if not y]) < 0.03
+
+
 def mixed(spark, data, **kw):
     df = spark.createDataFrame(data, "doc_id long, text string, source string, size string")
     return df, X.mix(df, **kw).collect()
