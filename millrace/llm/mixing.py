@@ -2,9 +2,10 @@
 
 Rows get hash-random keys. Within a source they are range-sorted by key: the key's leading bits give a
 range, and a source of n rows has about the root of n ranges of as many rows, so one with a third of all rows
-is spread as widely as it needs. Sums of the
-ranges are added up, each range adds its running sums, and each source is cut at exactly its budget;
-a budget beyond the source's size repeats whole epochs and cuts the last one.
+is spread as widely as it needs. Rows of one key and size (a null id, or one that many rows repeat) are alike and
+count as one. Sums of the ranges are added up, each range adds its running sums, and each source is cut at exactly
+its budget; only rows that are like the one at the cut are numbered, by slices. A budget beyond the source's size
+repeats whole epochs and cuts the last one.
 """
 
 from __future__ import annotations
@@ -60,23 +61,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     if size is None:
         docs = pick(docs, **{"text": "text", id_col: id_col, source_col: source_col}, **({row_col: row_col} if row_col else {}))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (word_count(F.col("text")) if size is None else size).alias("size"), key.alias("key"), *([row_col] if row_col else []))
-    rows = materialize(rows, "sized")
+    rows = materialize(rows.withColumn("slice", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "sized")
     sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")), "sources")
     targets = source_targets(sizes.select("source", "source_size"), weights, share, max_epochs)
     plan = targets.alias("t").join(sizes.alias("s"), F.expr("t.source <=> s.source")).select("s.source", "t.source_size", "t.target", F.ceil(F.sqrt("source_rows")).alias("ranges"))
-    plan = materialize(plan, "plan")
+    whole = F.expr("cast(floor(target) as bigint)")
+    plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long"))
+    plan = materialize(plan.withColumn("rest", whole - F.col("epochs") * F.col("source_size")), "plan")
     at = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("ranges") / F.lit(2.0**32))
-    r = rows.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source")).select("r.*", "p.source_size", "p.target", at.alias("range"), F.coalesce(F.col("r.source"), F.lit("")).alias("name"), F.col("r.source").isNull().alias("nameless"))
-    sums = r.groupBy("nameless", "name", "range").agg(F.sum("size").alias("range_size"))
+    alike = ["nameless", "name", "range", "key", "no_id", "size"]
+    r = rows.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source")).select("r.*", *(f"p.{c}" for c in ("source_size", "target", "epochs", "rest")), at.alias("range"), F.coalesce(F.col("r.source"), F.lit("")).alias("name"), F.col("r.source").isNull().alias("nameless"), F.col("r.doc_id").isNull().alias("no_id"))
+    groups = r.groupBy(*alike).agg(F.count("*").alias("times"), F.first("rest").alias("group_rest"))
+    groups = materialize(groups, "alike")
+    sums = groups.groupBy("nameless", "name", "range").agg(F.sum(F.col("size") * F.col("times")).alias("range_size"))
     ahead = Window.partitionBy("nameless", "name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("nameless", "name", "range", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("nameless", "name", "range").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["nameless", "name", "range"])
-    budget = F.floor("target")
-    r = r.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long"))
-    rest = budget - F.col("epochs") * F.col("source_size")
-    r = r.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("offset") - F.col("inside"))).cast("long"))
-    return r.select("doc_id", "source", "size", "source_size", "target", "epochs", "part", *([row_col] if row_col else []), (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+    within = Window.partitionBy("nameless", "name", "range").orderBy("key", F.desc("no_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("times")).over(within), F.lit(0))).join(sums, ["nameless", "name", "range"])
+    room = (F.col("group_rest") - F.col("offset") - F.col("inside")).alias("room")  # for a group, in the source's last pass
+    groups = materialize(groups.select(*alike, "times", room), "alike")
+    r = r.join(groups, alike)
+    clear = (F.col("room") <= 0) | (F.col("room") >= F.col("size") * F.col("times"))
+    every = ["doc_id", "source", "size", "source_size", "target", "epochs", *([row_col] if row_col else [])]
+    simple = r.where(clear).select(*every, F.when(F.col("room") > 0, F.col("size")).otherwise(F.lit(0)).cast("long").alias("part"))
+    # a group that the cut goes through: its rows are numbered within their slices, after those of earlier slices
+    cut = r.where(~clear)
+    counts = cut.groupBy(*alike, "slice").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*alike).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*alike, "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    number = F.col("before") + F.row_number().over(Window.partitionBy(*alike, "slice").orderBy("place")) - 1
+    cut = cut.join(counts, [*alike, "slice"]).select(*every, F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - number * F.col("size"))).cast("long").alias("part"))
+    both = simple.unionByName(cut)
+    return both.select("doc_id", "source", "size", "source_size", "target", "epochs", "part", *([row_col] if row_col else []), (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:

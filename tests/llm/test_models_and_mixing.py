@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 import numpy as np
@@ -187,6 +188,22 @@ def test_mix_meets_its_budgets(spark):
     assert X.mix(df.limit(0)).count() == 0
 
 
+def test_mix_of_many_rows_without_an_id(spark):
+    data = [(None if k % 3 else k % 50, "w " * (1 + k % 4), "a" if k % 5 else "b", None) for k in range(3000)] + [(None, "w w w", "c", None)] * 500
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, size string").repartition(6)
+    got = X.mix(df).collect()
+    assert len(got) == len(data)
+    for source in "abc":
+        own = [r for r in got if r["source"] == source]
+        assert sum(r["taken"] for r in own) == int(own[0]["target"]) and all(0 <= r["taken"] <= 3 * r["size"] for r in own)
+        ordered = sorted((hashlib.md5(f"mix:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest(), r["doc_id"] is not None, r["size"], -r["part"]) for r in own)
+        rest = int(own[0]["target"]) - own[0]["epochs"] * own[0]["source_size"]
+        for _, _, size, part in ordered:
+            assert -part == min(size, max(rest, 0))
+            rest -= size
+    assert sorted((str(r["doc_id"]), r["source"], r["taken"]) for r in X.mix(df.repartition(3)).collect()) == sorted((str(r["doc_id"]), r["source"], r["taken"]) for r in got)
+
+
 def test_taking_the_mix(spark):
     data = [(i, f" one two\tthree {i} ", "a" if i % 3 else "b", 99) for i in range(40)] + [(77, None, "a", 0), (78, "x y", "a", 3), (78, "x y", "a", 3)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long").withColumns({c: F.lit("z") for c in ("size", "part", "epochs", "taken", "target")})
