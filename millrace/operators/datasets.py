@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def typed_state(rows: DataFrame, key: str, children: dict[str, tuple[DataFrame, list[str]]], position: str = "position") -> DataFrame:
@@ -113,3 +115,35 @@ def any_rows(*parts: DataFrame) -> DataFrame:
         one = p.limit(1).select(F.lit(1).alias("x"))
         out = one if out is None else out.unionAll(one)
     return out.agg((F.count("*") > 0).alias("found"))
+
+
+def typed_rows(documents: DataFrame, payload: str, schema: StructType, defaults: dict[str, Column], dropped: Iterable[str] = ()) -> DataFrame:
+    """JSON documents as typed rows: missing values take their defaults, fields of the run alone are dropped, and what is no
+    JSON goes."""
+    whole = StructType([*schema.fields, StructField("_corrupt", StringType())])
+    parsed = documents.withColumn("__d", F.from_json(payload, whole, {"columnNameOfCorruptRecord": "_corrupt"})).where("__d is not null and __d._corrupt is null")
+    names = [f.name for f in schema.fields if f.name not in set(dropped)]
+    kept = [c for c in documents.columns if c != payload]
+    return parsed.select(*kept, *[F.coalesce(F.col(f"__d.{n}"), defaults[n]).alias(n) if n in defaults else F.col(f"__d.{n}").alias(n) for n in names])
+
+
+def publish_snapshot(df: DataFrame, path: str) -> None:
+    """Replace what readers see by df as a whole: a new version is written first, then a row that names it; a reader sees
+    the old version or the new one, and a run that breaks off leaves the old."""
+    version = uuid.uuid4().hex
+    df.write.parquet(f"{path}/versions/{version}")
+    named = df.sparkSession.range(1).select(F.lit(version).alias("version"), F.unix_micros(F.current_timestamp()).alias("at"))
+    named.coalesce(1).write.mode("append").parquet(f"{path}/published")
+
+
+def read_snapshot(spark: SparkSession, path: str, default: DataFrame) -> DataFrame:
+    """The newest published version; the default where nothing has been published."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        newest = spark.read.parquet(f"{path}/published").agg(F.max_by("version", F.struct("at", "version")).alias("v")).first()["v"]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return default
+    return spark.read.parquet(f"{path}/versions/{newest}")

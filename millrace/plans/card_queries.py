@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.operators import cards, datasets, enrichment
 from millrace.plans.registry import query
@@ -469,3 +470,12 @@ def load_breakdown(spark, d):
     recent = e.where(F.col("event_type").isin("click", "view", "purchase")).join(F.broadcast(last), F.col("ts") > F.col("since"))  # one row
     p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
     return recent.groupBy(F.col("event_type").alias("name"), (F.col("user_id") % 3 == 0).alias("cold")).agg(F.count("*").alias("n"), p.alias("p")).select("name", "cold", "n", F.col("p")[0].alias("median"), F.col("p")[1].alias("p95"))
+
+
+@query("typed_rows", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'unknown' ELSE c_name END AS title, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE -1 END::INT AS nation FROM customer WHERE c_custkey % 7 <> 0")
+def typed_rows(spark, d):
+    k = F.col("c_custkey")
+    payload = F.when(k % 7 == 0, "{broken").otherwise(F.to_json(F.struct(F.when(k % 3 != 0, F.col("c_name")).alias("title"), F.when(k % 2 == 0, F.col("c_nationkey")).alias("nation"), F.lit(True).alias("is_new"))))
+    rows = table(spark, d, "customer").select("c_custkey", payload.alias("payload"))
+    schema = StructType.fromDDL("title string, nation int, is_new boolean")
+    return datasets.typed_rows(rows, "payload", schema, {"title": F.lit("unknown"), "nation": F.lit(-1)}, ["is_new"])

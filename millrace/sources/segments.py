@@ -1,7 +1,7 @@
 """A Python data source for segmented, paged JSON: one partition for each segment, failures as rows.
 
 A segment is a folder of pages (0.json, 1.json, ...); a page holds {"records": [...], "total": n or null, "next":
-bool, "status": an HTTP code or none}. Paging stops at the first page that says so: an empty one, next false, or when
+bool or the name of the page that follows (a cursor), "status": an HTTP code or none}. Paging stops at the first page that says so: an empty one, next false, or when
 total is reached. A page that can't be read, one with an error status, and a segment that is not at its end after
 maxPages pages fail their segment from there on; what the segment gave before stays. With the option inOrder the
 segments are read one after another, as a host that limits its callers asks for, and a 403 or 429 ends them all:
@@ -64,10 +64,10 @@ class SegmentReader(DataSourceReader):
 
     def _pages(self, name: str, path: str) -> Iterator[tuple]:
         fs, _ = self._fs()
-        taken = 0
+        taken, cursor = 0, "0"
         for k in range(self.most_pages):
             try:
-                with fs.open_input_stream(f"{path}/{k}.json") as f:
+                with fs.open_input_stream(f"{path}/{cursor}.json") as f:
                     page = json.loads(f.read())
                 records = page.get("records") or []
             except (OSError, ValueError, AttributeError) as error:
@@ -81,6 +81,7 @@ class SegmentReader(DataSourceReader):
                 taken += 1
             if page_is_last(page, taken):
                 break
+            cursor = page["next"] if isinstance(page.get("next"), str) else str(k + 1)
         else:
             yield name, None, None, "page limit"
             return

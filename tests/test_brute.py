@@ -8,7 +8,7 @@ import pytest
 from oracle import connect
 from pyspark.sql import functions as F
 
-from millrace.operators import cards
+from millrace.operators import cards, datasets
 from millrace.plans import registry
 from millrace.sources import segments, union
 
@@ -84,6 +84,27 @@ def test_blocked_and_endless_segments_fail(spark, tmp_path):
     assert count(in_order=True) == (2, 3, 4)  # what follows the 429 is not asked for
 
 
+def test_cursors_lead_from_page_to_page(spark, tmp_path):
+    write_pages(tmp_path, "a", {"records": [{"id": 1}], "next": "after-1"})
+    (tmp_path / "a" / "after-1.json").write_text(json.dumps({"records": [{"id": 2}], "next": "after-2"}))
+    (tmp_path / "a" / "after-2.json").write_text(json.dumps({"records": []}))
+    rows, report = segments.read_segments(spark, str(tmp_path))
+    assert sorted(json.loads(r["payload"])["id"] for r in rows.collect()) == [1, 2] and tuple(report.first()) == (2, 0, 1)
+
+
+def test_snapshots_are_replaced_as_a_whole(spark, tmp_path):
+    path, default = str(tmp_path / "s"), spark.range(0)
+    assert datasets.read_snapshot(spark, path, default).count() == 0
+    datasets.publish_snapshot(spark.range(3), path)
+    old = datasets.read_snapshot(spark, path, default)
+    datasets.publish_snapshot(spark.range(5), path)
+    assert datasets.read_snapshot(spark, path, default).count() == 5 and old.count() == 3
+    datasets.append_ledger(f"{path}/ledger", spark.range(2))
+    datasets.append_ledger(f"{path}/ledger", spark.range(2))
+    assert spark.read.parquet(f"{path}/ledger").count() == 4
+    assert datasets.stored_objects(spark, f"{path}/ledger").where("bytes > 0").count() >= 2
+
+
 def test_frontiers_are_apart(spark):
     df = spark.createDataFrame([(s, i, o) for s, olds in (("a", [0, 1, 1, 0]), ("b", [1, 0, 1, 0])) for i, o in enumerate(olds)], "source string, page int, old int")
     got = union.date_frontier(df, "page", F.col("old") == 1, by=("source",)).groupBy("source").count().collect()
