@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._shared import carried, pick
+from millrace.llm._shared import carried, pick, place
 from millrace.llm.labelled import held_out, sample_by_label
 
 WINDOW = 192
@@ -146,10 +146,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(x, np.searchsorted(np.array(languages), [lang for _, lang in pairs]), languages)
 
 
-def _predictor(model: Model | None, at_once: int = 256):
+def _predictor(model: Model | None, text_at: int, at_once: int = 256):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+            texts = batch.column(0).field(text_at)  # within the row, so that no text travels twice
             owners: list[int] = []
             waiting: list[np.ndarray] = []
             total = np.zeros((batch.num_rows, len(model.languages) if model else 0))
@@ -162,7 +163,7 @@ def _predictor(model: Model | None, at_once: int = 256):
 
             held = 0
             for k in range(batch.num_rows if model else 0):
-                text = batch.column(1)[k].as_py()
+                text = texts[k].as_py()
                 if text is None or not _LETTER.search(text):
                     continue
                 own = windows(text.encode("utf-8", "surrogatepass"))
@@ -188,6 +189,6 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     """docs with lang_pred and score (0 to 1). A null text and one without a letter give `und` and 0, and so
     does everything where there was nothing to learn from. Columns of these names that docs has are replaced; others
     may have any name."""
-    rows, at, back = carried(docs)
+    rows, _, back = carried(docs)
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return back(rows.select("row", at(text_col).alias("text")).mapInArrow(_predictor(model), schema), None, "lang_pred", "score")
+    return back(rows.mapInArrow(_predictor(model, place(docs.columns, text_col)), schema), None, "lang_pred", "score")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._shared import carried, pick
+from millrace.llm._shared import carried, pick, place
 from millrace.llm.labelled import held_out, sample_by_label
 
 THRESHOLD = 0.3
@@ -148,15 +148,16 @@ _DDL = "score double, offending array<struct<start:int,end:int,score:double>>"
 _OFFENDING = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
-def _scorer(model: Model, threshold: float):
+def _scorer(model: Model, text_at: int, threshold: float):
     cut = np.log(threshold / (1 - threshold))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = model.words()
         for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
             scores, places = [], []
+            texts = batch.column(0).field(text_at)  # within the row, so that no text travels twice
             for k in range(batch.num_rows):
-                text = batch.column(1)[k].as_py() or ""
+                text = texts[k].as_py() or ""
                 spans, s = score_sentences(text, words, model.bias)
                 scores.append(float(-np.expm1(-_softplus(s).sum())) if len(s) else 0.0)
                 hits = np.flatnonzero(s >= cut) if len(s) else ()
@@ -172,13 +173,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     A null or empty text and one without a word score 0. Each row is scored by its whole text alone, so equal
     texts have equal scores. Columns of these names that docs has are replaced; others may have any name.
     """
-    rows, at, back = carried(docs)
+    rows, _, back = carried(docs)
+    return back(_scored(rows, model, place(docs.columns, text_col), threshold), None, "score", "offending")
+
+
+def _scored(rows: DataFrame, model: Model, text_at: int, threshold: float) -> DataFrame:
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(_DDL).fields])
-    return back(rows.select("row", at(text_col).alias("text")).mapInArrow(_scorer(model, threshold), schema), None, "score", "offending")
+    return rows.mapInArrow(_scorer(model, text_at, threshold), schema)
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score `threshold` or more, with all their columns."""
-    rows, at, back = carried(docs)
-    scored = score(rows.select("row", at(text_col).alias("text")), model, "text", threshold)
-    return back(scored.where(F.col("score") < threshold))
+    rows, _, back = carried(docs)
+    return back(_scored(rows, model, place(docs.columns, text_col), threshold).where(F.col("score") < threshold))
