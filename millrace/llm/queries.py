@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language_id, media_columns, mixing, simhash_dedup, substring_dedup, token_counts, token_store, toxicity, warc
+from millrace.llm import byte_bpe, decontamination, language_id, lexical_search, media_columns, mixing, simhash_dedup, substring_dedup, token_counts, token_store, toxicity, vector_codes, warc
 from millrace.llm._shared import shared_path
 from millrace.llm.labelled import held_out
 
@@ -66,6 +66,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), path), path))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "postings")
+    lexical_search.build_index(_table(spark, sf_dir, "documents"), folder)
+    return lexical_search.search(lexical_search.read_index(spark, folder), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_media_columns": op2_media_columns,
@@ -77,9 +92,14 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES = {
     "op4_warc": warc.OP4_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op12_lexical_search": lexical_search.OP12_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
