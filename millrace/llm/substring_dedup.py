@@ -268,37 +268,81 @@ def _longest_stretch(hits: np.ndarray, at: np.ndarray, similarity: float, least:
 
 
 def _places(hits: np.ndarray, value: np.ndarray, b: Sorted) -> np.ndarray:
-    """Places in the other text of the shingles at `hits`; of several, the nearest to the shift of the next hit that
-    has only one, or to the commonest shift where no hit has."""
+    """Places in the other text of the shingles at `hits`.
+
+    A shingle that stands there once has that place, and so has one that stands on the diagonal of the nearest such. Others
+    take the place of the shortest run around them that the other text has once: runs are doubled in length, and
+    all of their places are looked at, until each shingle has one or no run is shared any more. What is left, as in
+    texts that repeat a unit, follows the nearest run that was placed, or one of the longest shared ones.
+    """
     at = b.order[b.begins[value]]
-    count = b.counts[value]
-    many = np.flatnonzero(count > 1)
-    if not len(many):
+    known = b.counts[value] == 1
+    if known.all():
         return at
-    single = np.flatnonzero(count == 1)
-    if len(single):
-        k = np.searchsorted(single, many)
-        before, after = single[np.maximum(k - 1, 0)], single[np.minimum(k, len(single) - 1)]
-        near = np.where(np.abs(hits[many] - hits[before]) <= np.abs(hits[after] - hits[many]), before, after)
-        shift = at[near] - hits[near]
-    else:
-        shift = _commonest_shift(hits, value, b)
     at = at.copy()
-    at[many] = b.nearest(value[many], hits[many] + shift)
+
+    def along(shift: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Place the hits `left` near their shifts; which of them stand exactly there."""
+        target = hits[left] + shift
+        at[left] = b.nearest(value[left], target)
+        return at[left] == target
+
+    if known.any():
+        left = np.flatnonzero(~known)
+        known[left] = along(_nearest_shift(hits, at, known, left), left)
+    first, n = hits[0], hits[-1] - hits[0] + 1
+    ranks = np.full(n, -1)
+    ranks[hits - first] = value
+    others = np.empty(len(b.shingles), np.int64)
+    others[b.order] = np.repeat(np.arange(len(b.values)), b.counts)
+    run, longest = 1, None
+    while not known.all() and run < min(len(ranks), len(others)):
+        fit = np.flatnonzero((ranks[:-run] >= 0) & (ranks[run:] >= 0))
+        theirs = np.flatnonzero((others[:-run] >= 0) & (others[run:] >= 0))
+        size = max(ranks.max(), others.max()) + 1
+        keys, other_keys = ranks[fit] * size + ranks[fit + run], others[theirs] * size + others[theirs + run]
+        shared, times = np.unique(other_keys[np.isin(other_keys, keys)], return_counts=True)
+        if not len(shared):
+            break
+        ranks, others = _renumbered(keys, fit, shared, len(ranks) - run), _renumbered(other_keys, theirs, shared, len(others) - run)
+        run *= 2
+        place = np.zeros(len(shared), np.int64)
+        there = np.flatnonzero(others >= 0)[::-1]
+        place[others[there]] = there  # the first of each
+        starts = np.flatnonzero(ranks >= 0)
+        longest = (int(starts[0]) + first, int(place[ranks[starts[0]]]))
+        starts = starts[times[ranks[starts]] == 1]
+        if len(starts):
+            left = np.flatnonzero(~known)
+            k = np.searchsorted(starts, hits[left] - first, "right") - 1
+            covered = (k >= 0) & (starts[np.maximum(k, 0)] > hits[left] - first - run)
+            left, k = left[covered], k[covered]
+            at[left] = hits[left] + place[ranks[starts[k]]] - starts[k] - first
+            known[left] = True
+    left = np.flatnonzero(~known)
+    if len(left):
+        if known.any():
+            along(_nearest_shift(hits, at, known, left), left)
+        elif longest:
+            along(np.full(len(left), longest[1] - longest[0]), left)
     return at
 
 
-def _commonest_shift(hits: np.ndarray, value: np.ndarray, b: Sorted) -> int:
-    """Told by the first places of each shingle on both sides, in slices, as repeated lines have many."""
-    times: dict[int, int] = {}
-    n = np.minimum(b.counts[value], 64)
-    for k in range(0, len(hits), 4096):
-        own = n[k : k + 4096]
-        within = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-        shifts, seen = np.unique(b.order[np.repeat(b.begins[value[k : k + 4096]], own) + within] - np.repeat(hits[k : k + 4096], own), return_counts=True)
-        for d, t in zip(shifts.tolist(), seen.tolist()):
-            times[d] = times.get(d, 0) + t
-    return max(times, key=lambda d: (times[d], -abs(d)))
+def _renumbered(keys: np.ndarray, where: np.ndarray, shared: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places the number of its key among the shared ones, -1 for none."""
+    k = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
+    out = np.full(n, -1)
+    out[where] = np.where(shared[k] == keys, k, -1)
+    return out
+
+
+def _nearest_shift(hits: np.ndarray, at: np.ndarray, known: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The shift of the nearest hit whose place is known, for each hit of `left`."""
+    placed = np.flatnonzero(known)
+    k = np.searchsorted(placed, left)
+    before, after = placed[np.maximum(k - 1, 0)], placed[np.minimum(k, len(placed) - 1)]
+    near = np.where(np.abs(hits[left] - hits[before]) <= np.abs(hits[after] - hits[left]), before, after)
+    return at[near] - hits[near]
 
 
 def _compare(xa: np.ndarray, xb: np.ndarray, hits: np.ndarray, at: np.ndarray, similarity: float, least: int) -> tuple[int, int, int, int, float] | None:

@@ -266,6 +266,40 @@ def test_a_phrase_before_an_exact_passage_in_the_lead():
     assert P.passages(a, b, [(0, len(a) - 1, 0, len(b) - 1)]) == [(0, 60, 40, 60, 1.0)]
 
 
+def test_passages_whose_shingles_stand_many_times_elsewhere(spark):
+    """Every five-word shingle of the passages also stands k times by itself, on one side or on both."""
+    r = random.Random(31)
+    a, second = list(range(100, 160)), list(range(300, 370))
+    for k in (1, 63, 64, 65, 200):
+        noise = [x for _ in range(k) for own in (a, second) for i in r.sample(range(len(own) - 4), len(own) - 4) for x in (*own[i : i + 5], r.randint(10_000, 1 << 40))]
+        b = [*noise, *a, *range(6000, 6040), *second, 10]
+        for left, want in (([1, 2, *a, 3], {2}), ([*second, *range(5000, 5040), *a], {0, 110})):
+            x, y = (P.shingle_hashes(np.array(t, np.uint64)) for t in (left, b))
+            got = P.passages(x, y, [(0, len(x) - 1, 0, len(y) - 1)])
+            assert {f[0] for f in got} == want and all(f[4] == 1 for f in got)
+            assert [f[2] for f in got] == sorted((f[2] for f in got), reverse=len(want) > 1)
+        x, y = (P.shingle_hashes(np.array(t, np.uint64)) for t in ([*noise[: 60 * k], *a, 11], [*noise[-60 * k :], 12, *a]))
+        assert any(n >= 60 and score >= 0.8 for _, n, _, _, score in P.passages(x, y, [(0, len(x) - 1, 0, len(y) - 1)]))
+
+    def repeats(own, k):
+        return " ".join(f"{' '.join(own[i : i + 5])} {words(r, 2)}" for _ in range(k) for i in range(0, 56))
+
+    texts, want = [words(r, 90)], {}
+    for k in (63, 64, 70):
+        for both in (False, True):
+            own = words(r, 60).split()
+            want |= dict.fromkeys((len(texts), len(texts) + 1), len(texts))
+            texts += [f"{repeats(own, k)} {' '.join(own)}", f"{repeats(own, k) if both else ''} {words(r, 20)} {' '.join(own)} {words(r, 9)}"]
+    assert classes(spark, texts) == want
+
+
+def test_passages_of_repeated_units():
+    for unit in (1, 3, 7, 60):
+        for x, y in ((20, 100), (100, 20), (90, 90)):
+            a, b = (P.shingle_hashes(np.array([9] + list(range(100, 100 + unit)) * (-(-60 // unit) + n) + [8 + n], np.uint64)) for n in (x, y))
+            assert P.passages(a, b, [(0, len(a) - 1, 0, len(b) - 1)]), (unit, x, y)
+
+
 def test_a_passage_before_a_more_edited_stretch():
     a = list(range(100, 280))
     b = list(a)
