@@ -9,16 +9,17 @@ bytes they hold, are averaged.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._shared import carried, pick, place
+from millrace.llm._shared import carried, materialize, pick, place
 from millrace.llm.labelled import held_out, sample_by_label
 
 WINDOW = 192
@@ -118,32 +119,36 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 6, l
     return Model(languages, *p)
 
 
-def _sample_windows(per_doc: int):
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if _LETTER.search(text):
-                    own = windows(text.encode("utf-8", "surrogatepass"))
-                    rows += [(own[k].tobytes(), lang) for k in sorted({int(i) for i in np.linspace(0, len(own) - 1, per_doc)})]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], names=["window", "lang"])
+def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of each text with the text's chance `keep`, the same ones every time."""
+    for batch in batches:
+        for text, lang, keep in zip(*(c.to_pylist() for c in batch.columns)):
+            data = text.encode("utf-8", "surrogatepass")
+            own = windows(data)
+            own = own[np.random.default_rng(zlib.crc32(data)).random(len(own)) < keep]
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in own], pa.binary()), pa.array([lang] * len(own), pa.string())], names=["window", "lang"])
 
-    return pick
 
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, most: int = 12_000, most_windows: int = 80_000) -> Model | None:
+    """Train on at most `most` documents that are not held out and have a language and a letter; None where there are none.
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, most: int = 12_000, per_doc: int = 3) -> Model | None:
-    """Train on the windows (at most per_doc of each, spread over the text) of at most `most` documents that are
-    not held out and have a language and a letter. None where there are none."""
+    Of all windows of these texts about most_windows at most are drawn, each with the same chance within a language; where
+    there are fewer, all are learned from. Rows that repeat an id count as one, with the smallest of their texts.
+    """
     rows = pick(docs, id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     ids = sample_by_label(rows.select("id", "lang"), "lang", "id", per_language, most)
     chosen = rows.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.min(F.struct("text", "lang")).alias("row"))
-    got = chosen.select("row.text", "row.lang").mapInArrow(_sample_windows(per_doc), "window binary, lang string").toArrow()
+    chosen = materialize(chosen.select("row.text", "row.lang").where(F.col("text").rlike(r"\p{L}")), "language-sample")
+    each = chosen.groupBy("lang").agg(F.sum(F.greatest(F.lit(1), F.ceil(F.octet_length("text") / WINDOW))).alias("windows"))
+    each = each.select("lang", F.least(F.lit(1.0), most_windows / F.count("*").over(Window.partitionBy()) / F.col("windows")).alias("keep"))
+    got = chosen.join(F.broadcast(each), "lang").select("text", "lang", "keep").mapInArrow(_sample_windows, "window binary, lang string").toArrow()
     pairs = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
     languages = sorted({lang for _, lang in pairs})
     if not languages:
         return None
     x = np.frombuffer(b"".join(w for w, _ in pairs), np.uint8).reshape(-1, WINDOW)
-    return train(x, np.searchsorted(np.array(languages), [lang for _, lang in pairs]), languages)
+    passes = max(2, min(6, 110_000 // len(x)))
+    return train(x, np.searchsorted(np.array(languages), [lang for _, lang in pairs]), languages, epochs=passes)
 
 
 def _predictor(model: Model | None, text_at: int, at_once: int = 256):
