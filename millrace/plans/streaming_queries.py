@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.plans.registry import query
 from millrace.session import shared_base, table
+from millrace.sources import walks
 from millrace.streaming import events as S
 
 
@@ -58,3 +59,28 @@ def stream_state(spark, d):
 def stream_sessions(spark, d):
     out = S.run_to_table(S.sessions(_events(spark, d), "ts", "user_id", "6 hours"), f"s{uuid.uuid4().hex}", _work(spark))
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+_WALK_PAGES = """WITH r AS (SELECT page_id, page_id % 7 AS walk, row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) - 1 AS ord FROM pages),
+    p AS (SELECT *, ord // 3 AS page, (DATE '2024-06-30' - (ord // 2)::INT) AS day FROM r),
+    olds AS (SELECT walk, page, max(day) < DATE '2024-06-20' AS old FROM p GROUP BY ALL),
+    stops AS (SELECT walk, min(page) AS stop FROM (SELECT walk, page, old AND lag(old) OVER (PARTITION BY walk ORDER BY page) AS twice FROM olds) WHERE twice GROUP BY walk)"""
+
+
+@query("walk_stream", f"{_WALK_PAGES} SELECT walk::VARCHAR AS walk, page::VARCHAR AS page, ord::BIGINT AS ord, page_id FROM p LEFT JOIN stops USING (walk) WHERE page <= coalesce(stop, page)")
+def walk_stream(spark, d):
+    """Pages of three records that name one another, walked to a date frontier; stopped after a batch and resumed."""
+    from pyspark.sql import Window
+
+    r = table(spark, d, "pages").select("page_id", (F.col("page_id") % 7).alias("walk"))
+    r = r.withColumn("ord", F.row_number().over(Window.partitionBy("walk").orderBy("page_id")) - 1).withColumn("page", F.expr("ord div 3"))
+    record = F.struct("page_id", F.date_sub(F.lit("2024-06-30").cast("date"), F.expr("cast(ord div 2 as int)")).cast("string").alias("published"))
+    pages = r.groupBy("walk", "page").agg(F.array_sort(F.collect_list(F.struct("ord", record.alias("r"))))["r"].alias("records"))
+    last = F.max("page").over(Window.partitionBy("walk"))
+    body = F.to_json(F.struct("records", F.when(F.col("page") < last, (F.col("page") + 1).cast("string")).alias("next"), F.concat(F.lit("session "), "walk").alias("token")))
+    path = _work(spark)
+    walks.write_pages(pages.select("walk", "page", body.alias("body")), f"{path}/pages")
+    for batches in (1, None):
+        stream = walks.read_walks(spark, f"{path}/pages", frontier="2024-06-20", pagesPerBatch=2)
+        out = walks.run_walks(stream, f"{path}/out", f"{path}/ckpt", batches)
+    return out.where("error is null").select("walk", "page", "ord", F.get_json_object("payload", "$.page_id").cast("long").alias("page_id"))
