@@ -7,6 +7,8 @@ run apart. Commands that no longer fit are refused and say why; nothing else of
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,52 @@ def _current(history: list[tuple]) -> str:
     return max(enumerate(history), key=lambda x: (x[1][1] is not None, x[1][1] or "", x[0]))[1][0] if history else "new"
 
 
+def replay(status: str | None, history: list[tuple], first_seen: str | None, commands: Iterable[dict], statuses: tuple = STATUSES) -> tuple[str, list[str]]:
+    """Run an entity's commands in order on its history, in place: its status then, and what was refused and why."""
+    status = status or _current(history)
+    refused: list[str] = []
+    for c in commands:
+        event, seen, place, why = (c["status"], c["day"]), (c["seen_status"], c["seen_day"]), c["place"], None
+        place = -1 if place is None else int(place)
+        if c["kind"] in ("set", "edit") and c["status"] not in statuses:
+            why = "unknown status"
+        elif c["kind"] == "set":
+            if status != c["status"] and not history and status in statuses:
+                history.append((status, first_seen if status == "new" else None))
+            if (status != c["status"] or c["day"] is not None) and event not in history:
+                history.append(event)
+        elif c["kind"] in ("edit", "delete"):
+            if not 0 <= place < len(history):
+                why = "no such event"
+            elif history[place] != seen:
+                why = "changed meanwhile"
+            elif c["kind"] == "edit" and event in history[:place] + history[place + 1 :]:
+                why = "event exists"
+            elif c["kind"] == "edit":
+                history[place] = event
+            else:
+                history.pop(place)
+        elif c["kind"] == "undo":
+            if status in APPLICATIONS or any(s in APPLICATIONS for s, _ in history):
+                why = "an application"
+            elif status != "ignored" or not history or history[-1][0] != "ignored":
+                why = "changed meanwhile"
+            else:
+                history.pop()
+        else:
+            why = "unknown command"
+        if why:
+            refused.append(f"{c['seq']}: {why}")
+        else:
+            status = _current(history)
+    return status, refused
+
+
+def _plain(row: dict) -> dict:
+    """A command as pandas has it, with None for what is missing."""
+    return {k: None if v is None or v != v else v for k, v in row.items()}
+
+
 def fold(state: DataFrame, commands: DataFrame, statuses: tuple = STATUSES) -> DataFrame:
     """state(id, status, first_seen, history) and commands(id, seq, kind, status, day, place, seen_status, seen_day) ->
     (id, status, history, refused).
@@ -33,45 +81,7 @@ def fold(state: DataFrame, commands: DataFrame, statuses: tuple = STATUSES) -> D
     def run(key: tuple, own: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
         first = own.iloc[0] if len(own) else None
         history = [(e["status"], e["day"]) for e in (first["history"] if first is not None and first["history"] is not None else [])]
-        status = first["status"] if first is not None and first["status"] else _current(history)
-        refused: list[str] = []
-        for c in todo.sort_values("seq").to_dict("records"):
-            day = c["day"] if isinstance(c["day"], str) else None
-            seen = (c["seen_status"], c["seen_day"] if isinstance(c["seen_day"], str) else None)
-            event = (c["status"], day)
-            place = int(c["place"]) if c["place"] == c["place"] and c["place"] is not None else -1
-            why = None
-            if c["kind"] in ("set", "edit") and c["status"] not in statuses:
-                why = "unknown status"
-            elif c["kind"] == "set":
-                if status != c["status"] and not history and status in statuses:
-                    history.append((status, first["first_seen"] if first is not None and status == "new" else None))
-                if (status != c["status"] or day is not None) and event not in history:
-                    history.append(event)
-            elif c["kind"] in ("edit", "delete"):
-                if not 0 <= place < len(history):
-                    why = "no such event"
-                elif history[place] != seen:
-                    why = "changed meanwhile"
-                elif c["kind"] == "edit" and event in history[:place] + history[place + 1 :]:
-                    why = "event exists"
-                elif c["kind"] == "edit":
-                    history[place] = event
-                else:
-                    history.pop(place)
-            elif c["kind"] == "undo":
-                if status in APPLICATIONS or any(s in APPLICATIONS for s, _ in history):
-                    why = "an application"
-                elif status != "ignored" or not history or history[-1][0] != "ignored":
-                    why = "changed meanwhile"
-                else:
-                    history.pop()
-            else:
-                why = "unknown command"
-            if why:
-                refused.append(f"{c['seq']}: {why}")
-            else:
-                status = _current(history)
+        status, refused = replay(first["status"] if first is not None else None, history, first["first_seen"] if first is not None else None, map(_plain, todo.sort_values("seq").to_dict("records")), statuses)
         return pd.DataFrame({"id": [key[0]], "status": [status], "history": [[{"status": s, "day": d} for s, d in history]], "refused": [refused]})
 
     touched = state.join(commands.select("id").distinct(), "id", "left_semi")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import evals, funnel, ledger, ops, resolve, review, state
+from millrace.operators import commits, evals, funnel, ledger, ops, resolve, review, state
 from millrace.plans.registry import query
-from millrace.session import table
+from millrace.session import shared_base, table
 
 _EVENTS = """WITH ev AS (SELECT o_custkey AS k, o_orderkey AS p, o_orderstatus AS s, o_orderdate::DATE AS d FROM orders),
 f AS (SELECT k, last(s ORDER BY d, p) AS status, max(d) AS last_day, min(CASE WHEN s = 'O' THEN d END) AS applied_on FROM ev GROUP BY k),
@@ -311,3 +313,27 @@ def search_plan(spark, d):
 def budget_cutoff(spark, d):
     e = table(spark, d, "events").where("event_type = 'purchase'").withColumn("value", F.col("value").cast("decimal(18,2)"))
     return ledger.within_budget(e, ["user_id"], ["ts", "event_id"], "value", 100).select("event_id", F.col("spent_before").cast("double").alias("spent_before"))
+
+
+@query(
+    "optimistic_commits",
+    """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN c_nationkey * 10 + 1 WHEN 1 THEN c_nationkey + 5 ELSE c_nationkey END::BIGINT AS v, 4::BIGINT AS version, 1::BIGINT AS refused
+    FROM customer WHERE c_custkey % 4 <> 3""",
+)
+def optimistic_commits(spark, d):
+    """Two writers of one part start from one version: the second is refused and works its change out again. A writer of
+    another part goes on from that version, and one more removes a part."""
+    path = f"{shared_base(spark)}/commits-{uuid.uuid4().hex}"
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("v"))
+    part = lambda k: c.where(F.col("id") % 4 == k)
+    base = commits.commit(spark, path, commits.version(spark, path), {str(k): part(k) for k in range(4)})
+    commits.commit(spark, path, base, {"0": commits.snapshot(spark, path, c.schema, base, ["0"]).withColumn("v", F.col("v") * 10)})
+    add = lambda rows: rows.withColumn("v", F.col("v") + 1)
+    refused = 0
+    try:
+        commits.commit(spark, path, base, {"0": add(commits.snapshot(spark, path, c.schema, base, ["0"]))})
+    except commits.Conflict:
+        refused += 1
+        commits.update(spark, path, c.schema, add, "0")
+    last = commits.commit(spark, path, base, {"1": commits.snapshot(spark, path, c.schema, base, ["1"]).withColumn("v", F.col("v") + 5), "3": None})
+    return commits.snapshot(spark, path, c.schema, last).select("id", "v", F.lit(last["version"]).cast("long").alias("version"), F.lit(refused).cast("long").alias("refused"))

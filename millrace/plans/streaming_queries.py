@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from millrace.operators import history
 from millrace.plans.registry import query
 from millrace.session import shared_base, table
 from millrace.sources import walks
 from millrace.streaming import events as S
+from millrace.streaming import histories, outbox
 
 
 def _work(spark) -> str:
@@ -84,3 +86,85 @@ def walk_stream(spark, d):
         stream = walks.read_walks(spark, f"{path}/pages", frontier="2024-06-20", pagesPerBatch=2)
         out = walks.run_walks(stream, f"{path}/out", f"{path}/ckpt", batches)
     return out.where("error is null").select("walk", "page", "ord", F.get_json_object("payload", "$.page_id").cast("long").alias("page_id"))
+
+
+_HISTORY = """WITH RECURSIVE c AS (
+      SELECT o_custkey::VARCHAR AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, CASE WHEN o_orderkey % 10 = 0 THEN 'undo' WHEN o_orderkey % 7 = 0 THEN 'edit' WHEN o_orderkey % 11 = 0 THEN 'delete' ELSE 'set' END AS kind,
+             CASE WHEN o_orderstatus = 'F' THEN 'ignored' ELSE 'interesting' END AS status, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders),
+    h AS (
+      SELECT c_custkey::VARCHAR AS id, 0::BIGINT AS k, 'new' AS status, []::STRUCT(s VARCHAR, d VARCHAR)[] AS events, 0::BIGINT AS refused FROM customer
+      UNION ALL
+      SELECT id, k, CASE WHEN ok THEN coalesce(list_sort(list_transform(events, lambda e, i: {'dated': e.d IS NOT NULL, 'd': coalesce(e.d, ''), 'i': i, 's': e.s}))[-1].s, 'new') ELSE status END, events, refused + (NOT ok)::BIGINT
+      FROM (
+        SELECT h.id, c.k, h.status, h.refused, c.kind = 'set' OR c.kind <> 'undo' AND len(h.events) > 0 AND h.events[1] = {'s': 'new', 'd': '1992-01-01'} AND (c.kind = 'delete' OR NOT list_contains(h.events[2:], {'s': c.status, 'd': c.day}))
+                 OR c.kind = 'undo' AND h.status = 'ignored' AND len(h.events) > 0 AND h.events[-1].s = 'ignored' AS ok,
+               CASE WHEN NOT ok THEN h.events WHEN c.kind = 'undo' THEN h.events[:-2] WHEN c.kind = 'delete' THEN h.events[2:] WHEN c.kind = 'edit' THEN list_prepend({'s': c.status, 'd': c.day}, h.events[2:])
+                    ELSE list_concat(first, CASE WHEN list_contains(first, {'s': c.status, 'd': c.day}) THEN [] ELSE [{'s': c.status, 'd': c.day}] END) END AS events
+        FROM (SELECT *, CASE WHEN len(events) = 0 THEN [{'s': status, 'd': CASE WHEN status = 'new' THEN '1992-01-01' END}] ELSE events END AS filled FROM h) AS h
+        JOIN (SELECT * FROM c) AS c ON c.id = h.id AND c.k = h.k + 1, LATERAL (SELECT CASE WHEN len(h.events) = 0 AND h.status <> c.status THEN h.filled ELSE h.events END AS first)))
+    SELECT id, status, array_to_string(list_transform(events, lambda e: concat(e.s, '@', coalesce(e.d, '?'))), ' ') AS events, refused FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k DESC) AS last FROM h) WHERE last = 1"""
+
+
+def _commands(spark, d):
+    """Orders as commands: new statuses, undone ones, and edits and deletions of what the entity was when it was new."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    kind = F.when(k % 10 == 0, "undo").when(k % 7 == 0, "edit").when(k % 11 == 0, "delete").otherwise("set")
+    status = F.when(F.col("o_orderstatus") == "F", "ignored").otherwise("interesting")
+    return table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("id"), k.alias("seq"), kind.alias("kind"), status.alias("status"), day.alias("day"), F.lit(0).alias("place"), F.lit("new").alias("seen_status"), F.lit("1992-01-01").alias("seen_day"))
+
+
+def _shown(histories):
+    events = F.transform("history", lambda e: F.concat(e["status"], F.lit("@"), F.coalesce(e["day"], F.lit("?"))))
+    return histories.select("id", "status", F.array_join(events, " ").alias("events"), F.size("refused").cast("long").alias("refused"))
+
+
+def _entities(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.lit("new").alias("status"), F.lit("1992-01-01").alias("first_seen"), F.array().cast("array<struct<status:string,day:string>>").alias("history"))
+
+
+@query("history_replay", _HISTORY)
+def history_replay(spark, d):
+    return _shown(history.fold(_entities(spark, d), _commands(spark, d)))
+
+
+@query("history_stream", _HISTORY)
+def history_stream(spark, d):
+    """The same commands in three batches, the stream stopped and resumed after each."""
+    path, commands, entities = _work(spark), _commands(spark, d), _entities(spark, d)
+    third = commands.agg(F.percentile_approx("seq", F.array(F.lit(0.33), F.lit(0.66)), 1000)).first()[0]
+    cuts = [("seq <= %d" % third[0]), ("seq > %d and seq <= %d" % tuple(third)), ("seq > %d" % third[1])]
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", histories.ROCKSDB)
+    try:
+        for cut in cuts:
+            commands.where(cut).write.mode("append").parquet(f"{path}/commands")
+            stream = spark.readStream.schema(commands.schema).parquet(f"{path}/commands")
+            S.run_updates(histories.histories(stream, entities), f"{path}/out", f"{path}/ckpt")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    changes = spark.read.parquet(f"{path}/out/changes=*")
+    kept = changes.groupBy("id").agg(F.max_by(F.struct("status", "history"), "changed_in").alias("x"), F.flatten(F.collect_list("refused")).alias("refused")).select("id", "x.*", "refused")
+    untouched = entities.join(kept, "id", "left_anti").select("id", "status", "history", F.array().cast("array<string>").alias("refused"))
+    return _shown(kept.unionByName(untouched))
+
+
+@query(
+    "outbox_settled",
+    """WITH q AS (SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts + to_hours((event_id % 50)::INT) END AS acked FROM events)
+    SELECT event_id::VARCHAR AS id, CASE WHEN acked <= ts + INTERVAL 1 DAY THEN 'sent' ELSE 'retry' END AS outcome FROM q""",
+)
+def outbox_settled(spark, d):
+    """Events as messages, queued twice each; acknowledgements come up to 49 hours later, of two in three. Two rows far ahead
+    let the watermark pass all others."""
+    path = _work(spark)
+    e = table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("payload"), F.col("ts").cast("timestamp").alias("queued_at"), "event_id")
+    end = spark.range(1).select(F.lit("end").alias("id"), F.lit("").alias("payload"), F.lit("2100-01-01").cast("timestamp").alias("queued_at"))
+    queued = e.drop("event_id")
+    acked = e.where("event_id % 3 <> 0").select("id", F.expr("queued_at + make_interval(0, 0, 0, 0, cast(event_id % 50 as int))").alias("acked_at"))
+    ends = (end, end.select("id", F.col("queued_at").alias("acked_at")))
+    for name, rows, last in (("queued", queued.unionAll(queued), ends[0]), ("acked", acked, ends[1])):
+        rows.coalesce(4).write.parquet(f"{path}/{name}")
+        last.write.mode("append").parquet(f"{path}/{name}")
+    streams = [spark.readStream.schema(x.schema).parquet(f"{path}/{n}") for n, x in (("queued", queued), ("acked", acked))]
+    out = S.run_to_parquet(outbox.settled(*streams), f"{path}/out", f"{path}/ckpt")
+    return out.where("id <> 'end'").select("id", "outcome")

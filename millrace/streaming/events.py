@@ -56,16 +56,22 @@ def track(stream: DataFrame, key: str, failed: str, misses: int = 3, at: str = "
     return stream.withWatermark(at, late).groupBy(key).applyInPandasWithState(step, f"{key} long, {STATE}", STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_upserts(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
-    """Run over what is there in update mode: each batch writes the rows that it changed into a folder of its own, anew if
-    it is tried again, so nothing gathers on the driver and state behind the watermark goes. The result is the latest
-    row of each key."""
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Run over what is there in update mode; the rows that batch n changed are in path/changes=n, with changed_in n."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("changed_in", F.lit(number)).write.mode("overwrite").parquet(f"{path}/changes={number}")
 
     q = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def run_upserts(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Run over what is there in update mode: each batch writes the rows that it changed into a folder of its own, anew if
+    it is tried again, so nothing gathers on the driver and state behind the watermark goes. The result is the latest
+    row of each key."""
+
+    run_updates(stream, path, checkpoint)
     rows = stream.sparkSession.read.parquet(f"{path}/changes=*")
     others = [c for c in rows.columns if c not in (*keys, "changed_in")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "changed_in").alias("x")).select(*keys, "x.*")
