@@ -47,8 +47,8 @@ def carried(docs: DataFrame) -> tuple[DataFrame, Callable[[str], Column], Callab
     return rows, at, back
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a table in the shared folder and read it back: lineage ends here and survives lost executors."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

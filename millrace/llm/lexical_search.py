@@ -8,10 +8,11 @@ without a term list the documents themselves, so one pass over the texts gives a
 search joins the items' terms to the postings of their buckets, scores every match in integers, adds up by item and
 document, and numbers the best by a window. A frequent term of many items would give items x documents matches, nearly all
 of documents that can't come near the best. These are left out exactly: a term adds at most w times the largest impact
-that any of its postings has. The k best documents by rare terms alone, scored in full, give a score that the k-th best
-can't be below; an item's weakest terms whose bounds together stay below it need not be matched to find candidates, as
-a document with no other term of the item can't reach it. Nor can a candidate whose score by the other terms and these
-bounds together stay below it. What remains is scored in full, by all terms.
+that any of its postings has. The k best documents by rare terms alone, scored in full, give a floor that the k-th best
+can't be below; an item's weakest terms whose bounds together stay below half of it need not be matched to find
+candidates, as a document with no other term of the item can't reach it. Nor can a candidate whose score by the other
+terms and these bounds together stay below it. The best candidates, scored in full, raise the floor; what still reaches
+it is scored in full, by all terms.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from millrace.llm._shared import materialize, pick
 #: The pattern of terms, as SQL has it; only A-Z are lower-cased.
 TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _FOLD = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalnum() else 0x20 for b in range(256))
-_BLOCK_TERMS, _BLOCK_DOCS = 1 << 20, 1 << 13
+_BLOCK_TERMS, _BLOCK_DOCS = 1 << 22, 1 << 15
 #: 1,000 and 1,000,000,000 keep three digits of a weight and six of an impact; 8 and 10 to 100 weigh length.
 WEIGHT_SCALE, IMPACT_SCALE, TF_SCALE = 1000, 1_000_000_000, 1000
 
@@ -47,45 +48,52 @@ class _Ids(dict):
         return n
 
 
-def _block(uids: list[int], doc_ids: list, found: list[np.ndarray], ids: dict[bytes, int], id_type: pa.DataType) -> pa.RecordBatch:
-    """A row for each term of a stretch, with its postings, and one for its documents."""
+def _block(first: int, doc_ids: list, found: list[np.ndarray], ids: dict[bytes, int], id_type: pa.DataType) -> pa.RecordBatch:
+    """A row for each term of a stretch, with its postings (three numbers each: document, occurrences, the document's
+    terms), and one with the terms of each document. Documents are numbered from `first` on."""
+    docs = len(found)
     sizes = np.array([len(f) for f in found], np.int64)
-    keys, tf = np.unique(np.concatenate(found) * len(found) + np.repeat(np.arange(len(found)), sizes), return_counts=True)
-    term, doc = np.divmod(keys, len(found))
-    ends = np.append(np.searchsorted(term, np.arange(len(ids))), len(keys)).astype(np.int32)
-    at = (np.array(uids) - uids[0]).astype(np.int32)
-    ends = np.append(ends, ends[-1] + len(found)).astype(np.int32)  # the last row has all documents
-
-    def lists(values: np.ndarray, own: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([values, own]).astype(np.int32)))
-
-    owners = pa.ListArray.from_arrays(pa.array(np.append(np.zeros(len(ids) + 1, np.int32), np.int32(len(found)))), pa.array(doc_ids, id_type))
+    keys, tf = np.unique(np.concatenate(found).astype(np.int64) * docs + np.repeat(np.arange(docs), sizes), return_counts=True)
+    term, doc = np.divmod(keys, docs)
+    ends = 3 * np.append(np.searchsorted(term, np.arange(len(ids))), len(keys))
+    flat = np.empty((len(keys), 3), np.int32)
+    flat[:, 0], flat[:, 1], flat[:, 2] = doc, tf, sizes[doc]
+    postings = pa.ListArray.from_arrays(pa.array(np.append(ends, ends[-1] + docs).astype(np.int32)), pa.array(np.concatenate([flat.ravel(), sizes.astype(np.int32)])))
+    owners = pa.concat_arrays([pa.nulls(len(ids), pa.list_(id_type)), pa.array([doc_ids], pa.list_(id_type))])
     words = pa.array([*ids, None], pa.binary()).cast(pa.string())
-    first = pa.array(np.full(len(ids) + 1, uids[0], np.int64))
-    return pa.RecordBatch.from_arrays([words, first, lists(at[doc], at), lists(tf, np.zeros(len(found), np.int32)), lists(sizes[doc], sizes), owners], names=["term", "first", "at", "tf", "n", "doc_ids"])
+    return pa.RecordBatch.from_arrays([words, pa.array(np.full(len(ids) + 1, first, np.int64)), postings, owners], names=["term", "first", "postings", "doc_ids"])
 
 
 def _blocks(id_type: pa.DataType, block_terms: int, block_docs: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uids, doc_ids, found, held, ids = [], [], [], 0, _Ids()
+        first, doc_ids, found, held, ids = 0, [], [], 0, _Ids()
         for batch in batches:
             for uid, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 own = terms(text.as_py())
                 if not own:
                     continue
-                found.append(np.fromiter(map(ids.__getitem__, own), np.int64, len(own)))
-                uids.append(uid)
+                first = first if found else uid
+                found.append(np.fromiter(map(ids.__getitem__, own), np.int32, len(own)))
                 doc_ids.append(doc_id)
                 held += len(own)
                 if held >= block_terms or len(found) >= block_docs:
-                    yield _block(uids, doc_ids, found, ids, id_type)
-                    uids, doc_ids, found, held, ids = [], [], [], 0, _Ids()
+                    yield from _sliced(_block(first, doc_ids, found, ids, id_type))
+                    doc_ids, found, held, ids = [], [], 0, _Ids()
         if found:
-            yield _block(uids, doc_ids, found, ids, id_type)
+            yield from _sliced(_block(first, doc_ids, found, ids, id_type))
 
     return make
 
 
+def _sliced(batch: pa.RecordBatch, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
+def _index_schema(id_type: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("term", T.StringType()), T.StructField("first", T.LongType()), T.StructField("postings", T.ArrayType(T.IntegerType())), T.StructField("doc_ids", T.ArrayType(id_type))])
+
+
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = 16, block_terms: int = _BLOCK_TERMS, block_docs: int = _BLOCK_DOCS) -> None:
     """Write the postings of all documents (whole texts) to path, partitioned by bucket; bucket -1 lists the documents.
 
@@ -97,19 +105,17 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     spark = docs.sparkSession
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("text").cast("binary").alias("text")).where("text is not null")
-    numbers = T.ArrayType(T.IntegerType())
-    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("first", T.LongType()), *(T.StructField(c, numbers) for c in ("at", "tf", "n")), T.StructField("doc_ids", T.ArrayType(rows.schema["doc_id"].dataType))])
-    blocks = rows.mapInArrow(_blocks(to_arrow_type(rows.schema["doc_id"].dataType), block_terms, block_docs), schema)
+    id_type = rows.schema["doc_id"].dataType
+    blocks = rows.mapInArrow(_blocks(to_arrow_type(id_type), block_terms, block_docs), _index_schema(id_type))
     slices = -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
     blocks = blocks.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets))).cast("int"))
     blocks = blocks.withColumn("slice", F.pmod(F.xxhash64("first"), F.lit(slices)))
-    blocks.repartition("bucket", "slice").sortWithinPartitions("bucket", "term", "first").drop("slice").write.partitionBy("bucket").parquet(path)
+    blocks.repartition("bucket", "slice").sortWithinPartitions("bucket", "term", "first").drop("slice").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
 
 
 def read_index(spark, path: str, id_type: T.DataType = T.LongType()) -> DataFrame:
-    numbers = T.ArrayType(T.IntegerType())
-    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("first", T.LongType()), *(T.StructField(c, numbers) for c in ("at", "tf", "n")), T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("bucket", T.IntegerType())])
-    return spark.read.schema(schema).parquet(path)
+    """The index at a path; id_type: that of the documents' ids."""
+    return spark.read.schema(_index_schema(id_type).add("bucket", T.IntegerType())).parquet(path)
 
 
 def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -131,9 +137,11 @@ def _best(scores: DataFrame, k: int, *order) -> DataFrame:
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(index: DataFrame, items: DataFrame, k: int = 10, id_col: str = "item_id", text_col: str = "text", buckets: int = 16, probe: int = 2000, b: int = 90) -> DataFrame:
+def search(index: DataFrame, items: DataFrame, k: int = 10, id_col: str = "item_id", text_col: str = "text", buckets: int = 16, probe: int = 2000, left_out: float = 0.5, most_broadcast: int = 1_000_000, b: int = 90) -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents of each item (all with a score above 0, if fewer), whole and
-    exact; probe only says how many matches by rare terms the bound of each item is sought with.
+    exact. These say how, not what: probe, the matches by rare terms that an item's first bound is sought with; left_out (0 to
+    1), the share of that bound that terms may add up to which candidates are found without; most_broadcast, the most rows
+    (item, term), of three integers each, that go to all tasks.
 
     index: what read_index gives, made with as many buckets. Each row of items is an item of its own; a null text
     has no terms. Scores are 64-bit integers; equal ones are ranked by ascending doc_id, null last, and then by
@@ -141,8 +149,8 @@ def search(index: DataFrame, items: DataFrame, k: int = 10, id_col: str = "item_
     """
     spark = index.sparkSession
     wanted = materialize(item_terms(items, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")), "item-terms")
-    listed = index.where("bucket = -1").select("first", F.inline(F.arrays_zip("at", "n", "doc_ids")))
-    listed = materialize(listed.select((F.col("first") + F.col("at")).alias("uid"), "n", F.col("doc_ids").alias("doc_id")), "listed-docs")
+    listed = index.where("bucket = -1").select("first", F.posexplode(F.arrays_zip(F.col("postings").alias("n"), F.col("doc_ids").alias("doc_id"))))
+    listed = materialize(listed.select((F.col("first") + F.col("pos")).alias("uid"), "col.n", "col.doc_id"), "listed-docs")
     totals = listed.agg(F.count("*").alias("docs"), F.sum("n").alias("length")).first()
     docs, length = totals["docs"], totals["length"] or 1
     # the postings of the wanted terms, with what a posting counts for: that needs no df
@@ -151,9 +159,11 @@ def search(index: DataFrame, items: DataFrame, k: int = 10, id_col: str = "item_
     long = {c: F.col(c).cast("long") for c in ("tf", "n")}
     m = F.expr(f"{100 - b} + ({b} * n * {docs}L) div {length}L")
     impact = F.expr(f"({IMPACT_SCALE}L * tf) div ({TF_SCALE} * tf + 8 * m)").cast("int")
-    postings = index.where(F.col("bucket").isin(needed)).join(distinct, ["bucket", "term"]).select("tid", "first", F.inline(F.arrays_zip("at", "tf", "n")))
+    three = lambda k: F.struct(*(F.get("postings", 3 * k + i).alias(c) for i, c in enumerate(("at", "tf", "n"))))
+    postings = index.where(F.col("bucket").isin(needed)).join(distinct, ["bucket", "term"])
+    postings = postings.select("tid", "first", F.inline(F.transform(F.sequence(F.lit(0), F.expr("cast(size(postings) div 3 as int) - 1")), three)))
     postings = postings.withColumns(long).withColumn("m", m).select("tid", (F.col("first") + F.col("at")).alias("uid"), impact.alias("impact"))
-    postings = materialize(postings, "wanted-postings")
+    postings = materialize(postings, "wanted-postings", compression="zstd")
     weight = F.floor(WEIGHT_SCALE * F.log(F.lit(2.0 * docs + 2) / (2 * F.col("df") + 1).cast("double")))
     known = postings.groupBy("tid").agg(F.count("*").alias("df"), F.max("impact").alias("most")).withColumn("w", weight).where("w > 0")
     known = wanted.join(distinct, ["bucket", "term"]).join(known, "tid").select("item", "item_id", "tid", "df", "w", (F.col("w") * F.col("most")).alias("bound"))
@@ -163,21 +173,33 @@ def search(index: DataFrame, items: DataFrame, k: int = 10, id_col: str = "item_
     led = known.withColumn("before", F.sum("df").over(rare)).withColumn("largest", F.max("df").over(rare))
     led = led.where(F.col("before").isNull() | (F.col("before") < probe) | (F.col("largest") < k)).select("item", "tid", "w")
     leads = materialize(_best(_summed(postings.join(led, "tid")), k, "uid").select("item", "uid"), "leads")
-    full = _full_scores(postings, leads, known)
-    floor = full.groupBy("item").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0).alias("floor"))
-    # the weakest terms whose bounds together stay below the floor are not needed to find candidates
+    floor = _floors(_full_scores(postings, leads, known), k)
+    # the weakest terms whose bounds together stay below a share of the floor are not needed to find candidates
     weakest = Window.partitionBy("item").orderBy("bound", "tid").rowsBetween(Window.unboundedPreceding, 0)
-    bound = known.join(floor, "item").withColumn("upto", F.sum("bound").over(weakest)).withColumn("rest", F.max(F.when(F.col("upto") < F.col("floor"), F.col("upto"))).over(Window.partitionBy("item")))
-    bound = materialize(bound.select("item", "tid", "w", "upto", "floor", F.coalesce("rest", F.lit(0)).alias("rest")), "bounds")
-    found = _summed(postings.join(bound.where(F.col("upto") >= F.col("floor")).select("item", "tid", "w"), "tid"))
+    below = F.col("upto") < F.col("floor") * left_out
+    bound = known.join(floor, "item").withColumn("upto", F.sum("bound").over(weakest)).withColumn("rest", F.max(F.when(below, F.col("upto"))).over(Window.partitionBy("item")))
+    bound = materialize(bound.select("item", "tid", "w", "floor", below.alias("weak"), F.coalesce("rest", F.lit(0)).alias("rest")), "bounds")
+    strong = bound.where("not weak").select("item", "tid", "w")
+    # with a document's postings in one partition and the terms beside them, matches are added up where they are made
+    dealt = postings.repartition("uid")
+    found = _summed(dealt.join(F.broadcast(strong) if known.count() <= most_broadcast else strong, "tid"))
     limits = bound.select("item", "floor", "rest").distinct()
-    found = materialize(found.join(limits, "item").where(F.col("score") + F.col("rest") >= F.col("floor")).select("item", "uid"), "candidates")
+    found = materialize(found.join(limits, "item").where(F.col("score") + F.col("rest") >= F.col("floor")).select("item", "uid", "score", "rest"), "candidates", compression="zstd")
+    # the best of these, scored in full, raise the floor for the others
+    leads = materialize(_best(found, k, "uid").select("item", "uid"), "leads")
+    higher = _floors(_full_scores(postings, leads, known), k)
+    found = materialize(found.join(higher, "item").where(F.col("score") + F.col("rest") >= F.col("floor")).select("item", "uid"), "candidates")
     scores = _full_scores(postings, found, known).where("score > 0").join(listed.select("uid", "doc_id"), "uid")
     names = wanted.select("item", "item_id").distinct()
     top = _best(scores, k, F.col("doc_id").asc_nulls_last(), "uid")
     return top.join(names, "item").select("item_id", "rank", "doc_id", "score")
 
 
+def _floors(scores: DataFrame, k: int) -> DataFrame:
+    """(item, floor): what the k-th best of an item scores at least; 0 where fewer than k documents are known."""
+    return scores.groupBy("item").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0).alias("floor"))
+
+
 def _full_scores(postings: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Scores by all terms of the (item, uid) of pairs: postings of their documents alone meet their items' terms."""
     own = postings.join(pairs.select("uid").distinct(), "uid", "left_semi")
