@@ -215,9 +215,9 @@ def _rest(path: str, pattern: str, size: int):
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, row, part, ids): the ids of whole texts, as little-endian unsigned 32-bit integers.
+    """(doc_id, whole, row, part, ids): the ids of texts, as little-endian unsigned 32-bit integers.
 
-    A text of at most `chunk` characters is one row, with row null. A longer one has a number, row, and its ids are
+    A text of at most `chunk` characters is one row: whole is true, row null. A longer one has a number, row, and its ids are
     those of its parts in ascending order. Null texts count as empty, and an empty text has no ids; special strings are
     ordinary text. Rows that repeat an id are documents of their own. Other columns are not read.
     """
@@ -226,7 +226,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PA
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     id_field = rows.schema["doc_id"]
     short = rows.where(F.length("text") <= chunk).mapInArrow(_short(ranks_path, pattern), T.StructType([id_field, T.StructField("ids", T.BinaryType())]))
-    short = short.select("doc_id", F.lit(None).cast("long").alias("row"), F.lit(0).alias("part"), "ids")
+    short = short.select("doc_id", F.lit(True).alias("whole"), F.lit(None).cast("long").alias("row"), F.lit(0).alias("part"), "ids")
     long = materialize(rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "long-texts")
     cut = long.select("row", "text").mapInArrow(_cutter(chunk, overlap), _CHUNKS).repartition("row", "part")
     split = cut.mapInArrow(_splitter(ranks_path, pattern, overlap, chunk), "row long, part int, first long, last boolean, head array<long>, tail array<long>, ends binary, text string")
@@ -242,7 +242,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PA
     sure = placed.where(whole).select("row", "part", "first", "begin", "end", "ends", "text").mapInArrow(_pieces(ranks_path, pattern), "row long, part int, ids binary")
     rest = placed.where(~whole).select("row", "part", "first", "begin", "last", "text").groupBy("row").applyInArrow(_rest(ranks_path, pattern, chunk), "row long, part int, ids binary")
     pieces = sure.unionByName(rest).join(long.select("row", "doc_id"), "row")
-    return short.unionByName(pieces.select("doc_id", "row", "part", "ids"))
+    return short.unionByName(pieces.select("doc_id", F.lit(False).alias("whole"), "row", "part", "ids"))
 
 
 def _decoder(path: str, ids_at: int):
@@ -289,17 +289,18 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(columns[3])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document of what decode gives."""
-    own = decoded.select("doc_id", "row", "part", "ids", "data")
-    single = own.where("row is null").select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
-    ordered = own.where("row is not null").repartition("row").sortWithinPartitions("row", "part")
+def digests(parts: DataFrame, ranks_path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document of what encode gives; its ids are decoded here, those
+    of short and of long texts apart, so that each text is encoded once."""
+    single = decode(parts.where("whole"), ranks_path)
+    single = single.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+    ordered = decode(parts.where("not whole"), ranks_path).select("doc_id", "row", "part", "ids", "data").repartition("row").sortWithinPartitions("row", "part")
     return single.unionByName(ordered.mapInArrow(_streamed, single.schema))
 
 
-def texts(decoded: DataFrame) -> DataFrame:
-    """(doc_id, text) of each document of what decode gives, parts joined; a document is a row again, so it fits in one."""
-    own = decoded.select("doc_id", "row", "part", "data")
-    single = own.where("row is null").select("doc_id", F.decode("data", "UTF-8").alias("text"))
-    joined = own.where("row is not null").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("part", "data"))).alias("parts"))
+def texts(parts: DataFrame, ranks_path: str) -> DataFrame:
+    """(doc_id, text) of each document of what encode gives, decoded and joined; a document is a row again, so it fits in one."""
+    single = decode(parts.where("whole"), ranks_path).select("doc_id", F.decode("data", "UTF-8").alias("text"))
+    own = decode(parts.where("not whole"), ranks_path)
+    joined = own.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("part", "data"))).alias("parts"))
     return single.unionByName(joined.select("doc_id", F.decode(F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["data"])), "")), "UTF-8").alias("text")))

@@ -68,7 +68,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), path), path))
+    return byte_bpe.digests(byte_bpe.encode(_table(spark, sf_dir, "documents"), path), path)
 
 
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
