@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.operators import cards, datasets, enrichment
+from millrace.operators import cards, datasets, enrichment, ranks
 from millrace.plans.registry import query
 from millrace.session import table
 
@@ -253,13 +253,7 @@ def chosen_sources(spark, d):
 
 def _order(rows, *columns):
     """Rows with their place in the order that an operator gave them."""
-    return rows.select(*columns, F.monotonically_increasing_id().alias("o")).select(*columns, F.row_number().over(_by_place()).alias("place"))
-
-
-def _by_place():
-    from pyspark.sql import Window
-
-    return Window.orderBy("o")
+    return ranks.numbered(rows.select(*columns)).withColumn("place", F.col("place").cast("int"))
 
 
 _RESULTS = "SELECT p_partkey AS id, p_size AS points, p_partkey % 4 AS rank, p_name AS title FROM part WHERE p_partkey % 5 <> 0"
@@ -269,13 +263,13 @@ _RESULTS = "SELECT p_partkey AS id, p_size AS points, p_partkey % 4 AS rank, p_n
 def result_ranking(spark, d):
     k = F.col("p_partkey")
     rows = table(spark, d, "part").select(k.alias("id"), F.col("p_size").alias("match_percent"), (k % 4).alias("experience_rank"), F.col("p_name").alias("title"), F.when(k % 5 == 0, "excluded").otherwise("included").alias("filter_status"))
-    return _order(cards.ranked(rows).coalesce(1), "id")
+    return _order(cards.ranked(rows), "id")
 
 
 @query("retained_order", "SELECT p_partkey AS id, row_number() OVER (ORDER BY CASE WHEN p_size % 7 = 0 THEN -1 ELSE p_size END DESC, lower(p_name), p_partkey)::INT AS place FROM part")
 def retained_order(spark, d):
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("match_percent"), F.col("p_name").alias("title"))
-    return _order(cards.retained_order(rows).coalesce(1), "id")
+    return _order(cards.retained_order(rows), "id")
 
 
 @query(
@@ -286,7 +280,7 @@ def retained_order(spark, d):
 def replace_card(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("match_percent"), F.col("p_name").alias("title"), F.array("p_brand").alias("urls"))
     card = p.agg(F.min("id").alias("id"), F.min(F.get("urls", F.lit(0))).alias("b")).select("id", F.lit(33).cast(p.schema["match_percent"].dataType).alias("match_percent"), F.lit("New card").alias("title"), F.array("b").alias("urls"))
-    return _order(cards.replace_card(p, card).withColumnRenamed("match_percent", "points").coalesce(1), "id", "points")
+    return _order(cards.replace_card(p, card).withColumnRenamed("match_percent", "points"), "id", "points")
 
 
 @query(
@@ -297,7 +291,7 @@ def replace_card(spark, d):
 def overview_order(spark, d):
     k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
     rows = table(spark, d, "orders").select(k.alias("id"), F.col("o_orderstatus").alias("workflow_status"), F.when(k % 3 == 0, day).alias("next_appointment_at"), F.when(k % 5 == 0, day).alias("last_appointment_at"), F.when(k % 2 == 0, day).otherwise("").alias("applied_on"), F.lit("1990-01-01").alias("last_event_on"))
-    return _order(cards.overview(rows, ["O", "P"]).coalesce(1), "id")
+    return _order(cards.overview(rows, ["O", "P"]), "id")
 
 
 @query(
@@ -315,7 +309,7 @@ def open_first(spark, d):
 def with_archived(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("double").alias("v"))
     out = cards.with_archived(c.where("id % 2 = 0"), c.where("id % 3 = 0").withColumn("v", F.lit(-1.0)), [F.desc("v"), "id"])
-    return _order(out.coalesce(1), "id", "v")
+    return _order(out, "id", "v")
 
 
 @query(
