@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators.components import connected_components
 from millrace.session import written
 
 
@@ -25,7 +26,7 @@ def unique_records(df: DataFrame, identifier: Column, order: Column) -> DataFram
     return known.unionByName(d.where(F.col("__id").isNull() | (F.col("__id") == ""))).drop("__id")
 
 
-def merge_duplicates(listings: DataFrame, group_words: Iterable[str] = T.GROUP_WORDS) -> DataFrame:
+def merge_duplicates(listings: DataFrame, group_words: Iterable[str] = T.GROUP_WORDS, most_rows: int = 1000) -> DataFrame:
     """Greedy merging of listings(id, ord, title, company, locations, sources array<struct<source,url>>, description,
     fully_remote, is_new) over sources, in the order of ord.
 
@@ -33,22 +34,60 @@ def merge_duplicates(listings: DataFrame, group_words: Iterable[str] = T.GROUP_W
     no source in common, a matching company, and a shared place or both fully remote; the merged row keeps the id
     and the longer description's fields and unites places and sources. The comparison is with the row as merged
     so far, so it can't be a join; blocks run apart from one another. Rows with an empty title or company key
-    meet nothing and take no part in the grouping.
+    meet nothing and take no part in the grouping. Blocks of more than most_rows rows are split into the groups of
+    match_groups, which gives the same rows.
     """
     keyed = listings.select("*", T.normalize_title(F.col("title")).alias("__block"), T.normalize_company(F.col("company")).alias("__company"))
     alone = (F.col("__block") == "") | (F.col("__company") == "")
     singles = keyed.where(alone).drop("__block", "__company")
-    # blocks of one row need no Python
-    sized = keyed.where(~alone).withColumn("__n", F.count("*").over(Window.partitionBy("__block")))
-    lone = sized.where("__n = 1").drop("__n", "__block", "__company")
-    places = F.transform("locations", lambda x: T.normalize_place(x))
-    many = sized.where("__n > 1").drop("__n").withColumn("__places", places)
+    # blocks of one row need no Python; their sizes are counted without the rows
+    sizes = keyed.where(~alone).groupBy("__block").agg(F.count("*").alias("__n"))
+    sized = keyed.where(~alone).join(sizes, "__block").withColumn("__places", F.transform("locations", lambda x: T.normalize_place(x)))
+    lone = sized.where("__n = 1").select(*listings.columns)
     groups = frozenset(group_words)
+    few = sized.where(F.col("__n").between(2, most_rows)).withColumn("__group", F.lit(0).cast("long")).drop("__n")
+    hot = written(sized.where(F.col("__n") > most_rows).drop("__n").withColumn("__row", F.monotonically_increasing_id()), "hot-blocks")
+    many = few
+    if not hot.isEmpty():
+        found = match_groups(hot.select(F.col("__row").alias("row"), F.col("__block").alias("block"), F.col("__company").alias("company"), F.col("__places").alias("places"), F.col("fully_remote").alias("remote")), group_words)
+        many = few.unionByName(hot.join(found.select(F.col("row").alias("__row"), F.col("group").alias("__group")), "__row").drop("__row"))
 
     def merge(block):
         return _merge_block(block, groups)
 
-    return singles.unionByName(lone).unionByName(many.groupBy("__block").applyInPandas(merge, listings.schema))
+    return singles.unionByName(lone).unionByName(many.groupBy("__block", "__group").applyInPandas(merge, listings.schema))
+
+
+def match_groups(rows: DataFrame, group_words: Iterable[str] = T.GROUP_WORDS) -> DataFrame:
+    """rows(row, block, company, places, remote) -> (row, group): rows of different groups can never come together by greedy
+    merging, whatever has been merged before.
+
+    A merged row has the company of one of its members, so it matches only companies that are linked with theirs by a chain
+    of matches; it has its members' places, and is remote only if one of them is. So first the distinct companies of a
+    block are linked, through the words and leading words by which names match, then the rows of a chain through their
+    places, the places they contain, and being remote. Links are equalities of keys, each only where somebody has the key.
+    """
+    node = lambda kind, *columns: F.xxhash64(F.lit(kind), *columns)
+    names = written(rows.select("block", "company").distinct(), "block-companies")
+    words = F.split("company", " ")
+    leading = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
+    keys = names.select("block", F.col("company").alias("long"), F.explode(F.array_distinct(F.concat(leading, words))).alias("company")).where("length(company) >= 5 and company <> long")
+    by_key = keys.join(names, ["block", "company"], "left_semi").select(node("company", "block", "long").alias("a"), node("company", "block", "company").alias("b"))
+    rest = F.array(*[F.lit(w) for w in sorted(group_words)]).cast("array<string>")
+    own = (F.length(F.get(words, F.lit(0))) >= 3) & (F.size(F.array_except(F.slice(words, F.lit(2), F.size(words)), rest)) == 0)
+    by_group = names.where(own).select(node("company", "block", "company").alias("a"), node("first word", "block", F.get(words, F.lit(0))).alias("b"))
+    chains = connected_components(by_key.unionByName(by_group)).withColumnRenamed("node", "name")
+    chained = rows.withColumn("name", node("company", "block", "company")).join(chains, "name", "left").select("row", "remote", "places", F.coalesce("component", "name").alias("chain"))
+    chained = written(chained, "block-chains")
+    there = written(chained.select("row", "chain", F.explode(F.array_distinct("places")).alias("place")).where("place <> ''"), "block-places")
+    places = there.select("chain", "place").distinct()
+    inner = F.flatten(F.transform(F.sequence(F.lit(1), F.length("place") - 4), lambda k: F.transform(F.sequence(F.lit(5), F.length("place") - k + 1), lambda n: F.substring("place", k, n))))
+    inside = places.where("length(place) > 5").select("chain", F.col("place").alias("outer"), F.explode(F.array_distinct(inner)).alias("place")).where("place <> outer")
+    links = there.select(node("row", "row").alias("a"), node("place", "chain", "place").alias("b"))
+    links = links.unionByName(inside.join(places, ["chain", "place"], "left_semi").select(node("place", "chain", "outer").alias("a"), node("place", "chain", "place").alias("b")))
+    links = links.unionByName(chained.where("remote").select(node("row", "row").alias("a"), node("remote", "chain").alias("b")))
+    parts = connected_components(links)
+    return chained.withColumn("node", node("row", "row")).join(parts, "node", "left").select("row", F.coalesce("component", "node").alias("group"))
 
 
 def _same_company(a: str, b: str, groups: frozenset) -> bool:
@@ -78,7 +117,7 @@ def _merge_block(block: pd.DataFrame, groups: frozenset) -> pd.DataFrame:
         rich = row if len(row["description"] or "") > len(old["description"] or "") else old
         sources = list({(s["source"], s["url"]): s for s in reversed([*old["sources"], *row["sources"]])}.values())[::-1]
         kept[at] = rich | {"id": old["id"], "ord": old["ord"], "locations": list(dict.fromkeys(old["locations"] + row["locations"])), "__places": list(dict.fromkeys(old["__places"] + row["__places"])), "sources": sources, "is_new": bool(old["is_new"] or row["is_new"])}
-    return pd.DataFrame(kept, columns=block.columns).drop(columns=["__block", "__company", "__places"])
+    return pd.DataFrame(kept, columns=block.columns).drop(columns=["__block", "__company", "__places", "__group"])
 
 
 def alias_closure(edges: DataFrame, src: str = "alias", dst: str = "canonical") -> DataFrame:
