@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import commits, evals, funnel, ledger, ops, resolve, review, state
+from millrace.operators import buckets, commits, evals, funnel, ledger, ops, resolve, review, state
 from millrace.plans.registry import query
 from millrace.session import shared_base, table
 
@@ -337,3 +337,22 @@ def optimistic_commits(spark, d):
         commits.update(spark, path, c.schema, add, "0")
     last = commits.commit(spark, path, base, {"1": commits.snapshot(spark, path, c.schema, base, ["1"]).withColumn("v", F.col("v") + 5), "3": None})
     return commits.snapshot(spark, path, c.schema, last).select("id", "v", F.lit(last["version"]).cast("long").alias("version"), F.lit(refused).cast("long").alias("refused"))
+
+
+@query(
+    "bucket_merge",
+    """WITH s AS (SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price FROM orders WHERE o_orderkey % 4 <> 0),
+    c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price, o_orderkey % 9 = 0 AS del FROM orders WHERE o_orderkey % 3 = 0)
+    SELECT coalesce(s.id, c.id) AS id, CASE WHEN c.id IS NOT NULL THEN c.status ELSE s.status END AS status, CASE WHEN c.id IS NOT NULL THEN c.price ELSE s.price END AS price
+    FROM s FULL JOIN c ON s.id = c.id WHERE NOT coalesce(c.del, false)""",
+)
+def bucket_merge(spark, d):
+    """Three quarters of the orders as state; every third as an update, an insertion, a deletion or no change at all."""
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(k.alias("id"), F.col("o_orderstatus").alias("status"), F.when(k % 5 != 0, F.col("o_totalprice")).alias("price"))
+    name = f"state_{uuid.uuid4().hex}"
+    state_table = buckets.Bucketed(name, f"{shared_base(spark)}/{name}", "id")
+    state_table.create(rows.where("id % 4 <> 0"))
+    changes = rows.where("id % 3 = 0").select("id", F.when(F.col("id") % 6 == 0, "X").otherwise(F.col("status")).alias("status"), "price", (F.col("id") % 9 == 0).alias("delete"))
+    buckets.merge(state_table, changes)
+    return state_table.rows(spark)
