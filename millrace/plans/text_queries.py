@@ -8,6 +8,7 @@ from millrace.functions import arrays as A
 from millrace.functions import numbers as N
 from millrace.functions import text as T
 from millrace.functions import urls as U
+from millrace.functions import variants
 from millrace.plans.registry import query
 from millrace.session import table
 
@@ -241,3 +242,60 @@ def record_split(spark, d):
 def formats(spark, d):
     o = table(spark, d, "orders")
     return o.select("o_orderkey", T.format_count(F.round("o_totalprice").cast("long")).alias("count_text"), T.truncate(F.col("o_orderpriority"), 6).alias("short"), T.format_duration(F.col("o_orderkey") % 7200).alias("lasted"))
+
+
+_SHEET = {
+    "type": "object",
+    "required": ["id", "role", "turn", "tags"],
+    "additionalProperties": False,
+    "properties": {
+        "id": {"type": "integer", "minimum": 0},
+        "role": {"type": "string", "enum": ["user", "assistant"]},
+        "turn": {"type": "integer", "maximum": 4},
+        "text": {"type": ["string", "null"], "maxLength": 200},
+        "tags": {"type": "array", "maxItems": 2, "items": {"type": "object", "required": ["name"], "properties": {"name": {"type": "string", "pattern": "^t", "minLength": 2}}}},
+    },
+}
+
+
+@query(
+    "schema_faults",
+    """WITH c AS (SELECT conv_id, turn, text, coalesce(conv_id, 0) * 3 + coalesce(turn, 0) AS k, CASE WHEN (coalesce(conv_id, 0) * 3 + coalesce(turn, 0)) % 6 = 0 THEN 'robot' ELSE 'user' END AS role FROM conversations)
+    SELECT conv_id, turn, '$.id' AS path, 'minimum' AS rule FROM c WHERE k % 4 = 0 AND k > 0
+    UNION ALL SELECT conv_id, turn, '$.role', 'required' FROM c WHERE k % 5 = 0
+    UNION ALL SELECT conv_id, turn, '$.role', 'enum' FROM c WHERE k % 5 <> 0 AND role = 'robot'
+    UNION ALL SELECT conv_id, turn, '$.turn', 'type' FROM c WHERE k % 3 = 0
+    UNION ALL SELECT conv_id, turn, '$.turn', 'maximum' FROM c WHERE k % 3 <> 0 AND k % 7 > 4
+    UNION ALL SELECT conv_id, turn, '$.text', 'maxLength' FROM c WHERE length(text) > 200
+    UNION ALL SELECT conv_id, turn, '$.tags', 'required' FROM c WHERE k % 8 = 0
+    UNION ALL SELECT conv_id, turn, '$.tags', 'maxItems' FROM c WHERE k % 8 = 3
+    UNION ALL SELECT conv_id, turn, '$.tags[1].name', 'pattern' FROM c WHERE k % 8 = 3
+    UNION ALL SELECT conv_id, turn, '$.tags[2].name', 'minLength' FROM c WHERE k % 8 = 3
+    UNION ALL SELECT conv_id, turn, '$.tags[0].name', 'required' FROM c WHERE k % 8 = 5
+    UNION ALL SELECT conv_id, turn, '$.more', 'additionalProperties' FROM c WHERE k % 9 = 1""",
+)
+def schema_faults(spark, d):
+    """Turns as documents with faults by their number."""
+    rows = table(spark, d, "conversations").withColumn("k", F.coalesce("conv_id", F.lit(0)) * 3 + F.coalesce("turn", F.lit(0)))
+    k = F.col("k")
+    tag = lambda x: F.struct(F.lit(x).cast("string").alias("name"))
+    tags = F.when(k % 8 == 0, None).when(k % 8 == 3, F.array(tag("tx"), tag("no"), tag("t"))).when(k % 8 == 5, F.array(tag(None), tag("ty"))).otherwise(F.array(tag("tz")))
+    turn = F.when(k % 3 == 0, F.concat(F.lit('"'), (k % 7).cast("string"), F.lit('"'))).otherwise((k % 7).cast("string"))
+    fields = F.struct(F.when(k % 4 == 0, -k).otherwise(k).alias("id"), F.when(k % 5 != 0, F.when(k % 6 == 0, "robot").otherwise("user")).alias("role"), F.col("text"), tags.alias("tags"), F.when(k % 9 == 1, True).alias("more"))
+    document = F.concat(F.lit('{"turn":'), turn, F.lit(","), F.substring(F.to_json(fields), 2, 1 << 30))
+    return variants.faults(rows.select("conv_id", "turn", document.alias("document")), "document", _SHEET)
+
+
+@query(
+    "typed_objects",
+    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN '$' WHEN 1 THEN '$.@graph[1]' WHEN 2 THEN '$.a.b[0][0]' ELSE '$.list[0]' END AS path, url AS title FROM pages WHERE page_id % 5 <> 0
+    UNION ALL SELECT page_id, '$.list[1].inner', 'inner' FROM pages WHERE page_id % 5 <> 0 AND page_id % 4 = 3""",
+)
+def typed_objects(spark, d):
+    """Postings at several depths of documents made from pages, found in the JVM."""
+    k, url = F.col("page_id"), F.to_json(F.struct(F.col("url").alias("title")))
+    posting = F.concat(F.lit('{"@type":'), F.when(k % 5 == 0, '"Thing"').when(k % 3 == 0, '["Thing","JobPosting"]').otherwise('"JobPosting"'), F.lit(","), F.substring(url, 2, 1 << 30))
+    inner = F.when(k % 5 != 0, '{"@type":"JobPosting","title":"inner"}').otherwise("null")
+    document = F.when(k % 4 == 0, posting).when(k % 4 == 1, F.concat(F.lit('{"@graph":[{"@type":"Other"},'), posting, F.lit("]}"))).when(k % 4 == 2, F.concat(F.lit('{"a":{"b":[['), posting, F.lit("]]}}"))).otherwise(F.concat(F.lit('{"list":['), posting, F.lit(',{"inner":'), inner, F.lit("}]}")))
+    found = variants.typed_objects(table(spark, d, "pages").select("page_id", document.alias("document")), "document", ["JobPosting"])
+    return found.select("page_id", "path", F.try_variant_get("object", "$.title", "string").alias("title"))
