@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import arrays as A
 from millrace.functions import listing as L
 from millrace.functions import text as T
 
@@ -255,6 +256,59 @@ def link_entries(state: DataFrame, links: DataFrame) -> DataFrame:
     return j.select("id", "application", "documents", union("linked_ids", "g_ids"), union("urls", "g_urls"), union("locations", "g_locations"), (F.coalesce("active", F.lit(True)) | F.coalesce("g_active", F.lit(False))).alias("active"))
 
 
+_LINKS = "array<struct<url:string,name:string>>"
+
+
+def attach_listings(state: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """state(id, application, documents, linked_ids, urls, names, locations, active, ...) after requests(ord, source_id,
+    target_id) in the order of ord, and a report (ord, source_id, target_id, outcome).
+
+    The target, an application, keeps its own columns, remembers the source's id, takes its links (a url with the name of
+    its board; a url's first name stays) and places in order, and is active if one of them is. The source's row goes from
+    state and stays whole, as the JSON of all of its columns, in the target's linked_entries (a map by id, which may be
+    there already). Lists of urls and names that differ in length, as old states have them, are united apart.
+    Outcomes: linked; already; same (source and target); no application; no source (missing, or linked by an earlier
+    request); an application (the source is one, or has documents).
+    """
+    none = F.array().cast("array<string>")
+    had = F.col("linked_entries") if "linked_entries" in state.columns else F.lit(None).cast("map<string,string>")
+    rows = state.withColumn("linked_entries", F.coalesce(had, F.create_map().cast("map<string,string>")))
+    own = [c for c in rows.columns if c != "linked_entries"]
+    t = rows.select(F.col("id").alias("target_id"), F.col("application").alias("t_application"), F.coalesce("linked_ids", none).alias("t_linked"))
+    s = rows.select(F.col("id").alias("source_id"), (F.col("application") | F.coalesce("documents", F.lit(False))).alias("s_taken"), F.struct(*own).alias("entry"))
+    asked = requests.select("ord", "source_id", "target_id").join(t, "target_id", "left").join(s, "source_id", "left")
+    outcome = (
+        F.when(F.col("source_id").eqNullSafe(F.col("target_id")), "same").when(~F.coalesce("t_application", F.lit(False)), "no application").when(F.array_contains("t_linked", F.col("source_id")), "already")
+        .when(F.col("entry").isNull(), "no source").when(F.col("s_taken"), "an application").otherwise("linked")
+    )
+    asked = asked.withColumn("outcome", outcome)
+    # of several requests for one source the first that can be met counts; later ones find it linked there, or gone
+    earlier = Window.partitionBy("source_id", "outcome").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    asked = asked.withColumn("taken_by", F.first("target_id").over(earlier))
+    again = (F.col("outcome") == "linked") & F.col("taken_by").isNotNull()
+    asked = asked.withColumn("outcome", F.when(again & (F.col("taken_by") == F.col("target_id")), "already").when(again, "no source").otherwise(F.col("outcome")))
+    done = asked.where("outcome = 'linked'")
+    gains = done.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("ord", "source_id", "entry"))).alias("gains"))
+    j = rows.join(done.select(F.col("source_id").alias("id")), "id", "left_anti").join(gains.withColumnRenamed("target_id", "id"), "id", "left")
+    each = lambda f: F.coalesce(F.transform("gains", f), F.array())
+    of = lambda c: F.flatten(each(lambda g: F.coalesce(g["entry"][c], none)).cast("array<array<string>>"))
+    even = (F.size(F.coalesce("urls", none)) == F.size(F.coalesce("names", none))) & F.coalesce(F.forall("gains", lambda g: F.size(F.coalesce(g["entry"]["urls"], none)) == F.size(F.coalesce(g["entry"]["names"], none))), F.lit(True))
+    links = A.list_union_pairs(F.col("urls"), F.col("names"), F.filter(of("urls"), lambda u: u.isNotNull()), of("names"))
+    links = F.filter(links, lambda x: F.coalesce(x["url"], F.lit("")) != "").cast(_LINKS)
+    apart = lambda c: F.array_distinct(F.concat(F.coalesce(c, none), of(c)))
+    given = F.col("gains").isNotNull()
+    changed = {
+        "linked_ids": F.array_distinct(F.concat(F.coalesce("linked_ids", none), F.col("gains.source_id"))),
+        "urls": F.when(even, links["url"]).otherwise(apart("urls")),
+        "names": F.when(even, links["name"]).otherwise(apart("names")),
+        "locations": apart("locations"),
+        "active": F.coalesce("active", F.lit(True)) | F.exists("gains", lambda g: F.coalesce(g["entry"]["active"], F.lit(True))),
+        "linked_entries": F.map_concat("linked_entries", F.map_from_entries(F.transform("gains", lambda g: F.struct(g["source_id"], F.to_json(g["entry"]))))),
+    }
+    out = j.select(*(F.when(given, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in [*own, "linked_entries"]))
+    return out, asked.select("ord", "source_id", "target_id", "outcome")
+
+
 def allowed_labels(text: Column, key: str, allowed: Sequence[str]) -> Column:
     """Labels of a comma-separated field in a page's metadata that are among the allowed ones, once and in order."""
     fields = F.regexp_extract_all(text, F.lit(f'"{key}"\\s*:\\s*"([^"]*)"'), F.lit(1))

@@ -38,6 +38,15 @@ def with_details(listings: DataFrame, details: DataFrame, source: str, carried:
     return j.select("id", *[new(c).alias(c) for c in own])
 
 
+def enrichment_report(due: DataFrame, details: DataFrame, hooks: list[str]) -> DataFrame:
+    """(name, enriched, failed) of each hook, also of those that had nothing to do: of the candidates due(source, id) how many
+    got a row of details(source, id), once each, and how many did not."""
+    got = details.select(F.col("source").alias("name"), "id").distinct().withColumn("__got", F.lit(True))
+    counts = due.select(F.col("source").alias("name"), "id").distinct().join(got, ["name", "id"], "left").groupBy("name").agg(F.count("__got").alias("enriched"), F.count_if(F.col("__got").isNull()).alias("failed"))
+    named = due.sparkSession.createDataFrame([(h,) for h in dict.fromkeys(hooks)], "name string")
+    return named.join(counts, "name", "left").na.fill(0, ["enriched", "failed"])
+
+
 def with_current_summary(cached: DataFrame, summaries: DataFrame, unknown_place: str = "unknown") -> DataFrame:
     """Cached details(id, title, company, locations, sources, ...) under what the summary of this run says: its title and
     company unless empty, its places unless unknown, its sources always. Rows without a summary go."""

@@ -473,3 +473,37 @@ def typed_rows(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", payload.alias("payload"))
     schema = StructType.fromDDL("title string, nation int, is_new boolean")
     return datasets.typed_rows(rows, "payload", schema, {"title": F.lit("unknown"), "nation": F.lit(-1)}, ["is_new"])
+
+
+@query(
+    "attach_listings",
+    """WITH s AS (SELECT p_partkey AS id, p_partkey % 10 = 0 AS application, p_partkey % 7 = 0 AS documents, p_brand AS url, p_type AS name, p_size AS rating, p_partkey % 3 <> 0 AS active FROM part),
+    r AS (SELECT id AS ord, id AS source_id, id - id % 10 AS target_id FROM s WHERE id % 10 BETWEEN 1 AND 3 UNION ALL SELECT id + 0.5, id, id - id % 10 + 10 FROM s WHERE id % 10 = 2),
+    good AS (SELECT r.*, s.url, s.name, s.rating, s.active, row_number() OVER (PARTITION BY source_id ORDER BY ord) AS first FROM r JOIN s t ON t.id = r.target_id AND t.application JOIN s ON s.id = r.source_id AND NOT s.application AND NOT s.documents),
+    g AS (SELECT * FROM good WHERE first = 1),
+    links AS (SELECT target_id AS id, ord, url, name FROM g UNION ALL SELECT id, -1, url, name FROM s),
+    once AS (SELECT id, min(ord) AS ord, url, arg_min(name, ord) AS name FROM links GROUP BY id, url),
+    l AS (SELECT id, string_agg(url || '=' || name, '|' ORDER BY ord) AS links FROM once GROUP BY id),
+    e AS (SELECT target_id AS id, string_agg(source_id || ':' || rating, ' ' ORDER BY ord) AS kept, bool_or(active) AS active FROM g GROUP BY 1)
+    SELECT s.id, l.links, coalesce(e.kept, '') AS kept, s.active OR coalesce(e.active, false) AS active, s.rating FROM s JOIN l USING (id) LEFT JOIN e USING (id) WHERE s.id NOT IN (SELECT source_id FROM g)""",
+)
+def attach_listings(spark, d):
+    """Every tenth part is an application that takes the three after it; one of them is asked for twice."""
+    k, text = F.col("p_partkey"), lambda c: c.cast("string")
+    none = F.array().cast("array<string>")
+    state = table(spark, d, "part").select(text(k).alias("id"), (k % 10 == 0).alias("application"), (k % 7 == 0).alias("documents"), none.alias("linked_ids"), F.array("p_brand").alias("urls"), F.array("p_type").alias("names"), none.alias("locations"), (k % 3 != 0).alias("active"), F.col("p_size").alias("rating"))
+    n = F.col("id").cast("long")
+    asked = state.where(n % 10 > 0).where(n % 10 < 4).select(n.cast("double").alias("ord"), F.col("id").alias("source_id"), text(n - n % 10).alias("target_id"))
+    asked = asked.unionByName(state.where(n % 10 == 2).select((n + 0.5).alias("ord"), F.col("id").alias("source_id"), text(n - n % 10 + 10).alias("target_id")))
+    out, _ = cards.attach_listings(state, asked)
+    links = F.array_join(F.transform(F.arrays_zip("urls", "names"), lambda x: F.concat(x["urls"], F.lit("="), x["names"])), "|")
+    kept = F.transform("linked_ids", lambda i: F.concat(i, F.lit(":"), F.get_json_object(F.element_at("linked_entries", i), "$.rating")))
+    return out.select(F.col("id").cast("long").alias("id"), links.alias("links"), F.array_join(kept, " ").alias("kept"), "active", "rating")
+
+
+@query("enrichment_report", "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS name, count_if(o_orderkey % 4 <> 0)::BIGINT AS enriched, count_if(o_orderkey % 4 = 0)::BIGINT AS failed FROM orders WHERE o_orderkey % 3 < 2 OR o_orderkey % 5 = 0 GROUP BY 1 UNION ALL SELECT 'd', 0, 0")
+def enrichment_report(spark, d):
+    k = F.col("o_orderkey")
+    due = table(spark, d, "orders").where((k % 3 < 2) | (k % 5 == 0)).select(F.when(k % 3 == 0, "a").when(k % 3 == 1, "b").otherwise("c").alias("source"), k.alias("id"))
+    found = due.where("id % 4 <> 0")
+    return enrichment.enrichment_report(due, found.unionByName(found.where("id % 8 = 1")), ["a", "b", "c", "d"])
