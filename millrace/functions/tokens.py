@@ -27,9 +27,20 @@ def begins(token: Column, stems: Iterable[str]) -> Column:
     return out
 
 
-def each(words: Column, found: Callable[[Column, Callable[[int], Column], Column], Column]) -> Column:
-    """found(token, token k places on, place) for every token, nulls left out."""
-    return F.array_compact(F.transform(words, lambda t, i: found(t, lambda k: F.get(words, i + k), i)))
+def each(words: Column, found: Callable[[Column, Callable[[int], Column], Column], Column], where: Callable[[Column], Column] | None = None) -> Column:
+    """found(token, token k places on, place) for every token, nulls left out. where says which tokens can have a value; what
+    stands around the others is not looked at."""
+
+    def value(t: Column, i: Column) -> Column:
+        out = found(t, lambda k: F.get(words, i + k), i)
+        return out if where is None else F.when(where(t), out)
+
+    return F.array_compact(F.transform(words, value))
+
+
+def is_number(t: Column) -> Column:
+    """Whether a token begins with a digit; tokens are numbers as a whole then."""
+    return (t >= "0") & (t < ":")
 
 
 def ahead(words: Column, i: Column, n: int) -> Column:
