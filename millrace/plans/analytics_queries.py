@@ -198,6 +198,57 @@ def keyword_rules_score(spark, d):
     return out.select("p_partkey", "filter_status", "match_percent", "role_group", F.when(F.col("filter_status") == "excluded", F.get("reasons", F.lit(0))).alias("reason"))
 
 
+_DEMANDS = rules.Profile(
+    roles=[rules.Role("dev", "development", 30, [["developer"]])],
+    local_places=["fulda"],
+    entry_words=["junior"],
+    entry_phrases=["berufseinsteiger"],
+    strong_experience=["langjaehrige erfahrung"],
+    optional_experience=["von vorteil", "idealerweise"],
+    first_experience=["erste erfahrung"],
+    applicant_phrases=["du bringst", "sie bringen"],
+    degree_patterns=[r"\bmaster\b"],
+    travel=["reisebereitschaft 100"],
+    boilerplate=["ueber die plattform"],
+    domain_keywords=["automotive"],
+    salary_minimum=40_000,
+    salary_target=60_000,
+)
+#: What a description asks for, and what the rules make of it: (reason of exclusion or None, rank, points, level).
+_ASKED = [
+    ("Mindestens 5 Jahre Erfahrung.", "more than 3 years: 5", 99, 0, "excluded"),
+    ("Du hast 2 Jahre Erfahrung.", None, 3, 8, "2 years asked for"),
+    ("5 Jahre Erfahrung sind von Vorteil.", None, 1, 18, "experience is a plus"),
+    ("Unser Team hat 5 Jahre Erfahrung!", None, 1, 20, "no clear requirement"),
+    ("Langj\u00e4hrige Erfahrung.", "long experience asked for", 99, 0, "excluded"),
+    ("F\u00fcr Berufseinsteiger. Langj\u00e4hrige Erfahrung hat das Haus.", None, 0, 25, "entry level"),
+    ("Erste Erfahrung reicht.", None, 0, 25, "first experience is enough"),
+    ("Erfahrung in Java.", None, 4, 8, "practical experience asked for"),
+    ("Ein Master ist n\u00f6tig.", "advanced degree asked for", 99, 0, "excluded"),
+    ("Reisebereitschaft 100 %.", "much travel", 99, 0, "excluded"),
+    ("\u00dcber die Plattform: mindestens 5 Jahre Erfahrung.", None, 1, 20, "no clear requirement"),
+    ("", None, 4, 8, "no description"),
+]
+_ASKED_SQL = ", ".join(f"({k}, {'NULL' if why is None else repr(why)}, {rank}, {points}, '{level}')" for k, (_, why, rank, points, level) in enumerate(_ASKED))
+
+
+@query(
+    "experience_rules",
+    f"""WITH a(k, why, rank, points, level) AS (VALUES {_ASKED_SQL})
+    SELECT p_partkey, CASE WHEN why IS NULL THEN 'included' ELSE 'excluded' END AS filter_status, CASE WHEN why IS NULL THEN 40 + points + CASE WHEN p_partkey % 5 = 0 AND k <> 11 AND k <> 10 THEN 2 ELSE 0 END ELSE 0 END::INT AS match_percent,
+      rank::INT AS experience_rank, level AS experience_level, why AS reason FROM part JOIN a ON k = p_partkey % 12""",
+)
+def experience_rules(spark, d):
+    """Descriptions that ask for experience in every way the rules know, a fifth of them with a domain and a salary."""
+    k = F.col("p_partkey")
+    said = F.element_at(F.array(*[F.lit(t) for t, *_ in _ASKED]), (k % len(_ASKED) + 1).cast("int"))
+    more = F.when((k % 5 == 0) & (said != ""), " Automotive. Gehalt 50000 EUR pro Jahr.").otherwise("")
+    text = F.when(said != "", F.concat(F.lit("Wir bauen Software. "), said, more)).otherwise("")
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("Developer "), F.col("p_name")).alias("title"), F.lit("Fulda").alias("location"), F.lit("").alias("remote"), F.lit("").alias("employment"), text.alias("description"), F.array().cast("array<string>").alias("career_levels"), F.lit(None).cast("date").alias("published_at"), F.lit(None).cast("int").alias("salary_min"), F.lit(None).cast("int").alias("salary_max"))
+    out = rules.score(rows, _DEMANDS, F.lit("2024-01-01").cast("date"))
+    return out.select("p_partkey", "filter_status", "match_percent", "experience_rank", "experience_level", F.when(F.col("filter_status") == "excluded", F.get("reasons", F.lit(0))).alias("reason"))
+
+
 @query(
     "first_block_reason",
     """SELECT doc_id, CASE WHEN n_chars < 50 THEN 'too short' WHEN contains(text, '***') THEN 'junk' WHEN lang <> 'en' THEN 'language: ' || lang END AS reason FROM documents""",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from millrace.operators import backup, history, identity, publish
+from millrace.operators import backup, history, identity, publish, ranks, review
 from millrace.plans.registry import query
 from millrace.session import table
 
@@ -87,7 +89,46 @@ def history_fold(spark, d):
     return out.select("id", "status", F.size("history").alias("events"), F.size("refused").alias("refused"))
 
 
-@query("table_digests", "SELECT 'nation' AS name, count(*)::BIGINT AS rows FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+_DIGEST = """SELECT '{t}' AS name, count(*)::BIGINT AS rows, sha256(concat_ws(',', sum(p[1])::VARCHAR, sum(p[2])::VARCHAR, sum(p[3])::VARCHAR, sum(p[4])::VARCHAR)) AS digest
+    FROM (SELECT [('0x' || substr(h, 1, 15))::HUGEINT, ('0x' || substr(h, 16, 15))::HUGEINT, ('0x' || substr(h, 31, 15))::HUGEINT, ('0x' || substr(h, 46, 15))::HUGEINT] AS p FROM (SELECT sha256(to_json({row})::VARCHAR) AS h FROM {t}))"""
+
+
+@query("table_digests", " UNION ALL ".join(_DIGEST.format(t=t, row=row) for t, row in (("nation", "{'n_name': n_name, 'n_nationkey': n_nationkey, 'n_regionkey': n_regionkey}"), ("region", "{'r_name': r_name, 'r_regionkey': r_regionkey}"), ("supplier", "{'s_name': s_name, 's_nationkey': s_nationkey, 's_suppkey': s_suppkey}"))))
 def table_digests(spark, d):
-    parts = [backup.digest_of(table(spark, d, t)).select(F.lit(t).alias("name"), "rows") for t in ("nation", "region")]
-    return parts[0].unionByName(parts[1])
+    """Counts and digests of all rows, as a snapshot's manifest has them."""
+    columns = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "region": ["r_regionkey", "r_name"], "supplier": ["s_suppkey", "s_name", "s_nationkey"]}
+    parts = [backup.digest_of(table(spark, d, t).select(*c).repartition(3)).select(F.lit(t).alias("name"), "rows", "digest") for t, c in columns.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query(
+    "identity_routes",
+    """SELECT 'l' || page_id AS listing_id, CASE WHEN page_id % 8 IN (0, 1, 3, 4) OR page_id % 8 = 6 AND page_id % 60 <= 30 THEN 'e' ELSE 'l' END || page_id AS canonical_id FROM pages""",
+)
+def identity_routes(spark, d):
+    """By alias; by title and company, free or decided here or elsewhere; without a company, applied for or not; a completed
+    application of up to 59 days ago; and nobody."""
+    p = table(spark, d, "pages").select("page_id")
+    n, route = F.col("page_id").cast("string"), F.col("page_id") % 8
+    now = F.lit("2024-03-01").cast("date")
+    of = lambda *routes: route.isin(*routes)
+    listings = p.select(F.concat(F.lit("l"), n).alias("id"), F.concat(F.lit("Developer "), n, F.lit(" (m/w/d)")).alias("title"), F.when(of(4, 5), "").otherwise(F.concat(F.lit("Acme "), n, F.lit(" GmbH"))).alias("company"), F.array(F.concat(F.lit("u"), n)).alias("urls"), F.array(F.lit("Fulda")).alias("locations"), F.lit(False).alias("fully_remote"), F.lit(None).cast("date").alias("published_on"))
+    applied = of(4, 6)
+    entries = p.where(route != 7).select(
+        F.concat(F.lit("e"), n).alias("id"), F.when(of(0), "Another title").otherwise(F.concat(F.lit("Developer "), n)).alias("title"), F.concat(F.lit("ACME "), n).alias("company"), F.array().cast("array<string>").alias("urls"),
+        F.array(F.when(of(2), "Ulm").otherwise("36037 Fulda")).alias("locations"), F.lit(False).alias("fully_remote"), F.when(of(6), "rejected").when(of(4), "applied").otherwise("new").alias("status"), (applied | of(2, 3)).alias("decided"), applied.alias("applied"), of(6).alias("completed"),
+        F.lit(True).alias("active"), F.lit("2024-01-01").alias("first_seen"), F.when(of(6), F.date_sub(now, (F.col("page_id") % 60).cast("int"))).alias("dated_on"),
+    )
+    aliases = p.where(of(0)).select(F.concat(F.lit("l"), n).alias("alias"), F.concat(F.lit("e"), n).alias("id"))
+    return identity.resolve(listings, entries, aliases, now).select("listing_id", "canonical_id")
+
+
+@query(
+    "review_rank",
+    """SELECT p_partkey AS id, row_number() OVER (ORDER BY coalesce(CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 4 END, 2), CASE WHEN p_size % 9 = 0 THEN -1 ELSE p_size END DESC, p_partkey DESC)::BIGINT AS place FROM part""",
+)
+def review_rank(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    day = lambda n: F.date_add(F.lit("2000-01-01").cast("date"), n.cast("int"))
+    ordered = review.by_rank(table(spark, d, "part").select(k.alias("id"), "p_partkey", "p_size"), F.when(k % 4 != 0, k % 4), F.when(size % 9 != 0, size), day(F.expr("p_partkey div 3")), day(k))
+    return ranks.numbered(ordered.select("id"))
