@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from millrace.plans import analytics_queries, card_queries, publish_queries, relational_queries, streaming_queries, text_queries  # noqa: F401
+    from millrace.plans import analytics_queries, card_queries, publish_queries, relational_queries, run_queries, streaming_queries, text_queries  # noqa: F401
 
 
 _load()
