@@ -30,4 +30,4 @@ def test_entry_with_everything():
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q)
     if (ROOT / "millrace" / "llm").exists():
-        assert {int(n[2:].split("_")[0]) for n in q if re.match(r"op\d+_", n)} == set(range(1, 11)) and "pipeline" in q
+        assert {int(n[2:].split("_")[0]) for n in q if re.match(r"op\d+_", n)} == set(range(1, 14)) and "pipeline" in q
