@@ -60,6 +60,26 @@ def chosen_sources(known: Iterable[str], only: Iterable[str] | None = None, excl
     return chosen
 
 
+#: Fields that an archived listing, and a message about a card, keep (fixed names of the formats).
+ARCHIVED = ("id", "title", "company", "locations", "sources", "description_clean", "work_mode", "remote_percentage", "employment_type", "career_levels", "salary_min_eur", "salary_max_eur", "published_at", "fetched_at", "first_seen_at")
+TOLD = ("id", "title", "company", "locations", "sources", "work_mode", "remote_percentage", "match_percent", "role_group", "experience_level", "location_precheck", "workflow_status")
+
+
+def archive_records(listings: DataFrame) -> DataFrame:
+    """The archived fields of listings before they are merged, all of which they must have, and nothing else."""
+    missing = [c for c in ARCHIVED if c not in listings.columns]
+    if missing:
+        raise ValueError(f"not in the listings: {', '.join(missing)}")
+    return listings.select(*ARCHIVED)
+
+
+def message_payload(cards: DataFrame, international: Column) -> Column:
+    """What a message keeps of a card, as JSON: those of its fields that the cards have, nulls as null, and international, as
+    worked out where the cards don't say. No other field gets out."""
+    said = F.coalesce(F.col("international"), international) if "international" in cards.columns else international
+    return F.to_json(F.struct(*[c for c in TOLD if c in cards.columns], said.alias("international")), {"ignoreNullFields": "false"})
+
+
 def of_sources(listings: DataFrame, chosen: Iterable[str], source: str = "source") -> DataFrame:
     return listings.where(F.col(source).isin(sorted(chosen)))
 

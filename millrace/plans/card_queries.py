@@ -507,3 +507,21 @@ def enrichment_report(spark, d):
     due = table(spark, d, "orders").where((k % 3 < 2) | (k % 5 == 0)).select(F.when(k % 3 == 0, "a").when(k % 3 == 1, "b").otherwise("c").alias("source"), k.alias("id"))
     found = due.where("id % 4 <> 0")
     return enrichment.enrichment_report(due, found.unionByName(found.where("id % 8 = 1")), ["a", "b", "c", "d"])
+
+
+@query(
+    "message_payload",
+    """SELECT p_partkey AS id, '{"id":"' || p_partkey || '","title":"' || p_name || '","match_percent":' || CASE WHEN p_size % 5 = 0 THEN 'null' ELSE p_size::VARCHAR END || ',"international":' || CASE WHEN p_partkey % 4 = 0 THEN 'true' WHEN p_partkey % 4 = 1 THEN 'false' ELSE (p_size > 25)::VARCHAR END || '}' AS payload FROM part""",
+)
+def message_payload(spark, d):
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select(k.alias("key"), k.cast("string").alias("id"), F.col("p_name").alias("title"), F.when(F.col("p_size") % 5 != 0, F.col("p_size")).alias("match_percent"), F.lit("secret").alias("webhook"), F.when(k % 4 == 0, True).when(k % 4 == 1, False).alias("international"), "p_size")
+    return rows.select(F.col("key").alias("id"), cards.message_payload(rows, F.col("p_size") > 25).alias("payload"))
+
+
+@query("archive_records", "SELECT p_partkey::VARCHAR AS id, p_name AS title, p_brand AS company, p_size AS salary_min_eur FROM part")
+def archive_records(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.col("p_size").alias("salary_min_eur"), F.lit("x").alias("note"))
+    rows = rows.select("*", *[F.lit(None).cast("string").alias(c) for c in cards.ARCHIVED if c not in rows.columns])
+    kept = cards.archive_records(rows)
+    return kept.select("id", "title", "company", "salary_min_eur") if kept.columns == list(cards.ARCHIVED) else kept
