@@ -40,7 +40,7 @@ from millrace.llm._hashing import BASE, mix
 from millrace.llm._shared import materialize, pick
 
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK, SPAN, RUN = 128, 512, 4096, 8, 4096
-_MEMO_ENTRIES, _GROUP_BYTES, _SLOTS = 1_200_000, 1 << 19, 1 << 17
+_MEMO_ENTRIES, _GROUP_BYTES, _SLOTS = 300_000, 1 << 19, 1 << 17
 #: Latin letters, then ASCII marks that begin neither a contraction nor a special token.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)((?:[!-&(-/:;=-@\[-`{-~][!-/:;=-@\[-`{-~]*)?)")
 #: The byte-level alphabet for pieces of these: a space is shown as U+0120, a line break as U+010A, and a byte b of a letter beyond ASCII
