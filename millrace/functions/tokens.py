@@ -15,6 +15,12 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once. Inside a lambda a Column stands for its expression, which is worked out again
+    for every element and every time it is used; a lambda's own variable is not."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def among(token: Column, values: Iterable[str]) -> Column:
     """Whether a token is one of the values; false where there is none."""
     return F.coalesce(token.isin(*values), F.lit(False))
