@@ -1,15 +1,15 @@
 """Decision histories as folded commands: set a status, edit, delete and undo events, each checked against what the
 user saw.
 
-Histories are small and their commands sequential, so an entity's commands run in order within its own group; entities
-run apart. Commands that no longer fit are refused and say why; nothing else of the entity changes.
+Histories are small and their commands sequential, so an entity's commands run in order in one task; entities run
+apart. Commands that no longer fit are refused and say why; nothing else of the entity changes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,9 +64,54 @@ def replay(status: str | None, history: list[tuple], first_seen: str | None, com
     return status, refused
 
 
-def _plain(row: dict) -> dict:
-    """A command as pandas has it, with None for what is missing."""
-    return {k: None if v is None or v != v else v for k, v in row.items()}
+_COMMAND = ("seq", "kind", "status", "day", "place", "seen_status", "seen_day")
+_BATCH = 10_000
+
+
+def _emitted(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (id, status, history, refused) as OUT has them."""
+    events = pa.list_(pa.struct([("status", pa.string()), ("day", pa.string())]))
+    shown = [None if h is None else [{"status": s, "day": d} for s, d in h] for _, _, h, _ in rows]
+    columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array(shown, events), pa.array([r[3] for r in rows], pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, ["id", "status", "history", "refused"])
+
+
+def _folder(statuses: tuple):
+    def entity(key, states: list[tuple], commands: list[dict]) -> list[tuple]:
+        if not commands or key is None:
+            out = [(key, status, None if h is None else [(e["status"], e["day"]) for e in h], []) for status, _, h in states]
+            states = []
+            if not commands:
+                return out
+        else:
+            out = []
+        status, first_seen, known = states[0] if states else (None, None, None)
+        history = [(e["status"], e["day"]) for e in known or []]
+        status, refused = replay(status, history, first_seen, commands, statuses)
+        return [*out, (key, status, history, refused)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        now, states, commands = None, [], []
+        for batch in batches:
+            ids, own, first, known = (batch.column(c).to_pylist() for c in ("id", "own", "first_seen", "history"))
+            columns = [batch.column(c).to_pylist() for c in _COMMAND]
+            for key, is_state, first_seen, history, *command in zip(ids, own, first, known, *columns):
+                if key != now:
+                    done += entity(now, states, commands)
+                    now, states, commands = key, [], []
+                    if len(done) >= _BATCH:
+                        yield _emitted(done)
+                        done = []
+                if is_state:
+                    states.append((command[2], first_seen, history))
+                else:
+                    commands.append(dict(zip(_COMMAND, command)))
+        done += entity(now, states, commands)
+        if done:
+            yield _emitted(done)
+
+    return run
 
 
 def fold(state: DataFrame, commands: DataFrame, statuses: tuple = STATUSES) -> DataFrame:
@@ -76,15 +121,13 @@ def fold(state: DataFrame, commands: DataFrame, statuses: tuple = STATUSES) -> D
     kind set: append an event; the first change of a new entity also records where it came from. edit and delete: the
     event at place must still be the one seen; an edit may not repeat another event. undo: the entity must still be
     ignored, by its last event, and no application. An event that is there already is not repeated.
-    """
 
-    def run(key: tuple, own: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
-        first = own.iloc[0] if len(own) else None
-        history = [(e["status"], e["day"]) for e in (first["history"] if first is not None and first["history"] is not None else [])]
-        status, refused = replay(first["status"] if first is not None else None, history, first["first_seen"] if first is not None else None, map(_plain, todo.sort_values("seq").to_dict("records")), statuses)
-        return pd.DataFrame({"id": [key[0]], "status": [status], "history": [[{"status": s, "day": d} for s, d in history]], "refused": [refused]})
-
-    touched = state.join(commands.select("id").distinct(), "id", "left_semi")
-    done = touched.groupBy("id").cogroup(commands.groupBy("id")).applyInPandas(run, OUT)
-    same = state.join(commands.select("id").distinct(), "id", "left_anti").select("id", "status", F.transform("history", lambda e: F.struct(e["status"].alias("status"), e["day"].alias("day"))).alias("history"), F.array().cast("array<string>").alias("refused"))
-    return done.unionByName(same)
+    Entities and commands are dealt by id and sorted, each entity before its commands, and a task reads them in one
+    go: nothing is set up for an entity of its own, and only one entity's commands are held at a time.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    events = "array<struct<status:string,day:string>>"
+    own = state.select(F.col("id").cast("string").alias("id"), F.lit(True).alias("own"), "first_seen", F.transform("history", lambda e: F.struct(e["status"].alias("status"), e["day"].alias("day"))).cast(events).alias("history"), none("long").alias("seq"), none("string").alias("kind"), "status", *[none("int" if c == "place" else "string").alias(c) for c in _COMMAND[3:]])
+    todo = commands.select(F.col("id").cast("string").alias("id"), F.lit(False).alias("own"), none("string").alias("first_seen"), none(events).alias("history"), F.col("seq").cast("long").alias("seq"), "kind", "status", "day", F.col("place").cast("int").alias("place"), "seen_status", "seen_day")
+    dealt = own.unionByName(todo).repartition("id").sortWithinPartitions("id", F.desc("own"), F.asc_nulls_last("seq"))
+    return dealt.mapInArrow(_folder(statuses), OUT)

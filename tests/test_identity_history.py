@@ -140,3 +140,26 @@ def test_backup(spark, tmp_path):
     with pytest.raises(ValueError):
         backup.restore(spark, f"{tmp_path}/b")
     assert not backup.verify(df, df.distinct())
+
+
+def test_entities_are_folded_in_one_pass(spark):
+    """Entities that lie across batches, null ids, entities of no state and of no commands; numbers stay whole beside nulls."""
+    state = spark.createDataFrame([*((f"e{k:03d}", "new", "2024-01-01", []) for k in range(60)), (None, "new", None, None), ("idle", None, None, None)], S)
+    rows = [(f"e{k:03d}", s, "set" if s % 2 else "dance", "interesting", f"2024-02-{s + 1:02d}", None, None, None) for k in range(60) for s in range(9)]
+    rows += [(None, 1, "set", "ignored", "2024-02-01", None, None, None), ("fresh", None, "dance", None, None, None, None, None), ("fresh", 3, "dance", None, None, None, None, None)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = history.fold(state, spark.createDataFrame(rows, C))
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    by = {r["id"]: r for r in got if r["id"] is not None}
+    assert len(got) == 64 and "InPandas" not in out._jdf.queryExecution().analyzed().toString()
+    for k in range(60):
+        r = by[f"e{k:03d}"]
+        assert [e["day"] for e in r["history"]] == ["2024-01-01", *(f"2024-02-{s + 1:02d}" for s in (1, 3, 5, 7))]
+        assert r["status"] == "interesting" and r["refused"] == [f"{s}: unknown command" for s in (0, 2, 4, 6, 8)]
+    assert by["fresh"]["refused"] == ["3: unknown command", "None: unknown command"] and by["fresh"]["status"] == "new"
+    assert (by["idle"]["status"], by["idle"]["history"], by["idle"]["refused"]) == (None, None, [])
+    assert sorted((r["status"], r["history"] is None) for r in got if r["id"] is None) == [("ignored", False), ("new", True)]
