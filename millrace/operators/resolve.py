@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ def merge_duplicates(listings: DataFrame, group_words: Iterable[str] = T.GROUP_W
     Rows meet only in one block, their normalised title. A row joins the first earlier one of its block that has
     no source in common, a matching company, and a shared place or both fully remote; the merged row keeps the id
     and the longer description's fields and unites places and sources. The comparison is with the row as merged
-    so far, so it can't be a join; blocks run apart from one another. Rows with an empty title or company key
+    so far, so it can't be a join; blocks run one after another in tasks that share them out. Rows with an empty title or company key
     meet nothing and take no part in the grouping. Blocks of more than most_rows rows are split into the groups of
     match_groups, which gives the same rows.
     """
@@ -52,10 +52,9 @@ def merge_duplicates(listings: DataFrame, group_words: Iterable[str] = T.GROUP_W
         found = match_groups(hot.select(F.col("__row").alias("row"), F.col("__block").alias("block"), F.col("__company").alias("company"), F.col("__places").alias("places"), F.col("fully_remote").alias("remote")), group_words)
         many = few.unionByName(hot.join(found.select(F.col("row").alias("__row"), F.col("group").alias("__group")), "__row").drop("__row"))
 
-    def merge(block):
-        return _merge_block(block, groups)
-
-    return singles.unionByName(lone).unionByName(many.groupBy("__block", "__group").applyInPandas(merge, listings.schema))
+    # dealt and sorted by group, so a task goes through its groups without anything set up for one of them
+    dealt = many.repartition("__block", "__group").sortWithinPartitions("__block", "__group", "ord")
+    return singles.unionByName(lone).unionByName(dealt.mapInArrow(_merger(listings.columns, groups), listings.schema))
 
 
 def match_groups(rows: DataFrame, group_words: Iterable[str] = T.GROUP_WORDS) -> DataFrame:
@@ -104,10 +103,11 @@ def _same_place(a: list[str], b: list[str]) -> bool:
     return any(x == y or len(x) >= 5 and x in y or len(y) >= 5 and y in x for x in a for y in b if x and y)
 
 
-def _merge_block(block: pd.DataFrame, groups: frozenset) -> pd.DataFrame:
+def _merge_block(block: list[dict], groups: frozenset) -> list[dict]:
+    """Rows of a group, in order, as they are merged."""
     kept: list[dict] = []
-    for row in block.sort_values("ord").to_dict("records"):
-        row = row | {"sources": list(row["sources"]), "locations": list(row["locations"]), "__places": list(row["__places"])}
+    for row in block:
+        row = row | {c: row[c] if row[c] is not None else [] for c in ("sources", "locations", "__places")}
         own = {s["source"] for s in row["sources"]}
         at = next((k for k, x in enumerate(kept) if not own & {s["source"] for s in x["sources"]} and _same_company(row["__company"], x["__company"], groups) and (_same_place(row["__places"], x["__places"]) or row["fully_remote"] and x["fully_remote"])), None)
         if at is None:
@@ -117,7 +117,29 @@ def _merge_block(block: pd.DataFrame, groups: frozenset) -> pd.DataFrame:
         rich = row if len(row["description"] or "") > len(old["description"] or "") else old
         sources = list({(s["source"], s["url"]): s for s in reversed([*old["sources"], *row["sources"]])}.values())[::-1]
         kept[at] = rich | {"id": old["id"], "ord": old["ord"], "locations": list(dict.fromkeys(old["locations"] + row["locations"])), "__places": list(dict.fromkeys(old["__places"] + row["__places"])), "sources": sources, "is_new": bool(old["is_new"] or row["is_new"])}
-    return pd.DataFrame(kept, columns=block.columns).drop(columns=["__block", "__company", "__places", "__group"])
+    return kept
+
+
+def _merger(columns: list[str], groups: frozenset, most: int = 10_000):
+    """Rows that are sorted by group, in batches that may end within one; most: rows of a batch that is given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block, done, schema = None, [], [], None
+        for batch in batches:
+            schema = pa.schema([batch.schema.field(c) for c in columns])
+            for row in batch.to_pylist():
+                if (key := (row["__block"], row["__group"])) != now:
+                    done += _merge_block(block, groups)
+                    now, block = key, []
+                    if len(done) >= most:
+                        yield pa.RecordBatch.from_pylist(done, schema)
+                        done = []
+                block.append(row)
+        done += _merge_block(block, groups)
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema)
+
+    return run
 
 
 def alias_closure(edges: DataFrame, src: str = "alias", dst: str = "canonical") -> DataFrame:
