@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from millrace.operators.commits import file_system
+
 
 def read_events(spark: SparkSession, path: str, schema, at: str = "ts", files_per_trigger: int = 16) -> DataFrame:
     """A stream of Parquet files; the event time is cast to a timestamp with zone, as watermarks need."""
@@ -45,15 +48,18 @@ def track(stream: DataFrame, key: str, failed: str, misses: int = 3, at: str = "
             state.remove()
             return
         seen, errors, streak, _ = state.get if state.exists else (0, 0, 0, True)
-        rows = pd.concat(list(frames)).sort_values([at, "event_id"])
-        for bad in rows[failed].tolist():
+        found = list(frames)
+        times, ids, bads = (np.concatenate([f[c].to_numpy() for f in found]) for c in (at, "event_id", failed))
+        order = np.lexsort((ids, times))
+        for bad in bads[order].tolist():
             seen, errors, streak = seen + 1, errors + bad, streak + 1 if bad else 0
         state.update((seen, int(errors), int(streak), bool(streak < misses)))
-        last = max(int(rows[at].iloc[-1].timestamp() * 1000), state.getCurrentWatermarkMs())
+        last = max(int(pd.Timestamp(times[order[-1]]).timestamp() * 1000), state.getCurrentWatermarkMs())
         state.setTimeoutTimestamp(last + keep_days * 86_400_000)
         yield pd.DataFrame({key: [k[0]], "seen": [seen], "errors": [int(errors)], "streak": [int(streak)], "active": [bool(streak < misses)]})
 
-    return stream.withWatermark(at, late).groupBy(key).applyInPandasWithState(step, f"{key} long, {STATE}", STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    used = stream.select(key, at, "event_id", failed)  # nothing else goes to Python
+    return used.withWatermark(at, late).groupBy(key).applyInPandasWithState(step, f"{key} long, {STATE}", STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -77,12 +83,28 @@ def run_upserts(stream: DataFrame, keys: list[str], path: str, checkpoint: str)
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "changed_in").alias("x")).select(*keys, "x.*")
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run over what is there and return the result as a table in memory: for small results, as sessions need it, which
-    have no update mode."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_complete(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run over what is there in complete mode, as sessions need it, which have no update mode. Each batch writes the whole
+    result into a folder of its own, anew if it is tried again, and the one before goes, so nothing gathers on the
+    driver. The result is the newest folder."""
+    spark = stream.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        for old in _batches(spark, path):
+            if old < number:
+                fs, at = file_system(spark, f"{path}/batch-{old}")
+                fs.delete(at, True)
+
+    q = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    there = _batches(spark, path)
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch-{there[-1]}") if there else spark.createDataFrame([], stream.schema)
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    fs, at = file_system(spark, path)
+    return sorted(int(x.getPath().getName().removeprefix("batch-")) for x in fs.listStatus(at)) if fs.exists(at) else []
 
 
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
