@@ -1,7 +1,8 @@
 """Stateful walks as a stream: each walk follows the pages of one session from cursor to cursor.
 
-A walk is a folder of pages, laid out as Spark writes text partitioned by walk and page: walk=<name>/page=<cursor>/. A
-page holds {"records": [...], "next": the cursor of the page that follows, or false, "token": what names the session}.
+A walk is a folder of pages, laid out as Spark writes text partitioned by walk and bucket: walk=<name>/bucket=<number>/, the
+CRC-32 of a page's cursor modulo BUCKETS, so folders and files don't grow in number with the pages. A line holds
+{"page": cursor, "body": the page as text}. A page holds {"records": [...], "next": the cursor of the page that follows, or false, "token": what names the session}.
 An offset holds, for each walk, the cursor to read next, the session's token, how many pages and records were taken,
 how many pages in a row were old, and why it ended; so a query that is stopped goes on from its checkpoint where it was,
 within the session it was in.
@@ -19,8 +20,10 @@ when nothing is left.
 
 from __future__ import annotations
 
+import io
 import json
 import time
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +35,7 @@ from pyspark.sql.types import StructType
 
 SCHEMA = "walk string, page string, ord long, payload string, error string"
 OLD_PAGES = 2
+BUCKETS = 64
 
 
 @dataclass
@@ -59,13 +63,23 @@ class WalkReader(DataSourceStreamReader):
 
     def _page(self, walk: str, cursor: str) -> dict:
         fs, inner = self._fs()
-        found = fs.get_file_info(pafs.FileSelector(f"{inner}/walk={walk}/page={cursor}"))
+        found = fs.get_file_info(pafs.FileSelector(f"{inner}/walk={walk}/bucket={zlib.crc32(cursor.encode()) % BUCKETS}"))
         parts = sorted(f.path for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(("_", ".")))
-        page = json.loads(b"".join(fs.open_input_stream(p).read() for p in parts))
+        page = json.loads(self._body(fs, parts, cursor))
         if not isinstance(page, dict):
             raise ValueError("a page is an object")
         return page
 
+    @staticmethod
+    def _body(fs, parts: list[str], cursor: str) -> str:
+        """A page's text; lines of a bucket are read until it comes."""
+        for path in parts:
+            with io.TextIOWrapper(fs.open_input_file(path), encoding="utf-8", newline="\n") as lines:
+                for line in lines:
+                    if (one := json.loads(line))["page"] == cursor:
+                        return one.get("body", "")
+        raise FileNotFoundError(f"no page {cursor}")
+
     def initialOffset(self) -> dict:
         fs, inner = self._fs()
         found = [f.base_name for f in fs.get_file_info(pafs.FileSelector(inner)) if f.type == pafs.FileType.Directory]
@@ -139,7 +153,9 @@ class WalkSource(DataSource):
 
 def write_pages(pages: DataFrame, path: str) -> None:
     """pages(walk, page, body): a folder of walks; a body is one line of JSON."""
-    pages.select("walk", "page", F.col("body").alias("value")).repartition("walk", "page").write.partitionBy("walk", "page").text(path)
+    bucket = (F.crc32(F.col("page").cast("string").cast("binary")) % BUCKETS).alias("bucket")
+    line = F.to_json(F.struct(F.col("page").cast("string").alias("page"), "body")).alias("value")
+    pages.select("walk", bucket, line).repartition("walk", "bucket").write.partitionBy("walk", "bucket").text(path)
 
 
 def read_walks(spark: SparkSession, path: str, **options) -> DataFrame:

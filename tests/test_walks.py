@@ -57,3 +57,13 @@ def test_where_walks_end(spark, folder):
     assert errors == {"lost": "another session", "broken": "JSONDecodeError", "endless": "page limit", "missing": "FileNotFoundError"}
     assert [r["ord"] for r in got.where("walk = 'whole'").orderBy("ord").collect()] == [0, 1, 2, 3, 4]
     assert [json.loads(r["payload"]) for r in got.where("walk = 'cursors'").orderBy("ord").collect()] == [{"id": 1}, "plain", None]
+
+
+def test_folders_do_not_grow_with_the_pages(spark, folder):
+    from pathlib import Path
+
+    rows = spark.range(500).selectExpr("'w' as walk", "cast(id as string) as page", "concat('{\"records\": [', id, '], \"next\": ', if(id < 499, concat('\"', id + 1, '\"'), 'false'), '}') as body")
+    walks.write_pages(rows, f"{folder}/many")
+    assert len(list(Path(f"{folder}/many".removeprefix("file://")).glob("walk=w/*"))) == walks.BUCKETS
+    out = walks.run_walks(walks.read_walks(spark, f"{folder}/many", pagesPerBatch=500), f"{folder}/many-out", f"{folder}/many-ckpt")
+    assert [r["payload"] for r in out.orderBy("ord").collect()] == [str(k) for k in range(500)]
