@@ -9,6 +9,7 @@ to_rgb dequantises, inverse-transforms, upsamples chroma by repetition and conve
 
 from __future__ import annotations
 
+import re
 import struct
 from dataclasses import dataclass, field
 from functools import cache, lru_cache
@@ -54,6 +55,7 @@ class Image:
     comments: list[bytes]
     h_max: int
     v_max: int
+    layouts: dict[bytes, "_Layout"] = field(default_factory=dict)  # by the components that a scan names
 
 
 @lru_cache(maxsize=64)
@@ -131,7 +133,10 @@ def _uniform(bits: _Bits, table: list[int], n: int) -> tuple[int, np.ndarray] |
 
 def _values(extra: np.ndarray) -> np.ndarray:
     size = extra.shape[1]
-    v = extra @ (1 << np.arange(size)[::-1]).astype(np.int32)
+    v = extra[:, 0].astype(np.int32)
+    for k in range(1, size):
+        v <<= 1
+        v |= extra[:, k]
     return np.where(extra[:, 0] == 1, v, v - (1 << size) + 1)
 
 
@@ -156,10 +161,16 @@ def _dc_first(bits: _Bits, blocks: list[np.ndarray], owners: np.ndarray | None,
         at[c] += 1
 
 
-def _dc_refine(bits: _Bits, blocks: list[np.ndarray], owners: np.ndarray | None, al: int) -> None:
-    got = bits.many(sum(map(len, blocks))).astype(np.int16) << al
-    for c, own in enumerate(blocks):
-        own[:, 0] |= got if owners is None else got[owners == c]
+def _dc_refine(bits: _Bits, values: list[np.ndarray], count: int, al: int) -> None:
+    """values: each component's DC coefficients. count: units of blocks, each of which has as many of a component, one
+    component after another."""
+    got = bits.many(sum(x.size for x in values)).astype(np.int16).reshape(count, -1)
+    got <<= al
+    at = 0
+    for own in values:
+        each = own.size // count
+        own |= got[:, at : at + each].reshape(own.shape)
+        at += each
 
 
 def _ac_first(bits: _Bits, blocks: np.ndarray, table: list[int], ss: int, se: int, al: int) -> None:
@@ -190,17 +201,24 @@ def _ac_first(bits: _Bits, blocks: np.ndarray, table: list[int], ss: int, se: in
         k += 1
 
 
-def _correct(bits: _Bits, part: np.ndarray, al: int) -> None:
-    """One correction bit for each coefficient of part that is not 0."""
-    known = part != 0
-    if known.all():
-        part += (bits.many(part.size).reshape(part.shape).astype(np.int16) << al) * np.sign(part)
+def _correct(bits: _Bits, part: np.ndarray, al: int, signs: dict, where: tuple) -> None:
+    """One correction bit for each coefficient of part that is not 0. signs: those of parts without a 0, which corrections
+    leave as they are, by where the part stands."""
+    if where not in signs and part.all():
+        signs[where] = np.sign(part)
+    if where in signs:
+        more = bits.many(part.size).reshape(part.shape).astype(np.int16)
+        more <<= al
+        more *= signs[where]
+        part += more
     else:
+        known = part != 0
         old = part[known]
         part[known] = old + (bits.many(len(old)).astype(np.int16) << al) * np.sign(old)
 
 
-def _ac_refine(bits: _Bits, blocks: np.ndarray, table: list[int], ss: int, se: int, al: int) -> None:
+def _ac_refine(bits: _Bits, blocks: np.ndarray, table: list[int], ss: int, se: int, al: int, signs: dict, start: int) -> None:
+    """start: the number of the first of the blocks; signs as _correct takes them."""
     k = 0
     one = 1 << al
     while k < len(blocks):
@@ -211,10 +229,10 @@ def _ac_refine(bits: _Bits, blocks: np.ndarray, table: list[int], ss: int, se: i
             if not s and r < 15:  # the end of this block's new coefficients, and of the next run - 1 blocks'
                 run = min((1 << r) + bits.take(r), len(blocks) - k)
                 if z == ss:
-                    _correct(bits, blocks[k : k + run, ss : se + 1], al)
+                    _correct(bits, blocks[k : k + run, ss : se + 1], al, signs, (start + k, run, ss, se))
                 else:
-                    _correct(bits, row[z : se + 1], al)
-                    _correct(bits, blocks[k + 1 : k + run, ss : se + 1], al)
+                    _correct(bits, row[z : se + 1], al, signs, (start + k, 1, z, se))
+                    _correct(bits, blocks[k + 1 : k + run, ss : se + 1], al, signs, (start + k + 1, run - 1, ss, se))
                 k += run - 1
                 break
             new = (one if bits.take(1) else -one) if s else 0
@@ -251,79 +269,102 @@ def _sequential(bits: _Bits, blocks: list[np.ndarray], owners: np.ndarray | None
             z += 1
 
 
+class _Layout:
+    """Blocks of the components that a scan names, in its order."""
+
+    def __init__(self, image: Image, named: bytes):
+        self.parts = [next(c for c in image.components if c.name == name) for name in named]
+        self.owner_unit: list[int] = []
+        self.signs: dict[tuple, np.ndarray] = {}
+        if len(named) == 1:
+            c = self.parts[0]
+            self.units = c.high * c.wide
+            self.dc = [c.coefficients[: c.high, : c.wide, 0]]
+            self.own = c.coefficients[: c.high, : c.wide].reshape(-1, 64)
+            self.copied = not np.may_share_memory(c.coefficients, self.own)
+            return
+        self.at, self.dc = [], []
+        for k, c in enumerate(self.parts):
+            rows, cols = c.coefficients.shape[0] // c.v, c.coefficients.shape[1] // c.h
+            self.at.append(np.arange(rows * c.v * cols * c.h).reshape(rows, c.v, cols, c.h).transpose(0, 2, 1, 3).reshape(-1))
+            self.dc.append(c.coefficients[:, :, 0].reshape(rows, c.v, cols, c.h).transpose(0, 2, 1, 3))
+            self.owner_unit += [k] * (c.v * c.h)
+        self.units = (self.parts[0].coefficients.shape[0] // self.parts[0].v) * (self.parts[0].coefficients.shape[1] // self.parts[0].h)
+
+    def blocks(self, depth: int) -> list[np.ndarray]:
+        """Each component's blocks (k x 64), their first `depth` coefficients where they are a copy."""
+        if len(self.parts) == 1:
+            c = self.parts[0]
+            return [c.coefficients[: c.high, : c.wide].reshape(-1, 64) if self.copied else self.own]
+        return [c.coefficients.reshape(-1, 64)[at, :depth] for c, at in zip(self.parts, self.at)]
+
+    def put(self, lists: list[np.ndarray], depth: int) -> None:
+        """Write blocks back where they are a copy."""
+        if len(self.parts) > 1:
+            for c, at, x in zip(self.parts, self.at, lists):
+                c.coefficients.reshape(-1, 64)[at, :depth] = x
+        elif self.copied:
+            c = self.parts[0]
+            c.coefficients[: c.high, : c.wide] = lists[0].reshape(c.high, c.wide, 64)
+
+
 def _scan(image: Image, data: bytes, head: bytes, tables: dict, interval: int, progressive: bool) -> None:
     n = head[0]
-    chosen = [(next(c for c in image.components if c.name == head[1 + 2 * k]), head[2 + 2 * k] >> 4, head[2 + 2 * k] & 15) for k in range(n)]
+    named, slots = head[1 : 1 + 2 * n : 2], head[2 : 2 + 2 * n : 2]
     ss, se, ah, al = head[1 + 2 * n], head[2 + 2 * n], head[3 + 2 * n] >> 4, head[3 + 2 * n] & 15
-    parts = [c for c, _, _ in chosen]
-    if n == 1:
-        c = parts[0]
-        grids = [c.coefficients[: c.high, : c.wide]]
-        order = [None]
-        owner_unit, units = None, c.high * c.wide
-    else:
-        grids, order, owner_unit = [], [], []
-        for k, c in enumerate(parts):
-            rows, cols = c.coefficients.shape[0] // c.v, c.coefficients.shape[1] // c.h
-            grids.append(c.coefficients)
-            order.append((rows, c.v, cols, c.h))
-            owner_unit += [k] * (c.v * c.h)
-        units = order[0][0] * order[0][2]
-    lists = [g.reshape(-1, 64) if o is None else g.reshape(o[0], o[1], o[2], o[3], 64).transpose(0, 2, 1, 3, 4).reshape(-1, 64) for g, o in zip(grids, order)]
+    layout = image.layouts.get(named)
+    if layout is None:
+        layout = image.layouts[named] = _Layout(image, named)
+    units = layout.units
     per = interval or units
     segments = _segments(data)
+    if progressive and ss == 0 and ah and per >= units:  # in place
+        _dc_refine(_Bits(segments[0]), layout.dc, units, al)
+        return
+    depth = 1 if progressive and ss == 0 else 64
+    lists = layout.blocks(depth)
+    if ah == 0:
+        for other in image.layouts.values():
+            other.signs.clear()
+
+    def look(kind: int) -> list[list[int]]:
+        specs = [tables.get((kind, slot & 15 if kind else slot >> 4)) for slot in slots]
+        return [_lookup(s)[0] if s else [] for s in specs]
+
     for k, start in enumerate(range(0, units, per)):
         if k >= len(segments):
             raise ValueError("a scan has too few restart intervals")
         count = min(per, units - start)
         bits = _Bits(segments[k])
-        if n == 1:
-            own, owners = [lists[0][start : start + count]], None
-        else:
-            own = [x[start * len(x) // units : (start + count) * len(x) // units] for x in lists]
-            owners = np.tile(np.array(owner_unit), count)
-        dc = [tables.get((0, d)) for _, d, _ in chosen]
-        ac = [tables.get((1, a)) for _, _, a in chosen]
-        look = lambda specs: [_lookup(s)[0] if s else [] for s in specs]
-        if not progressive:
-            _sequential(bits, own, owners, look(dc), look(ac))
-        elif ss == 0 and ah == 0:
-            _dc_first(bits, own, owners, look(dc), al)
-        elif ss == 0:
-            _dc_refine(bits, own, owners, al)
-        elif ah == 0:
-            _ac_first(bits, own[0], look(ac)[0], ss, se, al)
-        else:
-            _ac_refine(bits, own[0], look(ac)[0], ss, se, al)
-    for g, o, x in zip(grids, order, lists):
-        if np.may_share_memory(g, x):
-            continue  # the blocks lie in one piece and were written in place
-        if o is None:
-            g[...] = x.reshape(g.shape)
+        own = [x[start * len(x) // units : (start + count) * len(x) // units] for x in lists]
+        if progressive and ss == 0 and ah:
+            _dc_refine(bits, [x[:, 0] for x in own], count, al)
+        elif progressive and ss and ah:
+            _ac_refine(bits, own[0], look(1)[0], ss, se, al, layout.signs, start)
+        elif progressive and ss:
+            _ac_first(bits, own[0], look(1)[0], ss, se, al)
         else:
-            g[...] = x.reshape(o[0], o[2], o[1], o[3], 64).transpose(0, 2, 1, 3, 4).reshape(g.shape)
+            owners = np.tile(np.array(layout.owner_unit), count) if n > 1 else None
+            if progressive:
+                _dc_first(bits, own, owners, look(0), al)
+            else:
+                _sequential(bits, own, owners, look(0), look(1))
+    layout.put(lists, depth)
+
+
+_RESTART, _MARKER = re.compile(rb"\xff[\xd0-\xd7]"), re.compile(rb"\xff[^\x00\xd0-\xd7]", re.DOTALL)
 
 
 def _segments(data: bytes) -> list[bytes]:
-    if b"\xff" not in data or all(bytes((0xFF, 0xD0 + k)) not in data for k in range(8)):
-        return [data]
-    out, start, k = [], 0, data.find(b"\xff")
-    while k >= 0:
-        if k + 1 < len(data) and 0xD0 <= data[k + 1] <= 0xD7:
-            out.append(data[start:k])
-            start = k + 2
-        k = data.find(b"\xff", k + 2)
-    return [*out, data[start:]]
+    return _RESTART.split(data)
 
 
 def _scan_end(data: bytes, at: int) -> int:
     """Where the next marker other than a restart stands."""
-    k = data.find(b"\xff", at)
-    while k >= 0:
-        if k + 1 < len(data) and data[k + 1] and not 0xD0 <= data[k + 1] <= 0xD7:
-            return k
-        k = data.find(b"\xff", k + 2)
-    raise ValueError("the image breaks off")
+    found = _MARKER.search(data, at)
+    if found is None:
+        raise ValueError("the image breaks off")
+    return found.start()
 
 
 def decode_coefficients(data: bytes, at: int = 0) -> tuple[Image, int]:

@@ -321,3 +321,15 @@ def test_archives_of_nothing(spark):
     folder = shared_path(spark, "warc")
     W.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder)
     assert W.read_archives(spark, folder).select(F.col("page_id")).count() == 0
+
+
+def test_scans_share_one_layout_of_blocks(monkeypatch):
+    made, copied = [], []
+    own, blocks = J._Layout.__init__, J._Layout.blocks
+    monkeypatch.setattr(J._Layout, "__init__", lambda self, image, named: (made.append(bytes(named)), own(self, image, named))[1])
+    monkeypatch.setattr(J._Layout, "blocks", lambda self, depth: (copied.append(depth), blocks(self, depth))[1])
+    payload = bytes(random.Random(5).randrange(256) for _ in range(64 * 77))
+    image, = M.images(M.encode_payload(payload))
+    assert M.payload_of(image) == payload
+    # 27 scans over four choices of components; the eight that refine DC coefficients work in place
+    assert sorted(made) == [b"\1", b"\1\2\3", b"\2", b"\3"] and len(copied) == 19
