@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 STATUSES = ("new", "interesting", "waiting", "ignored", "applied", "response", "interview", "trial_day", "rejected", "offer", "no_response", "withdrawn", "closed")
 APPLICATIONS = STATUSES[4:]
-OUT = "id string, status string, history array<struct<status:string,day:string>>, refused array<string>"
+OUT = "id string, status string, first_seen string, history array<struct<status:string,day:string>>, refused array<string>, changed boolean"
 
 
 def _current(history: list[tuple]) -> str:
@@ -69,17 +69,18 @@ _BATCH = 10_000
 
 
 def _emitted(rows: list[tuple]) -> pa.RecordBatch:
-    """Rows (id, status, history, refused) as OUT has them."""
+    """Rows as OUT has them."""
     events = pa.list_(pa.struct([("status", pa.string()), ("day", pa.string())]))
-    shown = [None if h is None else [{"status": s, "day": d} for s, d in h] for _, _, h, _ in rows]
-    columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array(shown, events), pa.array([r[3] for r in rows], pa.list_(pa.string()))]
-    return pa.RecordBatch.from_arrays(columns, ["id", "status", "history", "refused"])
+    ids, status, first_seen, histories, refused, changed = zip(*rows)
+    shown = [None if h is None else [{"status": s, "day": d} for s, d in h] for h in histories]
+    columns = [*(pa.array(x, pa.string()) for x in (ids, status, first_seen)), pa.array(shown, events), pa.array(refused, pa.list_(pa.string())), pa.array(changed)]
+    return pa.RecordBatch.from_arrays(columns, ["id", "status", "first_seen", "history", "refused", "changed"])
 
 
-def _folder(statuses: tuple):
+def _folder(statuses: tuple, null_is_id: bool):
     def entity(key, states: list[tuple], commands: list[dict]) -> list[tuple]:
-        if not commands or key is None:
-            out = [(key, status, None if h is None else [(e["status"], e["day"]) for e in h], []) for status, _, h in states]
+        if not commands or key is None and not null_is_id:
+            out = [(key, status, first_seen, None if h is None else [(e["status"], e["day"]) for e in h], [], False) for status, first_seen, h in states]
             states = []
             if not commands:
                 return out
@@ -88,7 +89,7 @@ def _folder(statuses: tuple):
         status, first_seen, known = states[0] if states else (None, None, None)
         history = [(e["status"], e["day"]) for e in known or []]
         status, refused = replay(status, history, first_seen, commands, statuses)
-        return [*out, (key, status, history, refused)]
+        return [*out, (key, status, first_seen, history, refused, True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
@@ -125,9 +126,15 @@ def fold(state: DataFrame, commands: DataFrame, statuses: tuple = STATUSES) -> D
     Entities and commands are dealt by id and sorted, each entity before its commands, and a task reads them in one
     go: nothing is set up for an entity of its own, and only one entity's commands are held at a time.
     """
+    return advance(state, commands, statuses, False).select("id", "status", "history", "refused")
+
+
+def advance(state: DataFrame, commands: DataFrame, statuses: tuple = STATUSES, null_is_id: bool = True) -> DataFrame:
+    """As fold, with the columns of a state to go on from and whether there were commands: (id, status, first_seen, history,
+    refused, changed). null_is_id: rows of a null id are one entity; else its commands meet no state."""
     none = lambda kind: F.lit(None).cast(kind)
     events = "array<struct<status:string,day:string>>"
     own = state.select(F.col("id").cast("string").alias("id"), F.lit(True).alias("own"), "first_seen", F.transform("history", lambda e: F.struct(e["status"].alias("status"), e["day"].alias("day"))).cast(events).alias("history"), none("long").alias("seq"), none("string").alias("kind"), "status", *[none("int" if c == "place" else "string").alias(c) for c in _COMMAND[3:]])
     todo = commands.select(F.col("id").cast("string").alias("id"), F.lit(False).alias("own"), none("string").alias("first_seen"), none(events).alias("history"), F.col("seq").cast("long").alias("seq"), "kind", "status", "day", F.col("place").cast("int").alias("place"), "seen_status", "seen_day")
     dealt = own.unionByName(todo).repartition("id").sortWithinPartitions("id", F.desc("own"), F.asc_nulls_last("seq"))
-    return dealt.mapInArrow(_folder(statuses), OUT)
+    return dealt.mapInArrow(_folder(statuses, null_is_id), OUT)

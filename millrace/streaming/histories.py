@@ -1,5 +1,9 @@
 """Decision histories as keyed state of a stream of commands.
 
+run_histories keeps the state as a table, which each batch folds its commands into in one sorted pass. It is for batches
+that reach many entities. histories keeps it in a state store, with calls for each entity that a batch reaches: for
+small batches, and for state that expires. Of the latter:
+
 An entity's events are a list state, its status and what it started from a value state; a batch's commands run in the
 order of seq. So batches of commands, over restarts as well, give what one replay of all of them gives, as long as an
 entity's commands come in that order from batch to batch. With keep_days commands have a time `at`: an entity whose last
@@ -15,9 +19,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from millrace.operators.history import STATUSES, replay
+from millrace.operators.commits import file_system
+from millrace.operators.history import STATUSES, advance, replay
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "id string, status string, history array<struct<status:string,day:string>>, refused array<string>, expired boolean"
@@ -82,3 +88,38 @@ def histories(commands: DataFrame, state: DataFrame | None = None, statuses: tup
     if keep_days is not None:
         commands = commands.withWatermark("at", late)
     return commands.groupBy("id").transformWithState(_Histories(statuses, keep_days), OUT, "Update", "None" if keep_days is None else "EventTime", initial)
+
+
+_STATE = "id string, status string, first_seen string, history array<struct<status:string,day:string>>, refused array<string>, changed boolean"
+
+
+def run_histories(stream: DataFrame, state: DataFrame, path: str, checkpoint: str, statuses: tuple = STATUSES) -> DataFrame:
+    """Run over what is there of a stream of commands, as histories takes them -> the state after it: (id, status, first_seen,
+    history). state is what a new stream starts from, one row an entity.
+
+    Batch n writes the whole state into path/state=n, from the one before, and the entities that it had commands for
+    into path/changes=n: (id, status, history, refused, changed_in). A batch that is tried again does both anew; the
+    state it starts from stays until the next one is through.
+    """
+    spark = stream.sparkSession
+    fs, root = file_system(spark, path)
+
+    def versions() -> list[int]:
+        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n.removeprefix("state=")) for n in names if n.startswith("state="))
+
+    def after(number: int) -> DataFrame:
+        return spark.read.schema(_STATE).parquet(f"{path}/state={number}")
+
+    def put(batch: DataFrame, number: int) -> None:
+        earlier = [n for n in versions() if n < number]
+        advance(after(earlier[-1]) if earlier else state, batch, statuses).write.mode("overwrite").parquet(f"{path}/state={number}")
+        changed = after(number).where("changed").select("id", "status", "history", "refused", F.lit(number).alias("changed_in"))
+        changed.write.mode("overwrite").parquet(f"{path}/changes={number}")
+        for old in earlier[:-1]:
+            fs.delete(file_system(spark, f"{path}/state={old}")[1], True)
+
+    q = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    there = versions()
+    return (after(there[-1]) if there else state).select("id", "status", "first_seen", "history")

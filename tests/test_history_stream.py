@@ -65,3 +65,33 @@ def test_idle_state_expires(spark, rocksdb):
     # b was kept by its second command; a starts anew
     got = step(("a", 5, "ignored", "2024-02-06"), ("b", 6, "ignored", "2024-02-07"))
     assert ("a", False, "ignored", [None, "2024-02-06"]) in got and ("b", False, "ignored", [None, "2024-01-01", "2024-01-25", "2024-02-07"]) in got
+
+
+def test_state_as_a_table_is_one_replay(spark):
+    r = random.Random(4)
+    path = f"{shared_base(spark)}/histories-{uuid.uuid4().hex}"
+    days, known = [None, "2024-01-01", "2024-02-01", "2024-03-01"], ["new", "ignored", "interesting", "applied", "odd"]
+    commands = [(r.choice([*"abcdefg", None]), k, r.choice(["set"] * 4 + ["undo", "edit", "delete", "dance"]), r.choice(known), r.choice(days), r.choice([None, 0, 0, 1, 2]), r.choice(["new", "ignored", "interesting"]), r.choice(days)) for k in range(320)]
+    state = spark.createDataFrame([("a", "new", "2023-12-01", []), ("b", "ignored", None, [("ignored", None)]), ("c", "interesting", "2023-12-02", None), ("z", "new", None, [])], STATE)
+    want = {x["id"]: x for x in history.fold(state, spark.createDataFrame(commands, COMMANDS)).collect()}
+    for k in range(0, 320, 80):
+        spark.createDataFrame(r.sample(commands[k : k + 80], 80), COMMANDS).write.mode("append").parquet(f"{path}/in")
+        got = histories.run_histories(spark.readStream.schema(COMMANDS).parquet(f"{path}/in"), state, f"{path}/out", f"{path}/ckpt")
+    got = {x["id"]: x for x in got.collect()}
+    refused = {}
+    for x in sorted(spark.read.parquet(f"{path}/out/changes=*").collect(), key=lambda x: x["changed_in"]):
+        refused.setdefault(x["id"], []).extend(x["refused"])
+    assert set(got) == set(want) == {*"abcdefgz", None} and got["a"]["first_seen"] == "2023-12-01"
+    for k, x in got.items():
+        assert (x["status"], x["history"], refused.get(k, [])) == (want[k]["status"], want[k]["history"], want[k]["refused"])
+    # nothing new: the same state
+    again = histories.run_histories(spark.readStream.schema(COMMANDS).parquet(f"{path}/in"), state, f"{path}/out", f"{path}/ckpt")
+    assert {x["id"]: x for x in again.collect()} == got
+
+
+def test_the_query_makes_no_calls_for_each_key(spark, monkeypatch):
+    from millrace.plans import registry
+
+    monkeypatch.setattr(histories, "_Histories", None)
+    got, want = ({tuple(x) for x in registry.QUERIES[q](spark, "/root/testdata/sf0.001").collect()} for q in ("history_stream", "history_replay"))
+    assert got == want and got
