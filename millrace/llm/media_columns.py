@@ -46,8 +46,19 @@ _BAND = 16  # the first coefficient of luma's second band
 
 
 def _scan(components: str | int, tables: int, ss: int, se: int, ah: int, al: int, bits: np.ndarray) -> bytes:
-    tail = -len(bits) % 8
-    data = np.packbits(np.concatenate([bits, np.ones(tail, np.uint8)]) if tail else bits).tobytes()
+    return _packed_scan(components, tables, ss, se, ah, al, _packed(bits)[0])
+
+
+def _packed(bits: np.ndarray) -> list[bytes]:
+    """The bytes of each row of bits (or of a single one), filled up with 1."""
+    bits = np.atleast_2d(bits)
+    rows = np.packbits(bits, axis=1)
+    if bits.shape[1] % 8:
+        rows[:, -1] |= (1 << -bits.shape[1] % 8) - 1
+    return [row.tobytes() for row in rows]
+
+
+def _packed_scan(components: str | int, tables: int, ss: int, se: int, ah: int, al: int, data: bytes) -> bytes:
     named = (components,) if isinstance(components, int) else map(int, components)
     head = b"".join(bytes([c, tables]) for c in named)
     return _segment(0xDA, bytes([len(head) // 2]) + head + bytes([ss, se, ah << 4 | al])) + data.replace(b"\xff", b"\xff\0")
@@ -71,7 +82,10 @@ def _refinements(component: int, planes: np.ndarray, first: int) -> list[bytes]:
     n = len(planes)
     size = n.bit_length() - 1
     run = np.array([int(b) for b in f"{size:04b}" + (f"{n - (1 << size):0{size}b}" if size else "")], np.uint8)
-    return [_scan(component, 1, 1, 63, 8 - k, 7 - k, np.concatenate([run, planes[:, 1:, k].reshape(-1)])) for k in range(first, 8)]
+    bits = np.empty((8 - first, len(run) + n * 63), np.uint8)
+    bits[:, : len(run)] = run
+    bits[:, len(run) :] = planes[:, 1:, first:].transpose(2, 0, 1).reshape(8 - first, -1)
+    return [_packed_scan(component, 1, 1, 63, 8 - k, 7 - k, data) for k, data in enumerate(_packed(bits), first)]
 
 
 def _shape(named: int) -> tuple[int, int]:
@@ -100,7 +114,7 @@ def _encode_image(blocks: np.ndarray) -> bytes:
     out += _refinements(1, y, 2) + _refinements(2, cb, 4) + _refinements(3, cr, 4)
     dc = planes[:, 0]
     dc = np.concatenate([dc[: 4 * units].reshape(units, 4, 8), dc[4 * units :].reshape(2, units, 8).transpose(1, 0, 2)], axis=1).reshape(-1, 8)
-    out += [_scan("123", 0, 0, 0, 8 - k, 7 - k, dc[:, k]) for k in range(8)]
+    out += [_packed_scan("123", 0, 0, 0, 8 - k, 7 - k, data) for k, data in enumerate(_packed(dc.T))]
     return b"".join([*out, b"\xff\xd9"])
 
 

@@ -333,3 +333,15 @@ def test_scans_share_one_layout_of_blocks(monkeypatch):
     assert M.payload_of(image) == payload
     # 27 scans over four choices of components; the eight that refine DC coefficients work in place
     assert sorted(made) == [b"\1", b"\1\2\3", b"\2", b"\3"] and len(copied) == 19
+
+
+def test_refining_scans_are_taken_together(monkeypatch):
+    """Scans that refine the same coefficients bit after bit cost one step, not one each; the first scans stay alone."""
+    alone = []
+    scan = J._scan
+    monkeypatch.setattr(J, "_scan", lambda *args: (alone.append(1), scan(*args)))
+    for blocks in (1, 7, 300):
+        alone.clear()
+        payload = random.Random(blocks).randbytes(64 * blocks)
+        assert M.payload_of(next(M.images(M.encode_payload(payload)))) == payload
+        assert len(alone) == 5  # of 27
