@@ -43,6 +43,7 @@ _SEEDS = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF0
 _PLACE_BITS = 22
 _CHUNK_BYTES = 1 << 19
 _SEEN = 1 << 20
+_KEPT = 1 << 21
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -218,6 +219,8 @@ def passages(sa: np.ndarray, sb: np.ndarray | Sorted, regions: list[tuple[int, i
     hits = np.flatnonzero(value >= 0)
     if len(hits) < similarity * least or hits[-1] - hits[0] < least - 1:
         return []
+    if not _may_match(sa, hits, similarity, least):
+        return []
     at = _places(hits, value[hits], b)
     out, left, start = [], [], 0
     # runs with gaps that a change of two words leaves, as they are; then the whole, wherever its gaps are
@@ -246,6 +249,32 @@ def passages(sa: np.ndarray, sb: np.ndarray | Sorted, regions: list[tuple[int, i
     return sorted(out)
 
 
+def _may_match(shingles: np.ndarray, hits: np.ndarray, similarity: float, least: int) -> bool:
+    """Whether any stretch of the least length from hit to hit can be similar enough. Shingles in the stretch that are no hits
+    are in one of the two sets alone; those that the text holds several times may be counted elsewhere."""
+    first, n = hits[0], int(hits[-1] - hits[0]) + 1
+    here = hits - first
+    value = np.full(n, -similarity)
+    value[here] = 1 - similarity
+
+    def any_stretch() -> bool:
+        ends = np.cumsum(value)
+        begins = np.full(n, np.inf)
+        begins[here] = ends[here] - (1 - similarity)
+        lowest = np.minimum.accumulate(begins)
+        last = here[here >= least - 1]
+        return bool((lowest[last - (least - 1)] <= ends[last] + 1e-6).any())
+
+    if any_stretch():
+        return True
+    _, number, times = np.unique(shingles, return_inverse=True, return_counts=True)
+    several = times[number[first : first + n]] > 1
+    if not several.any():
+        return False
+    value[several & (value < 0)] = 0
+    return any_stretch()
+
+
 def _longest_stretch(hits: np.ndarray, at: np.ndarray, similarity: float, least: int) -> tuple[int, int] | None:
     """(from, to) of the longest stretch of hits that may be similar enough: a hit adds 1 - similarity and a place missed
     on either side takes similarity, and the sum is not below 0."""
@@ -421,10 +450,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["uid", "packed"])
 
 
-def _opened(packed: bytes) -> tuple[np.ndarray, list[bytes]]:
-    """Shingle hashes and words of a packed text."""
-    data = zlib.decompress(packed).lower()
-    return shingle_hashes(word_hashes(data)[0]), data.split()
+def _opened(packed: bytes) -> np.ndarray:
+    """Shingle hashes of a packed text."""
+    return shingle_hashes(word_hashes(zlib.decompress(packed).lower())[0])
+
+
+def _words(packed: bytes) -> list[bytes]:
+    return zlib.decompress(packed).lower().split()
 
 
 _FOUND = "uid long, other_uid long, first_word int, n_words int, other_first int, other_words int, similarity double"
@@ -434,15 +466,26 @@ _FOUND_NAMES = [f.split()[0] for f in _FOUND.split(", ")]
 def _verify(least_words: int, similarity: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.float64()]
-        last, b, other_words = None, None, []
+        last, b, other_words = None, None, None
+        kept: dict[int, np.ndarray] = {}  # shingles of texts that the task opened; emptied when full
+        held = 0
         for batch in batches:
             rows = []
             for uid, packed, other_uid, other, regions in zip(*(c.to_pylist() for c in batch.columns)):
                 if other_uid != last:  # rows come sorted by it
-                    last, (b, other_words) = other_uid, _opened(other)
-                    b = Sorted(b)
-                a, words = _opened(packed)
-                for i, n, j, m, _ in passages(a, b, [tuple(r.values()) for r in regions], least_words, similarity):
+                    last, b, other_words = other_uid, Sorted(_opened(other)), None
+                a = kept.get(uid)
+                if a is None:
+                    a = _opened(packed)
+                    if held + len(a) > _KEPT:
+                        kept, held = {}, 0
+                    kept[uid] = a
+                    held += len(a)
+                found = passages(a, b, [tuple(r.values()) for r in regions], least_words, similarity)
+                if found:
+                    words = _words(packed)
+                    other_words = other_words or _words(other)
+                for i, n, j, m, _ in found:
                     score = _word_similarity(words[i : i + n], other_words[j : j + m])
                     if score >= similarity:
                         rows.append((uid, other_uid, i, n, j, m, score))
@@ -482,14 +525,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return materialize(_with_ids(picked, found, least_words), "passages")
 
 
-def _compared(picked: DataFrame, met: DataFrame, least_words: int, similarity: float, agree: int, texts: DataFrame | None = None) -> DataFrame:
+def _compared(picked: DataFrame, met: DataFrame, least_words: int, similarity: float, agree: int) -> DataFrame:
     """Verified passages of the pairs of windows met(uid, other, fn, l, c, r, l_, c_, r_)."""
     turned = F.col("uid") > F.col("other")
     own, other = [F.col(k) for k in ("l", "c", "r")], [F.col(f"{k}_") for k in ("l", "c", "r")]
     w = [F.when(turned, y).otherwise(x).alias(n) for x, y, n in zip(own + other, other + own, ("l", "c", "r", "l2", "c2", "r2"))]
     pairs = met.groupBy(F.least("uid", "other").alias("uid"), F.greatest("uid", "other").alias("lead")).agg(F.collect_list(F.struct("fn", *w)).alias("windows"), F.bit_or(F.expr("shiftleft(1, fn)")).alias("fns"))
     pairs = pairs.where(F.bit_count("fns") >= agree).select("uid", "lead", "windows")
-    pairs = materialize(pairs.mapInArrow(_join_intervals(agree), _REGIONS), "passage-pairs")
+    return _verified(picked, pairs.mapInArrow(_join_intervals(agree), _REGIONS), least_words, similarity)
+
+
+def _verified(picked: DataFrame, pairs: DataFrame, least_words: int, similarity: float, texts: DataFrame | None = None) -> DataFrame:
+    """Verified passages of pairs(uid, lead, regions)."""
+    pairs = materialize(pairs, "passage-pairs")
     if texts is None:
         texts = _texts_of(picked, pairs.select("uid").unionByName(pairs.select(F.col("lead").alias("uid"))))
     sides = pairs.join(texts, "uid").join(texts.select(F.col("uid").alias("lead"), F.col("packed").alias("lead_packed")), "lead")
@@ -511,7 +559,7 @@ def _stretch_shingles(reach: int):
         for batch in batches:
             uids, parts, found, where = [], [], [], []
             for uid, part, packed, places, ends in zip(*(c.to_pylist() for c in batch.columns)):
-                shingles, _ = _opened(packed)
+                shingles = _opened(packed)
                 mark = np.zeros(len(shingles) + 1, np.int64)
                 np.add.at(mark, [max(0, c1 - reach) for c1 in places], 1)
                 np.add.at(mark, [min(len(shingles), c2 + reach + 1) for c2 in ends], -1)
@@ -559,21 +607,28 @@ def _connected(picked: DataFrame, members: DataFrame, led: DataFrame, least_word
             free = twos.join(theirs, (twos["two"] == theirs["two"]) & (F.col("part") == F.col("led_part")), "left_anti")
         new = free.groupBy("two").agg(F.max(F.struct("weight", "uid"))["uid"].alias("other"))
         leads = materialize(new if leads is None else new.unionByName(leads), "leads")
-        more = _compared(picked, _cross(twos, twos.join(new.withColumnRenamed("other", "uid"), ["two", "uid"], "left_semi"), False), least_words, similarity, 1, texts)
+        more = _verified(picked, _cross(twos, twos.join(new.withColumnRenamed("other", "uid"), ["two", "uid"], "left_semi"), False), least_words, similarity, texts)
         found = found.unionByName(more)
         if not more.take(1):
             break
         part_of = twos.select("uid", "part").distinct()
         links = more.select("uid", "other_uid").distinct().join(part_of.withColumnRenamed("part", "a"), "uid").join(part_of.select(F.col("uid").alias("other_uid"), F.col("part").alias("b")), "other_uid").select("a", "b")
         twos = materialize(_still_open(materialize(_in_parts(twos, links), "group-members"), "two"), "open-members")
-    return found.unionByName(_compared(picked, _cross(twos, twos, True), least_words, similarity, 1, texts))
+    return found.unionByName(_verified(picked, _cross(twos, twos, True), least_words, similarity, texts))
 
 
 def _cross(rows: DataFrame, partners: DataFrame, all_pairs: bool) -> DataFrame:
-    """Rows beside partners of the same finer group in other parts, as _compared takes them."""
-    other = partners.select("two", F.col("uid").alias("other"), F.col("part").alias("other_part"), *(F.col(k).alias(f"{k}_") for k in ("l", "c", "r")))
+    """(uid, lead, regions): rows and partners of the same finer group in other parts, each pair once, with what their
+    windows span in all; nothing is listed for each group that a pair meets in."""
+    other = partners.select("two", F.col("uid").alias("other"), F.col("part").alias("other_part"), F.col("l").alias("l_"), F.col("r").alias("r_"))
     met = rows.join(other, "two").where("part <> other_part")
-    return (met.where("uid < other") if all_pairs else met).withColumn("fn", F.lit(0))
+    if all_pairs:
+        met = met.where("uid < other")
+    turned = F.col("uid") > F.col("other")
+    sides = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(n) for x, y, n in (("l", "l_", "la"), ("r", "r_", "ra"), ("l_", "l", "lb"), ("r_", "r", "rb"))]
+    met = met.select(F.least("uid", "other").alias("uid"), F.greatest("uid", "other").alias("lead"), *sides)
+    pairs = met.groupBy("uid", "lead").agg(*(f(n).alias(n) for n, f in (("la", F.min), ("ra", F.max), ("lb", F.min), ("rb", F.max))))
+    return pairs.select("uid", "lead", F.array(F.struct("la", "ra", "lb", "rb")).alias("regions"))
 
 
 def _viable(rows: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
@@ -597,13 +652,15 @@ def _viable(rows: DataFrame, texts: DataFrame, least: int, similarity: float) ->
 
 def _with_ids(picked: DataFrame, found: DataFrame, least_words: int) -> DataFrame:
     """found with the smallest ids of its texts, and a row for each further id of a text."""
-    ids = picked.select("uid", "doc_id", word_count(F.col("text")).alias("n_words")).where(F.col("n_words") >= least_words).distinct()
-    ids = materialize(ids, "passage-ids")
+    ids = materialize(picked.select("uid", "doc_id").distinct(), "passage-ids")
     least = materialize(ids.groupBy("uid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "passage-ids")
+    # words are counted only in texts that have copies
+    several = picked.join(least.where("copies > 1").select("uid").hint("shuffle_hash"), "uid", "left_semi").dropDuplicates(["uid"])
+    sizes = several.select("uid", word_count(F.col("text")).alias("n_words")).where(F.col("n_words") >= least_words)
     names = least.select("uid", F.col("least").alias("doc_id"))
     both = found.join(names, "uid").join(names.select(F.col("uid").alias("other_uid"), F.col("doc_id").alias("other_id")), "other_uid")
     columns = ["uid", "doc_id", "other_uid", "other_id", "first_word", "n_words", "other_first", "other_words", "similarity"]
-    copies = ids.join(least.where("copies > 1"), "uid").where("not (doc_id <=> least)")
+    copies = ids.join(least.where("copies > 1"), "uid").where("not (doc_id <=> least)").join(sizes, "uid")
     zero = F.lit(0)
     copies = copies.select("uid", F.col("least").alias("doc_id"), F.col("uid").alias("other_uid"), F.col("doc_id").alias("other_id"), zero.alias("first_word"), F.col("n_words").cast("int").alias("n_words"), zero.alias("other_first"), F.col("n_words").cast("int").alias("other_words"), F.lit(1.0).alias("similarity"))
     return both.select(*columns).unionByName(copies)

@@ -397,3 +397,34 @@ def test_leaks_on_a_table_against_brute_force(spark):
                 if brute_coverage(own, b) >= 0.8 - 1e-9:
                     want.add((r["doc_id"], item))
     assert want and {(r["doc_id"], r["item_id"]) for r in D.find_leaks(docs, bench).collect()} == want
+
+
+def test_pairs_that_cannot_match_are_not_aligned(monkeypatch):
+    """A pair is left before its shingles are placed if no stretch can be similar enough; that drops no passage."""
+    placed = []
+    places = P._places
+    monkeypatch.setattr(P, "_places", lambda *args: (placed.append(1), places(*args))[1])
+    r = random.Random(11)
+    base = [r.getrandbits(40) for _ in range(200)]
+    far = [w if k % 9 else r.getrandbits(40) for k, w in enumerate(base)]
+    shingles = lambda words: P.shingle_hashes(np.array(words, np.uint64))
+    assert P.passages(shingles(base), shingles(far), [(0, 195, 0, 195)]) == [] and not placed
+    both, found = [], 0
+    for seed in range(150):
+        r = random.Random(seed)
+        unit = [r.getrandbits(40) for _ in range(r.choice([7, 60, 160]))]
+        one = (unit * 9)[:160]
+        two = [w for w in one if r.random() > 0.01]
+        for _ in range(r.choice([1, 2, 4, 8])):
+            two.insert(r.randrange(len(two)), r.getrandbits(40))
+        both.append((shingles(one), shingles(two)))
+    with_test = [P.passages(a, b, [(0, len(a) - 1, 0, len(b) - 1)]) for a, b in both]
+    monkeypatch.setattr(P, "_may_match", lambda *args: True)
+    assert [P.passages(a, b, [(0, len(a) - 1, 0, len(b) - 1)]) for a, b in both] == with_test
+    assert 30 < sum(map(bool, with_test)) < 150
+
+
+def test_a_pair_of_many_finer_groups_is_one_row(spark):
+    rows = spark.createDataFrame([(two, uid, uid, 10 * two + uid, 10 * two + uid + 60) for two in range(20) for uid in (1, 2, 3)], "two long, uid long, part long, l int, r int")
+    found = {(x.uid, x.lead): [tuple(y) for y in x.regions] for x in P._cross(rows, rows, True).collect()}
+    assert found == {(a, b): [(a, 250 + a, b, 250 + b)] for a, b in ((1, 2), (1, 3), (2, 3))}
